@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import as_date, as_stamp, strip
+from larder.operators.joining import attach, flag, within, without
 from larder.operators.keyed import assign_ids, update_by_key
 from larder.operators.ledger import apply_batch_receipts, order_final_total
 from larder.operators.rules import RIDER_BUSY, SALARY_NOT_POSITIVE, busy_riders
@@ -22,7 +23,6 @@ from larder.operators.verdict import (
     MISSING_KEY,
     REASON,
     Verdict,
-    flag_parents,
     judge,
     reject_taken_keys,
 )
@@ -49,7 +49,7 @@ def place_purchase_order(
     cmds: DataFrame, purchase_orders: DataFrame, suppliers: DataFrame, seq: str = "seq"
 ) -> Verdict:
     """Add purchase orders; without a date they are due in a week, without a status pending."""
-    rows = flag_parents(cmds, "SupplierID", suppliers, "SupplierID", "_supplier")
+    rows = flag(cmds, "SupplierID", suppliers, "SupplierID", "_supplier")
     rows = judge(rows, (~F.col("_supplier"), "supplier not found"))
     due = _or_default(rows, "Exp_deleivey_date", F.date_add("Order_date", PO_DAYS))
     status = _or_default(rows, "Status", F.lit(PO_STATUS))
@@ -66,8 +66,8 @@ def receive_batch(
     seq: str = "seq",
 ) -> Verdict:
     """Add received batches, of which all is still left; a missing reference may be NULL."""
-    rows = flag_parents(cmds, "IngredientID", ingredients, "IngredientID", "_ingredient")
-    rows = flag_parents(rows, "PO_ID", purchase_orders, "PO_ID", "_order")
+    rows = flag(cmds, "IngredientID", ingredients, "IngredientID", "_ingredient")
+    rows = flag(rows, "PO_ID", purchase_orders, "PO_ID", "_order")
     rows = judge(
         rows,
         (F.col("IngredientID").isNotNull() & ~F.col("_ingredient"), "ingredient not found"),
@@ -95,8 +95,8 @@ def add_recipe_ingredient(
     seq: str = "seq",
 ) -> Verdict:
     """Add recipe lines for known products and ingredients."""
-    rows = flag_parents(cmds, "ProductID", products, "ProductID", "_product")
-    rows = flag_parents(rows, "IngredientID", ingredients, "IngredientID", "_ingredient")
+    rows = flag(cmds, "ProductID", products, "ProductID", "_product")
+    rows = flag(rows, "IngredientID", ingredients, "IngredientID", "_ingredient")
     rows = judge(
         rows,
         (~F.col("_product"), "product not found"),
@@ -109,7 +109,7 @@ def place_order(
     cmds: DataFrame, orders: DataFrame, customers: DataFrame, seq: str = "seq"
 ) -> Verdict:
     """Add order headers; their total is zero until lines come in."""
-    rows = flag_parents(cmds, "CustomerID", customers, "CustomerID", "_customer")
+    rows = flag(cmds, "CustomerID", customers, "CustomerID", "_customer")
     rows = judge(rows, (~F.col("_customer"), "customer not found"))
     rows = rows.withColumn("Total_Amount", F.lit(0).cast("decimal(8,2)"))
     shaped = _shaped(order_final_total(rows), "Orders", seq)
@@ -120,7 +120,7 @@ def add_order_line(cmds: DataFrame, lines: DataFrame, menu: DataFrame, seq: str
     """Price order lines from the menu; accepted ones get ids after the largest stored."""
     prices = menu.select("ProductID", F.col("Base_Price").alias("Unit_Price"))
     prices = prices.withColumn("_offered", F.lit(True))
-    rows = cmds.join(prices, "ProductID", "left")
+    rows = attach(cmds, prices, "ProductID")
     rows = judge(rows, (F.col("_offered").isNull(), "product not on the menu"))
     rows = rows.withColumn("Line_Total", F.col("Unit_Price") * F.col("Quantity"))
     shaped = _shaped(rows, "Order_Details", seq)
@@ -133,9 +133,10 @@ def process_payment(
     cmds: DataFrame, payments: DataFrame, orders: DataFrame, seq: str = "seq"
 ) -> Verdict:
     """Add payments; each must cover the final total of its order."""
-    due = orders.select("Order_ID", F.col("Final_Total").alias("_due")).withColumn("_order", F.lit(True))
+    due = orders.select("Order_ID", F.col("Final_Total").alias("_due"))
+    due = due.where(F.col("Order_ID").isNotNull()).withColumn("_order", F.lit(True))
     rows = judge(
-        cmds.join(due, "Order_ID", "left"),
+        attach(cmds, due, "Order_ID"),
         (F.col("_order").isNull(), "order not found"),
         (F.col("Amount_Paid") < F.col("_due"), "underpayment"),
     )
@@ -157,38 +158,39 @@ def assign_delivery(
     a refused one takes neither.  See :func:`_dispatch` for how that order of
     events is followed without walking through the commands one by one.
     """
-    rows = flag_parents(cmds, "Order_ID", orders, "Order_ID", "_order")
-    rows = flag_parents(rows, "Rider_ID", riders, "Rider_ID", "_rider")
-    rows = judge(
-        rows,
-        (~F.col("_order"), "order not found"),
-        (~F.col("_rider"), "rider not found"),
-    )
-    rows = rows.withColumns(
-        {
-            "Dispatch_Time": as_stamp(now),
-            "Delivery_Time": F.lit(None).cast("string"),
-            "Delivery_Status": F.lit(0),
-        }
-    )
-    rows = _shaped(rows, "Deliveries", seq)
+    ordered = flag(cmds, "Order_ID", orders, "Order_ID", "_order")
+    known = riders.select("Rider_ID").where(F.col("Rider_ID").isNotNull())
     busy = busy_riders(deliveries)
+    free = known.join(busy, "Rider_ID", "left_anti")
     bids = (
-        rows.where(F.col(REASON).isNull())
+        ordered.where(F.col("_order"))
         .where(F.col("Delivery_ID").isNotNull())
         .select(seq, "Rider_ID", "Delivery_ID")
-        .join(busy, "Rider_ID", "left_anti")
-        .join(deliveries.select("Delivery_ID"), "Delivery_ID", "left_anti")
     )
+    bids = without(within(bids, free, "Rider_ID"), deliveries, "Delivery_ID")
     taken = _dispatch(bids, seq).select("Rider_ID", F.col(seq).alias("_from"))
-    state = taken.join(busy.withColumn("_busy", F.lit(True)), "Rider_ID", "full")
-    judged = judge(
-        rows.join(state, "Rider_ID", "left"),
+    # All that is known of a rider in one row, so that the commands meet it in one join.
+    facts = (
+        known.withColumn("_rider", F.lit(True))
+        .join(busy.withColumn("_busy", F.lit(True)), "Rider_ID", "left")
+        .join(taken, "Rider_ID", "left")
+    )
+    rows = judge(
+        attach(ordered, facts, "Rider_ID"),
+        (~F.col("_order"), "order not found"),
+        (F.col("_rider").isNull(), "rider not found"),
         (F.col("_busy") | (F.col(seq) > F.col("_from")), RIDER_BUSY),
         (F.col("Delivery_ID").isNull(), MISSING_KEY),
         (F.col("_from").isNull() | (F.col(seq) < F.col("_from")), DUPLICATE_KEY),
     )
-    return Verdict(judged.select(rows.columns))
+    rows = rows.withColumns(
+        {
+            "Dispatch_Time": as_stamp(now),
+            "Delivery_Time": F.lit(None).cast("string"),
+            "Delivery_Status": F.lit(0),
+        }
+    )
+    return Verdict(_shaped(rows, "Deliveries", seq))
 
 
 def _dispatch(bids: DataFrame, seq: str) -> DataFrame:
@@ -208,8 +210,7 @@ def _dispatch(bids: DataFrame, seq: str) -> DataFrame:
         first = left.join(by_rider, ["Rider_ID", seq], "left_semi")
         first = first.join(by_key, ["Delivery_ID", seq], "left_semi").checkpoint()
         won.append(first)
-        left = left.join(first.select("Rider_ID"), "Rider_ID", "left_anti")
-        left = left.join(first.select("Delivery_ID"), "Delivery_ID", "left_anti")
+        left = without(without(left, first, "Rider_ID"), first, "Delivery_ID")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, won)
         left = left.checkpoint()

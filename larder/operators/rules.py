@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import as_stamp, is_missing
+from larder.operators.joining import attach
 from larder.operators.verdict import Verdict, judge
 
 RIDER_BUSY = "rider busy"
@@ -37,7 +38,7 @@ def validate_rider(deliveries: DataFrame, new: DataFrame, seq: str = "seq") -> V
         busy_riders(deliveries).withColumn("_busy", F.lit(True)), "Rider_ID", "full"
     )
     refused = F.col("_busy") | (F.col(seq) > F.col("_from"))
-    judged = judge(new.join(blocked, "Rider_ID", "left"), (refused, RIDER_BUSY))
+    judged = judge(attach(new, blocked, "Rider_ID"), (refused, RIDER_BUSY))
     return Verdict(judged.drop("_from", "_busy"))
 
 

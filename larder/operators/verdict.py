@@ -44,16 +44,6 @@ def judge(rows: DataFrame, *tests: tuple[Column, str]) -> DataFrame:
     return rows.withColumn(REASON, F.coalesce(*reasons, F.lit(None).cast("string")))
 
 
-def flag_parents(rows: DataFrame, column: str, parents: DataFrame, key: str, flag: str) -> DataFrame:
-    """Add ``flag``, true where ``column`` is found among the parents' keys.
-
-    A left join on distinct keys: Catalyst broadcasts the keys where they are
-    small, and beyond that adaptive execution splits a hot value of ``column``.
-    """
-    known = parents.select(F.col(key).alias(column)).distinct().withColumn(flag, F.lit(True))
-    return rows.join(known, column, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-
-
 def reject_taken_keys(
     rows: DataFrame, existing: DataFrame | Sequence[DataFrame], pk: str, seq: str
 ) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import full_name
+from larder.plans.views import order_summary
+from larder.session import shared_dir
 
 
 def customer_lookup(customers: DataFrame) -> DataFrame:
@@ -48,7 +50,20 @@ def order_total_point(orders: DataFrame, order_id: int) -> DataFrame:
     return orders.where(F.col("Order_ID") == order_id).select("Final_Total")
 
 
-def recent_orders(order_summary: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` newest orders; the higher id first among those of one day."""
-    newest = [F.desc("Order_Date"), F.desc("Order_ID"), F.asc("PaymentStatus")]
-    return order_summary.orderBy(*newest).limit(n)
+def recent_orders(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, n: int = 10
+) -> DataFrame:
+    """The first ``n`` rows of the order summary, newest orders first.
+
+    The higher id comes first among the orders of one day.  Each order gives
+    at least one row, so the ``n`` newest orders are enough.  They are picked
+    before the payments are read and checkpointed, being ``n`` rows; Catalyst
+    then broadcasts them instead of shuffling the payments.
+    """
+    shared_dir(orders.sparkSession)
+    newest = [F.desc("Order_Date"), F.desc("Order_ID")]
+    known = orders.join(customers.select("CustomerID"), "CustomerID", "left_semi")
+    picked = known.orderBy(*newest).limit(n).checkpoint()
+    ours = payments.join(picked.select("Order_ID"), "Order_ID", "left_semi")
+    rows = order_summary(picked, customers, ours)
+    return rows.orderBy(*newest, F.asc("PaymentStatus")).limit(n)

@@ -96,10 +96,24 @@ def order_summary(orders: DataFrame, customers: DataFrame, payments: DataFrame)
     An inner join lets adaptive execution split an order with very many
     payments, which an outer join cannot do on that side; the orders without
     payments come from an anti join against the distinct order ids.  Both
-    halves read the same shuffled orders.
+    halves read one shuffle of the orders: null-safe equality keeps Catalyst
+    from filtering one half and not the other, and the customers, who would be
+    joined into each half, come after the union.
     """
+    known = payments.where(F.col("Order_ID").isNotNull())
+    paid = known.select(
+        F.col("Order_ID").alias("_order"),
+        F.when(F.col("Payment_Status") == 1, "Paid").otherwise("Unpaid").alias("PaymentStatus"),
+    )
+    same = F.col("Order_ID").eqNullSafe(F.col("_order"))
+    without = orders.join(paid.select("_order").distinct(), same, "left_anti")
+    rows = (
+        orders.join(paid, same)
+        .drop("_order")
+        .unionByName(without.withColumn("PaymentStatus", F.lit("Unpaid")))
+    )
     names = customers.select("CustomerID", full_name().alias("Customer"))
-    named = orders.join(names, "CustomerID").select(
+    return rows.join(names, "CustomerID").select(
         "Order_ID",
         "Customer",
         "Order_Date",
@@ -107,18 +121,8 @@ def order_summary(orders: DataFrame, customers: DataFrame, payments: DataFrame)
         "Tax_Amount",
         "Discount_Amount",
         "Final_Total",
+        "PaymentStatus",
     )
-    # Null-safe equality keeps Catalyst from filtering one half and not the
-    # other, so that both share the exchange.
-    known = payments.where(F.col("Order_ID").isNotNull())
-    paid = known.select(
-        F.col("Order_ID").alias("_order"),
-        F.when(F.col("Payment_Status") == 1, "Paid").otherwise("Unpaid").alias("PaymentStatus"),
-    )
-    ids = paid.select("_order").distinct()
-    same = F.col("Order_ID").eqNullSafe(F.col("_order"))
-    without = named.join(ids, same, "left_anti").withColumn("PaymentStatus", F.lit("Unpaid"))
-    return named.join(paid, same).drop("_order").unionByName(without)
 
 
 def top_selling_products(order_lines: DataFrame, products: DataFrame) -> DataFrame:

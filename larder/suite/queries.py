@@ -556,7 +556,7 @@ def order_total_point(t: Bound) -> DataFrame:
 
 @registered
 def recent_orders(t: Bound) -> DataFrame:
-    return lookups.recent_orders(views.order_summary(t.orders, t.customers, t.payments))
+    return lookups.recent_orders(t.orders, t.customers, t.payments)
 
 
 @registered
