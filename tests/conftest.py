@@ -21,9 +21,9 @@ def conf(spark):
     def put(**options):
         for key, value in options.items():
             name = "spark.sql." + key.replace("__", ".")
-            before[name] = spark.conf.get(name)
+            before[name] = spark.conf.get(name, None)
             spark.conf.set(name, value)
 
     yield put
     for name, value in before.items():
-        spark.conf.set(name, value)
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -1,0 +1,206 @@
+"""Streams in several micro-batches against their batch forms."""
+
+from __future__ import annotations
+
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from larder import operators as op
+from larder import streaming
+from larder.operators.ledger import MOVEMENT
+from larder.sources import BatchLog
+
+STOCK = "IngredientID long, Current_stock decimal(20,2)"
+RECIPE = "RecipeID long, ProductID long, IngredientID long, quantity_required decimal(8,2)"
+LINES = "Order_ID long, ProductID long, Quantity int, Line_Total decimal(8,2)"
+
+
+@pytest.fixture
+def files(spark, tmp_path):
+    """Write lists of rows as one file each and read them one per micro-batch."""
+
+    def stream(name, parts, schema):
+        path = str(tmp_path / name)
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        shape = spark.createDataFrame([], schema).schema
+        return spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path)
+
+    return stream
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    def make(name, schema):
+        return BatchLog(spark, str(tmp_path / name), schema).create()
+
+    return make
+
+
+def batches(log):
+    return {r.batch for r in log.read().select("batch").distinct().collect()}
+
+
+def split(rows, n):
+    return [rows[k::n] for k in range(n)]
+
+
+def test_ledger(spark, files, log, tmp_path):
+    rng = random.Random(5)
+    received = [(rng.randrange(6), rng.choice([1, 2, 3])) for _ in range(40)] + [(5, None)]
+    ordered = [(1, rng.randrange(5), rng.randrange(1, 4), Decimal(1)) for _ in range(40)]
+    recipes = spark.createDataFrame(
+        [(n, n % 5, n % 4, Decimal(n) / 10) for n in range(20)], RECIPE
+    )
+    stock = spark.createDataFrame([(n, Decimal(100)) for n in range(8)], STOCK)
+    shape = "IngredientID long, Quantity_Received int"
+    moves = log("moves", MOVEMENT)
+    streaming.stream_stock_ledger(
+        files("receipts", split(received, 3), shape),
+        files("lines", split(ordered, 4), LINES),
+        lambda: recipes,
+        moves,
+        str(tmp_path / "check"),
+    ).awaitTermination()
+    assert len(batches(moves)) > 2
+    want = op.apply_batch_receipts(stock, spark.createDataFrame(received, shape))
+    want = op.deduct_ingredients(want, recipes, spark.createDataFrame(ordered, LINES))
+    got = streaming.stock_now(stock, moves)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ledger_uses_the_recipe_of_the_moment(spark, files, log, tmp_path):
+    stock = spark.createDataFrame([(1, Decimal(100))], STOCK)
+    asked = []
+
+    def recipes_now():
+        asked.append(1)
+        return spark.createDataFrame([(1, 1, 1, Decimal(len(asked)))], RECIPE)
+
+    moves = log("moves", MOVEMENT)
+    line = [(1, 1, 1, Decimal(1))]
+    streaming.stream_stock_ledger(
+        files("receipts", [[(9, 1)]], "IngredientID long, Quantity_Received int"),
+        files("lines", [line, line, line], LINES),
+        recipes_now,
+        moves,
+        str(tmp_path / "check"),
+    ).awaitTermination()
+    assert streaming.stock_now(stock, moves).first().Current_stock == 100 - 1 - 2 - 3
+
+
+def test_order_totals(spark, files, log, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.randrange(9), 1, 1, Decimal(rng.randrange(100))) for _ in range(60)]
+    rows += [(50, 1, 1, None), (None, 1, 1, Decimal(1))]
+    total = T.StructField("Total_Amount", T.DecimalType(18, 2))
+    totals = log("totals", T.StructType([T.StructField("Order_ID", T.LongType()), total]))
+    stream = files("lines", split(rows, 4), LINES)
+    streaming.stream_order_totals(stream, totals, str(tmp_path / "check")).awaitTermination()
+    assert len(batches(totals)) > 2
+    want = {}
+    for order, _, _, amount in rows:
+        if order is not None:
+            old = want.get(order)
+            want[order] = old if amount is None else amount + (old or 0)
+    assert {r.Order_ID: r.Total_Amount for r in streaming.current_totals(totals).collect()} == want
+
+
+def walk(events):
+    """Dispatch decisions, event by event."""
+    open_id, out = {}, {}
+    for seq, kind, delivery, rider in sorted(events):
+        if kind == "completion":
+            if rider is not None and open_id.get(rider) == delivery:
+                open_id[rider] = None
+        elif delivery is None:
+            out[seq] = "missing key"
+        elif rider is None or open_id.get(rider) is None:
+            out[seq] = None
+            if rider is not None:
+                open_id[rider] = delivery
+        else:
+            out[seq] = "rider busy"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_dispatch(spark, files, log, tmp_path, seed):
+    rng = random.Random(seed)
+    big = 2**60  # beyond what a float could hold
+    events = [
+        (
+            n,
+            rng.choice(["dispatch", "completion"]),
+            rng.choice([None] + [big + k for k in range(3)] * 4),
+            rng.choice([None, 1, 1, 1, 2, 3, 4, 5, 6]),
+        )
+        for n in range(300)
+    ]
+    # Consecutive stretches, so that micro-batches are in order of sequence.
+    parts = [events[:80], events[80:81], events[81:200], events[200:]]
+    shape = "seq long, kind string, Delivery_ID long, Rider_ID long"
+    decisions, riders = log("decisions", streaming.DECISION), log("riders", streaming.RIDER_STATE)
+    streaming.stream_dispatch(
+        files("events", parts, shape), decisions, riders, str(tmp_path / "check")
+    ).awaitTermination()
+    assert len(batches(decisions)) == 4
+    got = {r.seq: r.reason for r in streaming.dispatches(decisions).collect()}
+    assert got == walk(events)
+
+
+def test_validated_append(spark, files, log, tmp_path):
+    shape = "seq long, Employee_ID long, Salary long"
+    parts = [
+        [(1, 1, 0), (2, 1, 5), (3, 2, None)],
+        [(4, 1, 5), (5, 7, 5), (6, 8, -1)],
+        [(7, 8, 1), (8, 2, 1), (9, 8, 1)],
+    ]
+    schema = spark.createDataFrame([], shape).schema
+    accepted = log("accepted", schema)
+    rejected = log("rejected", T.StructType([*schema.fields, T.StructField("reason", T.StringType())]))
+    stored = spark.createDataFrame([(7,)], "Employee_ID long")
+    streaming.stream_validated_append(
+        files("rows", parts, shape), stored, accepted, rejected, str(tmp_path / "check")
+    ).awaitTermination()
+    assert {r.seq for r in accepted.read().collect()} == {2, 3, 7}
+    assert {r.seq: r.reason for r in rejected.read().collect()} == {
+        1: "salary not positive", 4: "duplicate key", 5: "duplicate key",
+        6: "salary not positive", 8: "duplicate key", 9: "duplicate key",
+    }
+
+
+def test_upsert(spark, files, log, tmp_path):
+    base = spark.createDataFrame([(1, 1, 1, Decimal(1)), (2, 1, 1, Decimal(1))], RECIPE)
+    parts = [
+        [(1, 2, 5, 5, Decimal(5)), (2, 2, 6, 6, Decimal(6))],
+        [(3, 3, 7, 7, Decimal(7))],
+        [(4, 3, 8, 8, None)],
+    ]
+    newest = log("newest", base.schema)
+    stream = files("rows", parts, "seq long, " + RECIPE)
+    streaming.stream_upsert(stream, newest, str(tmp_path / "check"), "RecipeID").awaitTermination()
+    got = streaming.current_rows(base, newest, "RecipeID").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, 1), (2, 6, 6, 6), (3, 8, 8, None)]
+
+
+def test_a_replayed_batch_counts_once(spark, log):
+    moves = log("moves", MOVEMENT)
+    stock = spark.createDataFrame([(1, Decimal(10))], STOCK)
+    rows = spark.createDataFrame([(1, Decimal(2), False)], MOVEMENT)
+    for batch_id in (0, 1, 1):
+        moves.write(rows, batch_id)
+    assert streaming.stock_now(stock, moves).first().Current_stock == 14
+    assert moves.read(before=1).count() == 1
+
+
+def test_unknown_movements_stay(spark, log):
+    moves = log("moves", MOVEMENT)
+    stock = spark.createDataFrame([(1, Decimal(10))], STOCK)
+    moves.write(spark.createDataFrame([(1, None, True)], MOVEMENT), 0)
+    moves.write(spark.createDataFrame([(1, Decimal(2), False)], MOVEMENT), 1)
+    assert streaming.stock_now(stock, moves).select(F.col("Current_stock")).first()[0] is None
