@@ -15,6 +15,7 @@ from larder.operators.ledger import (
 )
 from larder.operators.rules import stamp_dispatch_time, validate_rider, validate_salary
 from larder.operators.verdict import Verdict, reject_taken_keys
+from larder.session import stored
 from larder.sources.catalog import TABLES
 
 
@@ -41,7 +42,8 @@ def bulk_append(
             new = stamp_dispatch_time(validate_rider(after[name], new, seq).decided, now)
         elif name == "Orders":
             new = order_final_total(new)
-        verdict = Verdict(reject_taken_keys(new, after[name], spec.key, seq))
+        # Read several times below, so decided and stored once.
+        verdict = Verdict(stored(reject_taken_keys(new, after[name], spec.key, seq), "decided"))
         accepted = verdict.accepted.select(after[name].columns)
         refused[name] = verdict.rejected
         after[name] = after[name].unionByName(accepted)

@@ -26,7 +26,7 @@ from larder.operators.verdict import (
     judge,
     reject_taken_keys,
 )
-from larder.session import shared_dir
+from larder.session import stored
 from larder.sources.catalog import TABLES
 
 # The states a piece of equipment may be in, the defaults of a
@@ -200,20 +200,19 @@ def _dispatch(bids: DataFrame, seq: str) -> DataFrame:
     whatever else happens, and the bids that share either with it are lost.
     What is left is decided the same way, in rounds.  One round settles a
     batch whose keys are unique; more are needed only for bids that wait for
-    a rider's earlier bid on a contested key.  Each round is checkpointed.
+    a rider's earlier bid on a contested key.  Each round is stored.
     """
-    shared_dir(bids.sparkSession)
-    won, left = [], bids.checkpoint()
+    won, left = [], stored(bids, "bids")
     while True:
         by_rider = left.groupBy("Rider_ID").agg(F.min(seq).alias(seq))
         by_key = left.groupBy("Delivery_ID").agg(F.min(seq).alias(seq))
         first = left.join(by_rider, ["Rider_ID", seq], "left_semi")
-        first = first.join(by_key, ["Delivery_ID", seq], "left_semi").checkpoint()
+        first = stored(first.join(by_key, ["Delivery_ID", seq], "left_semi"), "won")
         won.append(first)
         left = without(without(left, first, "Rider_ID"), first, "Delivery_ID")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, won)
-        left = left.checkpoint()
+        left = stored(left, "bids")
 
 
 def complete_delivery(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.verdict import Verdict, reject_taken_keys
-from larder.session import shared_dir
+from larder.session import stored
 
 # monotonically_increasing_id() keeps the partition number above this bit and
 # the row number inside the partition below it.
@@ -67,18 +67,17 @@ def assign_ids(
     """Give the new rows consecutive keys after the largest stored one.
 
     ``order`` must identify a row.  The rows are range partitioned and sorted,
-    and each gets its place inside its partition; the result is checkpointed,
-    so that a lost executor cannot renumber it.  What the driver sees is one
+    and each gets its place inside its partition; the result is stored, so that
+    a lost executor cannot renumber it.  What the driver sees is one
     row count per partition.
     """
     spark = new.sparkSession
-    shared_dir(spark)
     order = list(order)
-    placed = (
+    placed = stored(
         new.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "placed",
     )
     part = F.shiftrightunsigned("_place", _ROW_BITS)
     sizes = sorted(placed.groupBy(part.alias("_part")).count().collect())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import full_name
 from larder.plans.views import order_summary
-from larder.session import shared_dir
+from larder.session import stored
 
 
 def customer_lookup(customers: DataFrame) -> DataFrame:
@@ -57,13 +57,12 @@ def recent_orders(
 
     The higher id comes first among the orders of one day.  Each order gives
     at least one row, so the ``n`` newest orders are enough.  They are picked
-    before the payments are read and checkpointed, being ``n`` rows; Catalyst
+    before the payments are read, and stored, being ``n`` rows; Catalyst
     then broadcasts them instead of shuffling the payments.
     """
-    shared_dir(orders.sparkSession)
     newest = [F.desc("Order_Date"), F.desc("Order_ID")]
     known = orders.join(customers.select("CustomerID"), "CustomerID", "left_semi")
-    picked = known.orderBy(*newest).limit(n).checkpoint()
+    picked = stored(known.orderBy(*newest).limit(n), "newest")
     ours = payments.join(picked.select("Order_ID"), "Order_ID", "left_semi")
     rows = order_summary(picked, customers, ours)
     return rows.orderBy(*newest, F.asc("PaymentStatus")).limit(n)

@@ -6,7 +6,6 @@ from larder.streaming.jobs import (
     RIDER_STATE,
     current_rows,
     current_totals,
-    dispatches,
     stock_now,
     stream_dispatch,
     stream_order_totals,
@@ -22,7 +21,6 @@ __all__ = [
     "RIDER_STATE",
     "current_rows",
     "current_totals",
-    "dispatches",
     "stock_now",
     "stream_dispatch",
     "stream_order_totals",

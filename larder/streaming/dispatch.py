@@ -3,47 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larder.operators.rules import RIDER_BUSY
 from larder.operators.verdict import MISSING_KEY
+from larder.session import stored
 
 DISPATCH, COMPLETION, STATE = "dispatch", "completion", "state"
 
-_NAMES = ["seq", "kind", "Delivery_ID", "Rider_ID", "reason"]
-_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-_OUT = "seq bigint, kind string, Delivery_ID bigint, Rider_ID bigint, reason string"
+_NAMES = ["seq", "kind", "Delivery_ID", "Rider_ID", "part", "reason"]
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+_OUT = (
+    "seq bigint, kind string, Delivery_ID bigint, Rider_ID bigint, part bigint, reason string"
+)
+_PART = ["Rider_ID", "part"]
+Part = tuple[int, int]  # a rider and one of the stretches its events are cut into
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decide rows sorted by rider and sequence; a rider may span batches.
+    """Decide rows sorted by rider, part and sequence; a part may span batches.
 
     Yields the dispatches with their reason and, after the last row of each
-    rider, a state row with the delivery that is open.
+    part, a state row with the delivery that is open.
     """
-    rider = open_id = None
+    here = open_id = None
     for batch in batches:
         out = []
-        columns = (batch.column(name).to_pylist() for name in _NAMES[:4])
-        for seq, kind, delivery, who in zip(*columns, strict=True):
-            if who != rider:
-                if rider is not None:
-                    out.append((None, STATE, open_id, rider, None))
-                rider, open_id = who, None
+        columns = (batch.column(name).to_pylist() for name in _NAMES[:5])
+        for seq, kind, delivery, rider, part in zip(*columns, strict=True):
+            if (rider, part) != here:
+                if here is not None:
+                    out.append((None, STATE, open_id, *here, None))
+                here, open_id = (rider, part), None
             if kind == STATE:
                 open_id = delivery
             elif kind == COMPLETION and delivery == open_id:
                 open_id = None
             elif kind == DISPATCH and delivery is None:
-                out.append((seq, DISPATCH, None, who, MISSING_KEY))
+                out.append((seq, DISPATCH, None, rider, part, MISSING_KEY))
             elif kind == DISPATCH:
-                out.append((seq, DISPATCH, delivery, who, None if open_id is None else RIDER_BUSY))
+                reason = None if open_id is None else RIDER_BUSY
+                out.append((seq, DISPATCH, delivery, rider, part, reason))
                 open_id = delivery if open_id is None else open_id
         yield _batch(out)
-    if rider is not None:
-        yield _batch([(None, STATE, open_id, rider, None)])
+    if here is not None:
+        yield _batch([(None, STATE, open_id, *here, None)])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -52,11 +60,110 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
+def _walked(rows: DataFrame) -> DataFrame:
+    # A state row has no sequence and so comes first in its part.
+    placed = rows.repartition("Rider_ID", "part")
+    return stored(
+        placed.sortWithinPartitions("Rider_ID", "part", "seq").mapInArrow(_walk, _OUT), "walked"
+    )
+
+
 def decide(rows: DataFrame) -> DataFrame:
-    """Dispatches with their reason, and one state row per rider.
+    """Dispatches with their reason, and state rows with the open delivery after each part.
 
-    Ids are 64-bit integers; a state row has no ``seq`` and therefore sorts
-    before the events of its rider.
+    Range partitioning by rider and sequence cuts a rider with very many
+    events into several parts, which are walked at the same time, each as if
+    the rider were free at its start.  Parts whose rider turns out not to be
+    free are walked again from the delivery that is open, until each part
+    starts as the one before it ends; the first that does not is right after
+    the next walk.  As a rule the end of a part does not depend on its start,
+    or the open delivery outlasts the part, and the second walk is the last.
+
+    The driver sees one row per part of riders with several parts.  A partition
+    shares at most its first and its last rider with others, so that there are
+    at most two such rows per partition.
     """
-    ordered = rows.repartition("Rider_ID").sortWithinPartitions("Rider_ID", "seq")
-    return ordered.mapInArrow(_walk, _OUT)
+    board = stored(
+        rows.repartitionByRange("Rider_ID", "seq").withColumn(
+            "part", F.spark_partition_id().cast("bigint")
+        ),
+        "board",
+    )
+    layers = [_walked(board)]
+    started: dict[Part, int | None] = {}  # how each part was walked, if not from free
+    ends: dict[tuple[Part, int | None], int | None] = {}  # part and start to end
+    freed: dict[tuple[Part, int | None], int] = {}  # part and its end to the part that frees it
+    several = _states(layers[0]).groupBy("Rider_ID").count().where(F.col("count") > 1)
+    news = _states(layers[0]).join(several, "Rider_ID", "left_semi")
+    while True:
+        found = {(r.Rider_ID, r.part): r.Delivery_ID for r in news.collect()}
+        ends.update({(part, started.get(part)): end for part, end in found.items()})
+        freed.update(_freed(board, found))
+        wanted = _follow(ends, freed)
+        wrong = {part: start for part, start in wanted.items() if started.get(part) != start}
+        if not wrong:
+            return reduce(DataFrame.unionByName, layers)
+        started.update(wrong)
+        # At most two rows per partition, as said above.
+        opening = _rows(board, wrong).withColumns(
+            {"seq": F.lit(None).cast("bigint"), "kind": F.lit(STATE)}
+        )
+        redo = F.broadcast(opening.select(_PART))
+        layers = [layer.join(redo, _PART, "left_anti") for layer in layers]
+        layers.append(_walked(board.join(redo, _PART, "left_semi").unionByName(opening)))
+        news = _states(layers[-1])
+
+
+def _states(decided: DataFrame) -> DataFrame:
+    return decided.where(F.col("kind") == STATE).select(*_PART, "Delivery_ID")
+
+
+def _rows(board: DataFrame, deliveries: dict[Part, int | None]) -> DataFrame:
+    rows = [(*part, delivery) for part, delivery in deliveries.items()]
+    return board.sparkSession.createDataFrame(
+        rows, "Rider_ID bigint, part bigint, Delivery_ID bigint"
+    )
+
+
+def _freed(board: DataFrame, ends: dict[Part, int | None]) -> dict:
+    """Where the delivery that is open after a part is completed: the first later part."""
+    held = {part: delivery for part, delivery in ends.items() if delivery is not None}
+    if not held:
+        return {}
+    later = _rows(board, held).withColumnRenamed("part", "after")
+    found = (
+        board.where(F.col("kind") == COMPLETION)
+        .join(F.broadcast(later), ["Rider_ID", "Delivery_ID"])
+        .where(F.col("part") > F.col("after"))
+        .groupBy("Rider_ID", "after", "Delivery_ID")
+        .agg(F.min("part").alias("part"))
+    )
+    return {((r.Rider_ID, r.after), r.Delivery_ID): r.part for r in found.collect()}
+
+
+def _follow(ends: dict, freed: dict) -> dict[Part, int | None]:
+    """The start of each part, as far as the ends are known.
+
+    Where a part has not been walked from its start, its end is that start if
+    the delivery is completed in a later part or never, and otherwise taken to
+    be the end it has from free.
+    """
+    starts: dict[Part, int | None] = {}
+    rider = start = since = None
+    for part in sorted({part for part, _ in ends}):
+        if part[0] != rider:
+            rider, start = part[0], None
+        starts[part] = start
+        if (part, start) in ends:
+            start, since = ends[part, start], part
+        elif (freed.get((since, start)) or part[1] + 1) <= part[1]:
+            start, since = ends[part, None], part
+    return starts
+
+
+def open_deliveries(decided: DataFrame) -> DataFrame:
+    """The delivery that is open, or NULL, for each rider that had an event."""
+    states = decided.where(F.col("kind") == STATE)
+    return states.groupBy("Rider_ID").agg(
+        F.max_by("Delivery_ID", "part").alias("open_delivery")
+    )

@@ -19,7 +19,7 @@ from larder.operators.ledger import apply_movements, usage_movements
 from larder.operators.rules import validate_salary
 from larder.operators.verdict import MISSING_KEY, Verdict, judge, reject_taken_keys
 from larder.sources.batchlog import BATCH, BatchLog
-from larder.streaming.dispatch import DISPATCH, STATE, decide
+from larder.streaming.dispatch import DISPATCH, STATE, decide, open_deliveries
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -120,43 +120,44 @@ def stream_dispatch(
     ``events`` has ``seq``, ``kind`` (``dispatch`` or ``completion``),
     ``Delivery_ID`` and ``Rider_ID``.  ``decisions`` logs each dispatch with its
     ``reason``; ``riders`` logs the open delivery of the riders a micro-batch
-    touched.  A micro-batch is walked rider by rider in order of ``seq``: the
-    sort is Spark's and the walk remembers one delivery id, so how many events
-    a rider has does not matter to memory; how many there are in a micro-batch
-    is set by the rate limit of the source.
+    touched and, every so often, of all riders, so that no more than the
+    batches since then need to be read.
     """
 
     def each(rows: DataFrame, batch_id: int) -> None:
         rows = rows.select("seq", "kind", "Delivery_ID", "Rider_ID").persist()
         known = rows.where(F.col("Rider_ID").isNotNull())
-        before = last_per_key(riders.read(before=batch_id), "Rider_ID", BATCH)
-        carried = before.join(known.select("Rider_ID").distinct(), "Rider_ID", "left_semi")
-        carried = carried.select(
+        since = max(batch_id - 1, 0) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+        logged = riders.read(before=batch_id).where(F.col(BATCH) >= since)
+        before = last_per_key(logged, "Rider_ID", BATCH)
+        touched = known.select("Rider_ID").distinct()
+        carried = before.join(touched, "Rider_ID", "left_semi").select(
             F.lit(None).cast("bigint").alias("seq"),
             F.lit(STATE).alias("kind"),
             F.col("open_delivery").alias("Delivery_ID"),
             "Rider_ID",
         )
+        decided = decide(known.unionByName(carried))
+        now_open = open_deliveries(decided)
         unbound = rows.where(F.col("Rider_ID").isNull() & (F.col("kind") == DISPATCH))
-        decided = decide(known.unionByName(carried)).unionByName(
-            judge(unbound, (F.col("Delivery_ID").isNull(), MISSING_KEY))
-        )
-        decisions.write(decided, batch_id)
-        # Read back what was stored, rather than walking a second time.
-        stored = decisions.read().where(F.col(BATCH) == batch_id)
-        states = stored.where(F.col("kind") == STATE)
-        riders.write(
-            states.select("Rider_ID", F.col("Delivery_ID").alias("open_delivery")), batch_id
-        )
+        unbound = judge(unbound, (F.col("Delivery_ID").isNull(), MISSING_KEY))
+        ruled = decided.where(F.col("kind") == DISPATCH).drop("part")
+        decisions.write(ruled.unionByName(unbound), batch_id)
+        if batch_id % SNAPSHOT_EVERY == 0:
+            rest = before.join(touched, "Rider_ID", "left_anti")
+            now_open = now_open.unionByName(rest)
+        riders.write(now_open, batch_id)
         rows.unpersist()
 
     return _start(events, each, checkpoint, trigger)
 
 
+# How many micro-batches of rider states are read at most to know the current one.
+SNAPSHOT_EVERY = 50
+
 DECISION = T.StructType(
     [
         T.StructField("seq", T.LongType()),
-        T.StructField("kind", T.StringType()),
         T.StructField("Delivery_ID", T.LongType()),
         T.StructField("Rider_ID", T.LongType()),
         T.StructField("reason", T.StringType()),
@@ -167,11 +168,6 @@ RIDER_STATE = T.StructType(
 )
 
 
-def dispatches(decisions: BatchLog) -> DataFrame:
-    """The decided dispatches, without completions and carried states."""
-    return decisions.read().where(F.col("kind") == DISPATCH).drop("kind", BATCH)
-
-
 def stream_validated_append(
     rows: DataFrame,
     stored: DataFrame,

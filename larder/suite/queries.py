@@ -623,7 +623,7 @@ def stream_dispatch(t: Bound) -> DataFrame:
     decisions = log(t, "decisions", streaming.DECISION)
     riders = log(t, "riders", streaming.RIDER_STATE)
     streaming.stream_dispatch(board, decisions, riders, checkpoint(t)).awaitTermination()
-    return streaming.dispatches(decisions)
+    return decisions.read().drop("batch")
 
 
 @registered

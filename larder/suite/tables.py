@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.functions import STAMP_FORMAT
 from larder.sources.catalog import TABLES
@@ -23,6 +24,8 @@ RECIPE_LINES = 4  # recipe lines of each product
 # Statuses that stand for the one-letter codes of the orders table.
 PO_STATUS = {"F": "Delivered", "O": "Pending", "P": "Shipped"}
 
+_SCHEMAS: dict[str, StructType] = {}
+
 
 def money(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("decimal(12,2)")
@@ -55,7 +58,11 @@ class Bound(Mapping):
         return len(TABLES)
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A benchmark table; its schema is read from the files once per process."""
+        path = f"{self.dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def stream(self, name: str) -> DataFrame:
         """The same files as a stream.

@@ -13,6 +13,8 @@ from larder import operators as op
 from larder import streaming
 from larder.operators.ledger import MOVEMENT
 from larder.sources import BatchLog
+from larder.streaming import dispatch, jobs
+from larder.streaming.dispatch import decide, open_deliveries
 
 STOCK = "IngredientID long, Current_stock decimal(20,2)"
 RECIPE = "RecipeID long, ProductID long, IngredientID long, quantity_required decimal(8,2)"
@@ -128,31 +130,62 @@ def walk(events):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_dispatch(spark, files, log, tmp_path, seed):
+@pytest.fixture
+def many_parts(conf):
+    """Range partitions as they are, so that a rider's events fall into several."""
+    conf(adaptive__coalescePartitions__enabled="false", shuffle__partitions="16")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dispatch(spark, files, log, tmp_path, many_parts, monkeypatch, seed):
     rng = random.Random(seed)
+    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
     big = 2**60  # beyond what a float could hold
+    spread = [3, 3, 40][seed]  # how rarely a completion finds its delivery open
     events = [
         (
             n,
             rng.choice(["dispatch", "completion"]),
-            rng.choice([None] + [big + k for k in range(3)] * 4),
-            rng.choice([None, 1, 1, 1, 2, 3, 4, 5, 6]),
+            rng.choice([None] + [big + k for k in range(spread)] * 4),
+            rng.choice([None, 1, 1, 1, 1, 1, 1, 2, 3, 4, 5, 6]),
         )
-        for n in range(300)
+        for n in range(1500)
     ]
     # Consecutive stretches, so that micro-batches are in order of sequence.
-    parts = [events[:80], events[80:81], events[81:200], events[200:]]
+    parts = [events[:80], events[80:81], events[81:600], events[600:]]
     shape = "seq long, kind string, Delivery_ID long, Rider_ID long"
     decisions, riders = log("decisions", streaming.DECISION), log("riders", streaming.RIDER_STATE)
     streaming.stream_dispatch(
         files("events", parts, shape), decisions, riders, str(tmp_path / "check")
     ).awaitTermination()
-    assert len(batches(decisions)) == 4
-    got = {r.seq: r.reason for r in streaming.dispatches(decisions).collect()}
+    assert len(batches(decisions)) > 2
+    got = {r.seq: r.reason for r in decisions.read().collect()}
     assert got == walk(events)
 
 
+def test_a_rider_with_most_events_is_walked_in_parts(spark, many_parts):
+    rng = random.Random(9)
+    events = [
+        (n, rng.choice(["dispatch", "completion"]), rng.randrange(9), rng.choice([1, 1, 1, n]))
+        for n in range(4000)
+    ]
+    rows = spark.createDataFrame(events, "seq long, kind string, Delivery_ID long, Rider_ID long")
+    decided = decide(rows.repartition(4)).collect()
+    assert len({r.part for r in decided if r.Rider_ID == 1}) > 5
+    assert {r.seq: r.reason for r in decided if r.kind == "dispatch"} == walk(events)
+
+
+def test_an_open_delivery_outlasts_all_parts(spark, many_parts, monkeypatch):
+    events = [(n, "dispatch", n, 1) for n in range(2000)]
+    rows = spark.createDataFrame(events, "seq long, kind string, Delivery_ID long, Rider_ID long")
+    walks = []
+    monkeypatch.setattr(dispatch, "_walked", lambda df, real=dispatch._walked: walks.append(1) or real(df))
+    decided = decide(rows.repartition(4)).cache()
+    assert len(walks) == 2
+    assert {r.seq for r in decided.where("kind = 'dispatch' AND reason IS NULL").collect()} == {0}
+    assert [tuple(r) for r in open_deliveries(decided).collect()] == [(1, 0)]
+
+
 def test_validated_append(spark, files, log, tmp_path):
     shape = "seq long, Employee_ID long, Salary long"
     parts = [
