@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,18 @@ def test_type_violations(spark):
     }
 
 
+def test_type_violations_of_typed_columns(spark):
+    df = spark.createDataFrame(
+        [(1, Decimal("1.50"), Decimal("1234567.00"), 7), (2, None, Decimal("1.00"), None)],
+        "i long, whole decimal(8,2), amount decimal(12,2), n int",
+    )
+    spec = {"i": "INT", "whole": "INT", "amount": "DECIMAL(8,2)", "n": "DECIMAL(8,2)"}
+    assert {tuple(r) for r in op.type_violations(df, spec).collect()} == {
+        ("whole", "1.50", "INT"), ("amount", "1234567.00", "DECIMAL(8,2)"),
+    }
+    assert op.type_violations(df, {"i": "INT"}).isEmpty()
+
+
 def test_typed_files(spark, tmp_path):
     text = tmp_path / "recipes.csv"
     text.write_text("RecipeID,ProductID,IngredientID,quantity_required\n1,2,3,0.40\n2,2,4,\n")
