@@ -13,7 +13,7 @@ from larder.operators.ledger import (
     order_final_total,
     rollup_order_total,
 )
-from larder.operators.rules import stamp_dispatch_time, validate_rider, validate_salary
+from larder.operators.rules import judge_deliveries, stamp_dispatch_time, validate_salary
 from larder.operators.verdict import Verdict, reject_taken_keys
 from larder.session import stored
 from larder.sources.catalog import TABLES
@@ -39,7 +39,7 @@ def bulk_append(
         if name == "Employees":
             new = validate_salary(new).decided
         elif name == "Deliveries":
-            new = stamp_dispatch_time(validate_rider(after[name], new, seq).decided, now)
+            new = stamp_dispatch_time(judge_deliveries(after[name], new, seq).decided, now)
         elif name == "Orders":
             new = order_final_total(new)
         # Read several times below, so decided and stored once.

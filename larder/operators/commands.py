@@ -8,7 +8,6 @@ next to ``seq``.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from larder.operators.joining import attach, flag, within, without
 from larder.operators.keyed import assign_ids, update_by_key
 from larder.operators.ledger import apply_batch_receipts, order_final_total
 from larder.operators.rules import RIDER_BUSY, SALARY_NOT_POSITIVE, busy_riders
+from larder.operators.turns import opened, settle
 from larder.operators.verdict import (
     DUPLICATE_KEY,
     MISSING_KEY,
@@ -26,7 +26,6 @@ from larder.operators.verdict import (
     judge,
     reject_taken_keys,
 )
-from larder.session import stored
 from larder.sources.catalog import TABLES
 
 # The states a piece of equipment may be in, the defaults of a
@@ -155,7 +154,7 @@ def assign_delivery(
     """Dispatch deliveries of known orders by known, free riders.
 
     An accepted command takes both its rider and its key from all later ones,
-    a refused one takes neither.  See :func:`_dispatch` for how that order of
+    a refused one takes neither.  See :func:`settle` for how that order of
     events is followed without walking through the commands one by one.
     """
     ordered = flag(cmds, "Order_ID", orders, "Order_ID", "_order")
@@ -165,10 +164,10 @@ def assign_delivery(
     bids = (
         ordered.where(F.col("_order"))
         .where(F.col("Delivery_ID").isNotNull())
-        .select(seq, "Rider_ID", "Delivery_ID")
+        .select(seq, "Rider_ID", "Delivery_ID", F.lit(True).alias("opens"))
     )
     bids = without(within(bids, free, "Rider_ID"), deliveries, "Delivery_ID")
-    taken = _dispatch(bids, seq).select("Rider_ID", F.col(seq).alias("_from"))
+    taken = opened(settle(bids, seq), seq)
     # All that is known of a rider in one row, so that the commands meet it in one join.
     facts = (
         known.withColumn("_rider", F.lit(True))
@@ -193,28 +192,6 @@ def assign_delivery(
     return Verdict(_shaped(rows, "Deliveries", seq))
 
 
-def _dispatch(bids: DataFrame, seq: str) -> DataFrame:
-    """The bids that win, where each takes its rider and its key from later ones.
-
-    A bid that is the first of its rider and the first for its key wins
-    whatever else happens, and the bids that share either with it are lost.
-    What is left is decided the same way, in rounds.  One round settles a
-    batch whose keys are unique; more are needed only for bids that wait for
-    a rider's earlier bid on a contested key.  Each round is stored.
-    """
-    won, left = [], stored(bids, "bids")
-    while True:
-        by_rider = left.groupBy("Rider_ID").agg(F.min(seq).alias(seq))
-        by_key = left.groupBy("Delivery_ID").agg(F.min(seq).alias(seq))
-        first = left.join(by_rider, ["Rider_ID", seq], "left_semi")
-        first = stored(first.join(by_key, ["Delivery_ID", seq], "left_semi"), "won")
-        won.append(first)
-        left = without(without(left, first, "Rider_ID"), first, "Delivery_ID")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, won)
-        left = stored(left, "bids")
-
-
 def complete_delivery(
     cmds: DataFrame,
     deliveries: DataFrame,

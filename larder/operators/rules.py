@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import as_stamp, is_missing
-from larder.operators.joining import attach
-from larder.operators.verdict import Verdict, judge
+from larder.operators.joining import attach, without
+from larder.operators.turns import opened, settle
+from larder.operators.verdict import DUPLICATE_KEY, MISSING_KEY, Verdict, judge
 
 RIDER_BUSY = "rider busy"
 SALARY_NOT_POSITIVE = "salary not positive"
@@ -42,6 +43,26 @@ def validate_rider(deliveries: DataFrame, new: DataFrame, seq: str = "seq") -> V
     return Verdict(judged.drop("_from", "_busy"))
 
 
+def judge_deliveries(deliveries: DataFrame, new: DataFrame, seq: str = "seq") -> Verdict:
+    """The rider rule and the key together: only accepted rows take either."""
+    opens = F.coalesce(F.col("Delivery_Status") == 0, F.lit(False))
+    busy = busy_riders(deliveries)
+    bids = new.where(F.col("Delivery_ID").isNotNull()).select(
+        seq, "Rider_ID", "Delivery_ID", opens.alias("opens")
+    )
+    bids = without(without(bids, busy, "Rider_ID"), deliveries, "Delivery_ID")
+    won = settle(bids, seq)
+    facts = busy.withColumn("_busy", F.lit(True)).join(opened(won, seq), "Rider_ID", "full")
+    wins = won.select("Delivery_ID", seq, F.lit(True).alias("_wins"))
+    judged = judge(
+        attach(new, facts, "Rider_ID").join(wins, ["Delivery_ID", seq], "left"),
+        (F.col("_busy") | (F.col(seq) > F.col("_from")), RIDER_BUSY),
+        (F.col("Delivery_ID").isNull(), MISSING_KEY),
+        (F.col("_wins").isNull(), DUPLICATE_KEY),
+    )
+    return Verdict(judged.drop("_busy", "_from", "_wins"))
+
+
 def stamp_dispatch_time(new: DataFrame, now: Column | dt.datetime | str | None = None) -> DataFrame:
     """Fill a missing dispatch time with ``now``."""
     given = F.col("Dispatch_Time")

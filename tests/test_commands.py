@@ -200,6 +200,38 @@ def test_dispatch_needs_more_rounds_where_bids_wait(spark):
     assert reasons(verdict) == one_by_one(commands, set(), set(), {1}, set(range(9)))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bulk_deliveries_equal_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    rows = [
+        (n, rng.choice([None, *range(1, 40)]), rng.choice([None, *range(15)]), rng.choice([0, 1, None]))
+        for n in range(120)
+    ]
+    keys, busy, want = {1, 2, 100}, {3}, {}
+    for seq, key, rider, status in rows:
+        if rider in busy:
+            want[seq] = "rider busy"
+        elif key is None or key in keys:
+            want[seq] = "missing key" if key is None else "duplicate key"
+        else:
+            want[seq] = None
+            keys.add(key)
+            if status == 0 and rider is not None:
+                busy.add(rider)
+    shape = "Delivery_ID long, Order_ID long, Rider_ID long, Dispatch_Time string, Delivery_Status int"
+    state = spark.createDataFrame([(1, 1, 1, "t", 1), (2, 1, 2, "t", 1), (100, 1, 3, "t", 0)], shape)
+    new = spark.createDataFrame(
+        [(s, k, 1, r, None, st) for s, k, r, st in rows], "seq long, " + shape
+    )
+    after, refused = op.bulk_append({"Deliveries": state}, {"Deliveries": new}, "2026-01-01 08:00:00")
+    got = {r.seq: r.reason for r in refused["Deliveries"].collect()}
+    assert got == {s: r for s, r in want.items() if r}
+    stored = {r.Delivery_ID: r.Dispatch_Time for r in after["Deliveries"].collect()}
+    assert stored == {1: "t", 2: "t", 100: "t"} | {
+        k: "2026-01-01 08:00:00" for s, k, _, _ in rows if want[s] is None
+    }
+
+
 def test_complete_delivery(spark):
     deliveries = spark.createDataFrame(
         [(1, None, 0), (2, "t", 1), (3, None, 0)],
