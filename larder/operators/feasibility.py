@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 
 def check_feasibility(requests: DataFrame, recipes: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """Per request and recipe line: needed, in stock, and ``Yes`` or ``No``."""
+    """Per request and recipe line: needed, in stock, and ``Yes`` or ``No``.
+
+    Recipes meet the stock first, so that the requests are shuffled once and
+    before each of them becomes several rows.
+    """
     needed = F.col("quantity_required") * F.col("Quantity")
     stock = F.col("Current_stock")
-    return (
-        requests.join(recipes, "ProductID")
-        .join(ingredients.select("IngredientID", "Name", "Current_stock"), "IngredientID")
-        .select(
-            "ProductID",
-            "Quantity",
-            F.col("Name").alias("Ingredient"),
-            needed.alias("RequiredQty"),
-            stock.alias("CurrentStock"),
-            F.when(stock >= needed, "Yes").otherwise("No").alias("IsFeasible"),
-        )
+    stocked = recipes.select("ProductID", "IngredientID", "quantity_required").join(
+        ingredients.select("IngredientID", "Name", "Current_stock"), "IngredientID"
+    )
+    return requests.join(stocked, "ProductID").select(
+        "ProductID",
+        "Quantity",
+        F.col("Name").alias("Ingredient"),
+        needed.alias("RequiredQty"),
+        stock.alias("CurrentStock"),
+        F.when(stock >= needed, "Yes").otherwise("No").alias("IsFeasible"),
     )
 
 

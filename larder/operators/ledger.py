@@ -71,18 +71,22 @@ def usage_movements(recipes: DataFrame, sold: DataFrame) -> DataFrame:
     )
 
 
+def net_movements(movements: DataFrame) -> DataFrame:
+    """One movement per ingredient."""
+    return movements.groupBy("IngredientID").agg(
+        F.sum("delta").cast(STOCK).alias("delta"), F.bool_or("unknown").alias("unknown")
+    )
+
+
 def apply_movements(ingredients: DataFrame, movements: DataFrame) -> DataFrame:
     """Stock after the movements; ingredients without any keep theirs."""
-    net = movements.groupBy("IngredientID").agg(
-        F.sum("delta").alias("_delta"), F.bool_or("unknown").alias("_unknown")
-    )
     stock = F.col("Current_stock")
     after = (
-        F.when(F.col("_unknown").isNull(), stock)
-        .when(~F.col("_unknown"), stock + F.col("_delta"))
+        F.when(F.col("unknown").isNull(), stock)
+        .when(~F.col("unknown"), stock + F.col("delta"))
         .cast(STOCK)
     )
-    joined = ingredients.join(net, "IngredientID", "left")
+    joined = ingredients.join(net_movements(movements), "IngredientID", "left")
     return joined.withColumn("Current_stock", after).select(ingredients.columns)
 
 

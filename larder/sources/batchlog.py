@@ -7,6 +7,8 @@ table holds now is derived from its folders when it is read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,3 +38,13 @@ class BatchLog:
         schema = T.StructType([*self.schema.fields, T.StructField(BATCH, T.LongType())])
         rows = self.spark.read.schema(schema).parquet(self.path)
         return rows if before is None else rows.where(F.col(BATCH) < before)
+
+    def folded(self, path: str, fold: Callable[[DataFrame], DataFrame]) -> BatchLog:
+        """A log at ``path`` that starts with all batches of this one folded into one.
+
+        A stopped stream goes on with it from the same checkpoint: its next
+        micro-batches have higher ids.  This log is left as it is.
+        """
+        after = BatchLog(self.spark, path, self.schema)
+        after.write(fold(self.read()), -1)
+        return after

@@ -130,6 +130,21 @@ def test_dangling_references_of_one_parent_are_split(rows, keys, splitting):
     assert "skew=true" in plan_of(df)
 
 
+def test_a_product_of_a_third_of_the_requests_is_split(rows, keys, splitting):
+    product = F.col("id") % 1000
+    recipes = keys.select(
+        F.col("id").alias("RecipeID"),
+        product.alias("ProductID"),
+        (F.col("id") % 990).alias("IngredientID"),
+        F.lit(1).alias("quantity_required"),
+    )
+    stock = renamed(keys, "IngredientID", Name=F.lit("x"), Current_stock=F.col("id") % 7)
+    wanted = rows.select(hot().alias("ProductID"), F.col("seq").alias("Quantity"))
+    df = op.check_feasibility(wanted, recipes, stock)
+    assert df.count() == ROWS
+    assert "skew=true" in plan_of(df)
+
+
 def test_top_k_reads_no_more_than_it_needs(spark):
     from larder.suite.tables import Bound
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from larder import operators as op
 from larder import streaming
-from larder.operators.ledger import MOVEMENT
+from larder.operators.ledger import MOVEMENT, net_movements
 from larder.sources import BatchLog
 from larder.streaming import dispatch, jobs
 from larder.streaming.dispatch import decide, open_deliveries
@@ -237,3 +237,24 @@ def test_unknown_movements_stay(spark, log):
     moves.write(spark.createDataFrame([(1, None, True)], MOVEMENT), 0)
     moves.write(spark.createDataFrame([(1, Decimal(2), False)], MOVEMENT), 1)
     assert streaming.stock_now(stock, moves).select(F.col("Current_stock")).first()[0] is None
+
+
+def test_folded_logs_go_on(spark, files, log, tmp_path):
+    moves = log("moves", MOVEMENT)
+    stock = spark.createDataFrame([(1, Decimal(10)), (2, Decimal(10))], STOCK)
+    shape = "IngredientID long, Quantity_Received int"
+    check, no_recipes = str(tmp_path / "check"), spark.createDataFrame([], RECIPE)
+    lines = files("lines", [[(1, 1, 1, Decimal(1))]], LINES)
+
+    def run(parts, into):
+        receipts = files("receipts", parts, shape)
+        streaming.stream_stock_ledger(
+            receipts, lines, lambda: no_recipes, into, check
+        ).awaitTermination()
+
+    run([[(1, 5)], [(1, 6), (2, None)]], moves)
+    folded = moves.folded(str(tmp_path / "folded"), net_movements)
+    assert folded.read().count() == 2
+    run([[(1, 7)]], folded)
+    got = {r.IngredientID: r.Current_stock for r in streaming.stock_now(stock, folded).collect()}
+    assert got == {1: 28, 2: None}
