@@ -28,7 +28,12 @@ def check_feasibility(requests: DataFrame, recipes: DataFrame, ingredients: Data
 
 
 def feasibility_verdict(feasibility: DataFrame) -> DataFrame:
-    """Whether every line of a request is feasible; no recipe, no row."""
-    return feasibility.groupBy("ProductID", "Quantity").agg(
-        F.bool_and(F.col("IsFeasible") == "Yes").alias("CanMake")
-    )
+    """Whether every line of a request is feasible; no recipe, no row.
+
+    Grouping by the request as one value keeps the partitioning of the join
+    below from serving for the grouping as well; it would hold the join back
+    from splitting a product that very many requests are for.
+    """
+    request = F.struct("ProductID", "Quantity").alias("_request")
+    makes = F.bool_and(F.col("IsFeasible") == "Yes").alias("CanMake")
+    return feasibility.groupBy(request).agg(makes).select("_request.*", "CanMake")

@@ -143,6 +143,9 @@ def test_a_product_of_a_third_of_the_requests_is_split(rows, keys, splitting):
     df = op.check_feasibility(wanted, recipes, stock)
     assert df.count() == ROWS
     assert "skew=true" in plan_of(df)
+    verdict = plan_of(op.feasibility_verdict(df))
+    assert "skew=true" in verdict
+    assert "partial_bool_and" in verdict or "partial_min" in verdict
 
 
 def test_top_k_reads_no_more_than_it_needs(spark):
