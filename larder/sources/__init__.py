@@ -2,6 +2,6 @@
 
 from larder.sources.batchlog import BatchLog
 from larder.sources.catalog import TABLES, Table
-from larder.sources.readers import append, load, load_text
+from larder.sources.readers import append, load, load_all, load_text
 
-__all__ = ["TABLES", "BatchLog", "Table", "append", "load", "load_text"]
+__all__ = ["TABLES", "BatchLog", "Table", "append", "load", "load_all", "load_text"]

@@ -42,6 +42,11 @@ def load(
     )
 
 
+def load_all(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """All declared tables, each from the folder of its name below ``root``."""
+    return {name: load(spark, f"{root}/{name}", name, fmt) for name in TABLES}
+
+
 def load_text(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The same columns from CSV, uninterpreted, as input to the type audit."""
     names = TABLES[name].columns

@@ -10,6 +10,7 @@ from larder.session import local_session
 def spark() -> SparkSession:
     session = local_session("8", "larder-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
 
 

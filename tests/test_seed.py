@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larder import operators as op
 from larder.plans import lookups, views
 from larder.plans.naming import named_views, query, register_tables, register_views
+from larder.sources import append, load_all
 from larder.sources.catalog import TABLES
 from tests import seed
 
@@ -142,6 +143,14 @@ def test_integrity_of_the_seed(raw):
         assert op.type_violations(raw[name], TABLES[name].columns).isEmpty()
 
 
+def test_a_stored_bakery_is_read_back(spark, raw, tmp_path):
+    for name, df in raw.items():
+        append(df, f"{tmp_path}/{name}")
+    back = load_all(spark, str(tmp_path))
+    assert {n: df.schema for n, df in back.items()} == {n: df.schema for n, df in raw.items()}
+    assert views.salary_summary(back["Employees"]).first() == views.salary_summary(raw["Employees"]).first()
+
+
 def test_sql_by_name(spark, raw):
     register_tables(raw)
     register_views(spark, raw, "2026-04-01")
