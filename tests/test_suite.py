@@ -16,7 +16,7 @@ def db():
 
 
 def test_all_queries_have_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.REGISTRY) == set(entry.ORACLES)
 
 
 def test_entry(spark):
@@ -25,6 +25,6 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query(spark, db, name):
     assert compare(spark, db, SMALL, name) == ""
