@@ -10,6 +10,7 @@ from larder.llm.common import table
 from larder.llm.licenses import license_scan
 from larder.llm.mixing import scheduled
 from larder.llm.packing import packed
+from larder.llm.quality import quality_scores
 from larder.llm.secrets import secret_scan
 from larder.llm.sharding import interleaved_shards
 from larder.llm.simhash import simhash_groups
@@ -21,6 +22,10 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _mixing(docs: DataFrame) -> DataFrame:
     return scheduled(docs.select("doc_id", "source"))
 
@@ -28,6 +33,7 @@ def _mixing(docs: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_license_scan": _on_documents(license_scan),
     "op2_secret_scan": _on_documents(secret_scan),
+    "op3_quality_classifier": _with_labels(quality_scores),
     "op4_interleaved_shards": _on_documents(interleaved_shards),
     "op6_best_fit_packing": _on_documents(packed),
     "op7_simhash_dedup": _on_documents(simhash_groups),
