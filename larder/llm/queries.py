@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm.common import table
+from larder.llm.covertree import embedding_groups
+from larder.llm.forest import forest_neighbours
 from larder.llm.licenses import license_scan
 from larder.llm.mixing import scheduled
 from larder.llm.packing import packed
@@ -14,6 +16,7 @@ from larder.llm.quality import quality_scores
 from larder.llm.secrets import secret_scan
 from larder.llm.sharding import interleaved_shards
 from larder.llm.simhash import simhash_groups
+from larder.llm.toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +25,10 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _on_embeddings(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "embeddings"))
+
+
 def _with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,9 +42,12 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scan": _on_documents(secret_scan),
     "op3_quality_classifier": _with_labels(quality_scores),
     "op4_interleaved_shards": _on_documents(interleaved_shards),
+    "op5_forest_neighbours": _on_embeddings(forest_neighbours),
     "op6_best_fit_packing": _on_documents(packed),
     "op7_simhash_dedup": _on_documents(simhash_groups),
     "op8_pfair_mixing": _on_documents(_mixing),
+    "op9_cover_tree_dedup": _on_embeddings(embedding_groups),
+    "op10_compression_toxicity": _with_labels(toxicity_scores),
 }
 
 ORACLES: dict[str, str] = {}
