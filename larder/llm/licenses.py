@@ -60,12 +60,12 @@ def postings(docs: DataFrame) -> DataFrame:
 def weighted_templates(index: DataFrame) -> DataFrame:
     """The template words with their IDF over all texts, and each template's rarest mandatory word."""
     spark = index.sparkSession
-    texts = index.agg(F.count(F.lit(1)).alias("texts"))
+    texts = index.count()
     held = index.select(F.explode(F.array_distinct(F.transform("found", lambda x: x["word"]))).alias("word"))
     held = held.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
     fixed = spark.createDataFrame(templates(), "template int, label string, base boolean, place int, word string, mandatory boolean")
-    idf = F.log((F.col("texts") + 1) / (F.coalesce("held", F.lit(0)) + 1)) + 1
-    weighed = fixed.join(held, "word", "left").crossJoin(F.broadcast(texts)).withColumn("idf", idf).drop("held", "texts")
+    idf = F.log(F.lit(texts + 1) / (F.coalesce("held", F.lit(0)) + 1)) + 1
+    weighed = fixed.join(held, "word", "left").withColumn("idf", idf).drop("held")
     of = Window.partitionBy("template")
     rarest = F.max(F.when(F.col("mandatory"), F.struct("idf", F.col("word").alias("anchor")))).over(of)
     return weighed.select(

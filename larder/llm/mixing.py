@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import ranked
@@ -31,10 +31,9 @@ def target_slots(keyed: DataFrame, weights: dict[str, float] | None, temper: flo
     else:
         rows = [("=" + k, float(w)) for k, w in weights.items() if k] + [(None, float(weights.get("", min(weights.values()))))]
         weighed = keyed.sparkSession.createDataFrame(rows, "stratum string, w double")
-    whole = weighed.agg(F.sum("w").alias("all"))
-    slots = F.greatest(F.lit(1), F.round(F.col("w") / F.col("all") * frame).cast("int"))
-    # One row for each stratum, strata + 1 at most: the frame is their sum.
-    return weighed.crossJoin(F.broadcast(whole)).select("stratum", slots.alias("slots"))
+    # A window over all rows: one for each stratum, strata + 1 at most.
+    share = F.col("w") / F.sum("w").over(Window.partitionBy())
+    return weighed.select("stratum", F.greatest(F.lit(1), F.round(share * frame).cast("int")).alias("slots"))
 
 
 def frame_schedule(slots: DataFrame) -> DataFrame:
