@@ -20,9 +20,11 @@ BLOCK = 4096
 CELLS = 64
 SAMPLE = 4096
 #: Radii of the levels below the cells; each is half of the one above.
-RADII = (1.0, 0.5, 0.25, 0.125)
+RADII = (0.5, 0.25, 0.125, 0.0625)
 #: Bounds are widened by this, so that rounding prunes and includes nothing.
 SLACK = 1e-3
+#: Nodes that reach no farther are compared with one bound for all of them.
+TIGHT = 0.05
 #: Pairs that are compared at once.
 PAIRS = 2_000_000
 
@@ -141,15 +143,29 @@ def linked(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np
 
 
 def _roots(a: CoverTree, b: CoverTree, radius: np.float32):
-    """Pairs of the top nodes that may hold a link, by one matrix product for each slice."""
-    left, right = a.nodes[0], b.nodes[0]
-    step = max(1, PAIRS // max(1, len(right)))
-    for at in range(0, len(left), step):
-        part = left[at : at + step]
-        squared = 2 - 2 * (a.unit[part] @ b.unit[right].T)
-        bound = radius + a.reach[0][part][:, None] + b.reach[0][right] + SLACK
-        i, j = np.nonzero(squared <= bound * bound + SLACK)
-        yield part[i], right[j]
+    """Pairs of the top nodes that may hold a link, by one matrix product for each slice.
+
+    Most nodes hold a single row or near copies: for those one bound on the
+    product will do, and the caller tests each pair by its own.
+    """
+    for left in _by_reach(a):
+        for right in _by_reach(b):
+            if not len(left) or not len(right):
+                continue
+            most = radius + a.reach[0][left].max() + b.reach[0][right].max() + SLACK
+            least = np.float32(1 - most * most / 2 - SLACK)
+            others = b.unit[right].T
+            step = max(1, PAIRS // len(right))
+            for at in range(0, len(left), step):
+                part = left[at : at + step]
+                i, j = np.nonzero(a.unit[part] @ others >= least)
+                yield part[i], right[j]
+
+
+def _by_reach(tree: CoverTree) -> tuple[np.ndarray, np.ndarray]:
+    top = tree.nodes[0]
+    tight = tree.reach[0][top] <= TIGHT
+    return top[tight], top[~tight]
 
 
 def _children(a: CoverTree, b: CoverTree, level: int, i: np.ndarray, j: np.ndarray):
