@@ -12,6 +12,7 @@ FRAME = 512
 STRATA = 128
 TEMPER = 0.5
 SEED = 811
+ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_order")
 
 
 def target_slots(keyed: DataFrame, weights: dict[str, float] | None, temper: float, frame: int, strata: int) -> DataFrame:
@@ -82,10 +83,13 @@ def scheduled(
     proportion of their weights.
 
     Null sources are a source of their own.  Rows of equal hash are in the
-    order of their ids.
+    order of their ids; repeated rows each have a place; an empty table has no
+    rows.  Columns of ``docs`` with one of the five names are replaced.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("<null>"))
-    keyed = docs.withColumns({"_source": key, "_hash": F.xxhash64(F.lit(seed), "doc_id")})
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    # The columns travel as one, so that none can clash with those used here.
+    keyed = docs.select(F.struct(*own).alias("_doc"), "doc_id", key.alias("_source"), F.xxhash64(F.lit(seed), "doc_id").alias("_hash"))
     slots = target_slots(keyed, weights, temper, frame, strata)
     # At most strata + 1 rows and, below, one row for each slot of the frame.
     known = F.broadcast(slots.where("stratum IS NOT NULL").select(F.col("stratum").alias("_source"), F.col("stratum").alias("_own")))
@@ -99,7 +103,7 @@ def scheduled(
     rows = rows.join(F.broadcast(plan.select("_stratum", "k", "at")), ["_stratum", "k"])
     slot = F.expr("(mix_block div slots) * frame + at")
     return rows.select(
-        *docs.columns,
+        "_doc.*",
         "mix_block",
         F.expr("(mix_block * frame) div slots").alias("mix_release"),
         F.expr("((mix_block + 1) * frame + slots - 1) div slots").alias("mix_deadline"),
@@ -110,7 +114,7 @@ def scheduled(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture."""
-    names = docs.columns
-    return scheduled(docs, **options).repartitionByRange("mix_order").sortWithinPartitions("mix_order").select(names)
+    placed = scheduled(docs.select(F.struct("*").alias("doc"), "doc_id", "source"), **options)
+    return placed.repartitionByRange("mix_order").sortWithinPartitions("mix_order").select("doc.*")
 
 

@@ -216,18 +216,16 @@ def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> D
     repeated rows are reduced to one as well.  A component without any doc_id
     keeps one row.
     """
-    names = docs.columns
-    fp = F.pandas_udf(_fingerprinter(words), "long")(text_or_empty())
-    marked = stored(docs.withColumns({"_fp": fp, "_row": F.monotonically_increasing_id()}), "fingerprinted")
-    values = stored(
-        marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")),
-        "values",
-    )
+    fp = F.pandas_udf(_fingerprinter(words), "long")(text_or_empty()).alias("fp")
+    # The columns travel as one, so that none can clash with those added here.
+    marked = stored(docs.select(F.struct("*").alias("doc"), fp, F.monotonically_increasing_id().alias("row")), "fingerprinted")
+    first = F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))).alias("first")
+    values = stored(marked.groupBy("fp").agg(first), "values")
     label = components(fingerprint_links(values.select("fp"), radius)).withColumnRenamed("node", "fp")
     kept = (
         values.join(label, "fp", "left")
         .groupBy(F.coalesce("component", "fp"))
         .agg(F.min("first").alias("first"))
-        .select(F.col("first._row").alias("_row"))
+        .select(F.col("first.row").alias("row"))
     )
-    return marked.join(kept, "_row", "left_semi").select(names)
+    return marked.join(kept, "row", "left_semi").select("doc.*")
