@@ -49,5 +49,3 @@ QUERIES: dict[str, Query] = {
     "op9_cover_tree_dedup": _on_embeddings(embedding_groups),
     "op10_compression_toxicity": _with_labels(toxicity_scores),
 }
-
-ORACLES: dict[str, str] = {}
