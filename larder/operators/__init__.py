@@ -4,6 +4,7 @@ from larder.operators.bulk import bulk_append
 from larder.operators.commands import (
     add_order_line,
     add_recipe_ingredient,
+    apply_order_lines,
     assign_delivery,
     complete_delivery,
     hire_employee,
@@ -15,7 +16,14 @@ from larder.operators.commands import (
 )
 from larder.operators.feasibility import check_feasibility, feasibility_verdict
 from larder.operators.integrity import audit_keys, fk_violations, pk_violations, type_violations
-from larder.operators.keyed import append_keyed, assign_ids, next_id, update_by_key, upsert
+from larder.operators.keyed import (
+    append_keyed,
+    assign_ids,
+    missing_keys,
+    next_id,
+    update_by_key,
+    upsert,
+)
 from larder.operators.ledger import (
     apply_batch_receipts,
     apply_movements,
@@ -33,6 +41,7 @@ __all__ = [
     "append_keyed",
     "apply_batch_receipts",
     "apply_movements",
+    "apply_order_lines",
     "assign_delivery",
     "assign_ids",
     "audit_keys",
@@ -43,6 +52,7 @@ __all__ = [
     "feasibility_verdict",
     "fk_violations",
     "hire_employee",
+    "missing_keys",
     "next_id",
     "order_final_total",
     "pk_violations",

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 from larder.functions import as_date, as_stamp, strip
 from larder.operators.joining import attach, flag, within, without
 from larder.operators.keyed import assign_ids, update_by_key
-from larder.operators.ledger import apply_batch_receipts, order_final_total
+from larder.operators.ledger import (
+    apply_batch_receipts,
+    deduct_ingredients,
+    order_final_total,
+    rollup_order_total,
+)
 from larder.operators.rules import RIDER_BUSY, SALARY_NOT_POSITIVE, busy_riders
 from larder.operators.turns import opened, settle
 from larder.operators.verdict import (
@@ -26,6 +31,7 @@ from larder.operators.verdict import (
     judge,
     reject_taken_keys,
 )
+from larder.session import stored
 from larder.sources.catalog import TABLES
 
 # The states a piece of equipment may be in, the defaults of a
@@ -128,6 +134,23 @@ def add_order_line(cmds: DataFrame, lines: DataFrame, menu: DataFrame, seq: str
     return Verdict(offered.unionByName(refused, allowMissingColumns=True))
 
 
+def apply_order_lines(
+    verdict: Verdict, ingredients: DataFrame, recipes: DataFrame, orders: DataFrame, lines: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ingredients, orders and lines after the accepted lines of ``add_order_line``.
+
+    The lines are stored once: their ids, the stock they use and the totals
+    they change all come from the same rows.
+    """
+    new = stored(verdict.accepted.select(lines.columns), "order-lines")
+    all_lines = lines.unionByName(new)
+    return (
+        deduct_ingredients(ingredients, recipes, new),
+        rollup_order_total(orders, all_lines, new),
+        all_lines,
+    )
+
+
 def process_payment(
     cmds: DataFrame, payments: DataFrame, orders: DataFrame, seq: str = "seq"
 ) -> Verdict:

@@ -34,8 +34,9 @@ def _breaks(column: str, held: T.DataType, declared: str) -> Column | None:
     if declared == "INT":
         if isinstance(held, T.IntegralType):
             return None
-        whole = F.rlike(text, F.lit(r"^\s*[+-]?\d+\s*$"))
-        return ~whole | text.try_cast("bigint").isNull()
+        if isinstance(held, T.NumericType):
+            return (value != F.floor(value)) | value.try_cast("bigint").isNull()
+        return text.try_cast("bigint").isNull()
     if declared == "DATE" and isinstance(held, T.DateType):
         return None
     exact = isinstance(held, (T.DecimalType, T.IntegralType))

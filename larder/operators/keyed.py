@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.verdict import Verdict, reject_taken_keys
+from larder.operators.verdict import MISSING_KEY, REASON, Verdict, reject_taken_keys
 from larder.session import stored
 
 # monotonically_increasing_id() keeps the partition number above this bit and
@@ -27,8 +27,17 @@ def last_per_key(rows: DataFrame, pk: str, seq: str) -> DataFrame:
     return rows.groupBy(pk).agg(newest).select(pk, *[F.col("_row")[c].alias(c) for c in columns])
 
 
+def missing_keys(rows: DataFrame, pk: str) -> DataFrame:
+    """The rows that no keyed write takes, as they have no key, with the reason."""
+    return rows.where(F.col(pk).isNull()).withColumn(REASON, F.lit(MISSING_KEY))
+
+
 def upsert(existing: DataFrame, new: DataFrame, pk: str, seq: str = "seq") -> DataFrame:
-    """Replace the rows with the same key and add the others; the last one wins."""
+    """Replace the rows with the same key and add the others; the last one wins.
+
+    Rows of ``new`` without a key are refused: `missing_keys` gives them.
+    """
+    new = new.where(F.col(pk).isNotNull())
     newest = last_per_key(new, pk, seq).select(existing.columns)
     kept = existing.join(new.select(pk).distinct(), pk, "left_anti")
     return kept.select(existing.columns).unionByName(newest)

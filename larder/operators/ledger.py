@@ -8,11 +8,13 @@ carries a flag that tells whether a NULL was among its terms.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STOCK = T.DecimalType(20, 2)
+# Quantities that come as floating point; their sums stay exact.
+QUANTITY = T.DecimalType(20, 4)
 
 # One movement: an ingredient, a signed amount, and whether it is unknown.
 MOVEMENT = T.StructType(
@@ -24,9 +26,16 @@ MOVEMENT = T.StructType(
 )
 
 
+def exact(quantities: DataFrame, column: str) -> Column:
+    """A quantity that can be summed without loss: decimals and integers as they are."""
+    held = quantities.schema[column].dataType
+    kept = isinstance(held, (T.DecimalType, T.IntegralType))
+    return F.col(column) if kept else F.col(column).cast(QUANTITY)
+
+
 def receipt_movements(new_batches: DataFrame) -> DataFrame:
     """The receipts as one movement per ingredient."""
-    quantity = F.col("Quantity_Received")
+    quantity = exact(new_batches, "Quantity_Received")
     return (
         new_batches.where(F.col("IngredientID").isNotNull())
         .groupBy("IngredientID")
@@ -43,7 +52,7 @@ def sold_quantities(new_lines: DataFrame) -> DataFrame:
         new_lines.where(F.col("ProductID").isNotNull())
         .groupBy("ProductID")
         .agg(
-            F.sum("Quantity").alias("sold"),
+            F.sum(exact(new_lines, "Quantity")).alias("sold"),
             F.bool_or(F.col("Quantity").isNull()).alias("sold_unknown"),
         )
     )
@@ -54,12 +63,13 @@ def usage_movements(recipes: DataFrame, sold: DataFrame) -> DataFrame:
 
     Each recipe meets a product once, with the sum of its order lines.  Of
     several recipe lines for one product and ingredient the one with the
-    smallest RecipeID counts.
+    smallest RecipeID counts.  Sold quantities keep their fractions.
     """
     lines = recipes.groupBy("ProductID", "IngredientID").agg(
         F.min_by("quantity_required", "RecipeID").alias("_need")
     )
-    used = F.col("_need") * F.col("sold").cast("decimal(18,0)")
+    whole = isinstance(sold.schema["sold"].dataType, T.IntegralType)
+    used = F.col("_need") * (F.col("sold").cast("decimal(18,0)") if whole else F.col("sold"))
     return (
         sold.join(lines, "ProductID")
         .where(F.col("IngredientID").isNotNull())
@@ -109,6 +119,9 @@ def order_final_total(new_orders: DataFrame) -> DataFrame:
 def rollup_order_total(orders: DataFrame, all_lines: DataFrame, new_lines: DataFrame) -> DataFrame:
     """Total of all lines, for each order that got a new line; others keep theirs.
 
+    The total has the type that ``orders`` gives it; one that doesn't fit is an
+    error, as the cast is checked.
+
     The lines are summed before they meet the touched orders, so a long order
     is combined on the map side; where few orders are touched, Catalyst moves
     the semi join below the sum.  Final_Total is not refreshed.
@@ -117,5 +130,6 @@ def rollup_order_total(orders: DataFrame, all_lines: DataFrame, new_lines: DataF
     totals = all_lines.groupBy("Order_ID").agg(F.sum("Line_Total").alias("_total"))
     fresh = totals.join(touched, "Order_ID", "left_semi").withColumn("_fresh", F.lit(True))
     total = F.when(F.col("_fresh"), F.col("_total")).otherwise(F.col("Total_Amount"))
+    total = total.cast(orders.schema["Total_Amount"].dataType)
     joined = orders.join(fresh, "Order_ID", "left")
     return joined.withColumn("Total_Amount", total).select(orders.columns)

@@ -29,7 +29,18 @@ class BatchLog:
         self.write(self.spark.createDataFrame([], self.schema), -1)
         return self
 
+    def newest(self) -> int:
+        """The id of the last batch in the log."""
+        return self.read().agg(F.max(BATCH)).first()[0]
+
     def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Write a micro-batch over what an earlier try at it left.
+
+        A stream that starts anew while the log holds later batches would
+        destroy them one after the other, so that is an error.
+        """
+        if batch_id == 0 and (self.newest() or 0) > 0:
+            raise ValueError(f"{self.path} holds batches of another run; take a new log or its checkpoint")
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
         rows.select(columns).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
 

@@ -29,6 +29,8 @@ def load(
     that does not fit it is an error rather than a silent NULL.
     """
     schema = TABLES[name].schema
+    if unknown := set(columns or ()) - set(schema.names):
+        raise ValueError(f"{name} has no column {', '.join(sorted(unknown))}")
     if fmt == "csv":
         return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
     if fmt == "json":

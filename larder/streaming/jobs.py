@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from larder.operators.keyed import last_per_key, upsert
-from larder.operators.ledger import apply_movements, usage_movements
+from larder.operators.keyed import last_per_key, missing_keys, upsert
+from larder.operators.ledger import apply_movements, exact, usage_movements
 from larder.operators.rules import validate_salary
 from larder.operators.verdict import MISSING_KEY, Verdict, judge, reject_taken_keys
 from larder.sources.batchlog import BATCH, BatchLog
@@ -51,12 +51,12 @@ def stream_stock_ledger(
     tagged = receipts.select(
         F.lit("in").alias("kind"),
         F.col("IngredientID").alias("id"),
-        F.col("Quantity_Received").cast("bigint").alias("quantity"),
+        exact(receipts, "Quantity_Received").alias("quantity"),
     ).unionByName(
         lines.select(
             F.lit("out").alias("kind"),
             F.col("ProductID").alias("id"),
-            F.col("Quantity").cast("bigint").alias("quantity"),
+            exact(lines, "Quantity").alias("quantity"),
         )
     )
 
@@ -94,18 +94,27 @@ def stock_now(ingredients: DataFrame, log: BatchLog) -> DataFrame:
 def stream_order_totals(
     lines: DataFrame, log: BatchLog, checkpoint: str, trigger: dict = AVAILABLE_NOW
 ) -> StreamingQuery:
-    """Running total per order; each micro-batch logs the orders it changed."""
-    totals = (
-        lines.where(F.col("Order_ID").isNotNull())
-        .groupBy("Order_ID")
-        .agg(F.sum("Line_Total").alias("Total_Amount"))
-    )
-    return _start(totals, log.write, checkpoint, trigger, mode="update")
+    """Each micro-batch logs what its lines add to their orders; no state is kept."""
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        log.write(order_sums(rows), batch_id)
+
+    return _start(lines, each, checkpoint, trigger)
+
 
+def order_sums(lines: DataFrame) -> DataFrame:
+    """The total of the given lines of each order."""
+    known = lines.where(F.col("Order_ID").isNotNull())
+    return known.groupBy("Order_ID").agg(F.sum("Line_Total").alias("Total_Amount"))
 
-def current_totals(log: BatchLog) -> DataFrame:
-    """The newest logged total of each order."""
-    return last_per_key(log.read(), "Order_ID", BATCH)
+
+def current_totals(log: BatchLog, opening: DataFrame | None = None) -> DataFrame:
+    """The total of each order: all that was logged, and the lines stored before."""
+    logged = log.read().select("Order_ID", "Total_Amount")
+    if opening is not None:
+        logged = logged.unionByName(order_sums(opening))
+    kind = log.schema["Total_Amount"].dataType
+    return logged.groupBy("Order_ID").agg(F.sum("Total_Amount").cast(kind).alias("Total_Amount"))
 
 
 def stream_dispatch(
@@ -128,7 +137,8 @@ def stream_dispatch(
         rows = rows.select("seq", "kind", "Delivery_ID", "Rider_ID").persist()
         known = rows.where(F.col("Rider_ID").isNotNull())
         since = max(batch_id - 1, 0) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-        logged = riders.read(before=batch_id).where(F.col(BATCH) >= since)
+        # What was folded before this run has a negative id and is always read.
+        logged = riders.read(before=batch_id).where((F.col(BATCH) >= since) | (F.col(BATCH) < 0))
         before = last_per_key(logged, "Rider_ID", BATCH)
         touched = known.select("Rider_ID").distinct()
         carried = before.join(touched, "Rider_ID", "left_semi").select(
@@ -170,7 +180,7 @@ RIDER_STATE = T.StructType(
 
 def stream_validated_append(
     rows: DataFrame,
-    stored: DataFrame,
+    stored_now: Callable[[], DataFrame],
     accepted: BatchLog,
     rejected: BatchLog,
     checkpoint: str,
@@ -178,10 +188,14 @@ def stream_validated_append(
     seq: str = "seq",
     trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Split new employees into accepted and rejected; taken keys are refused."""
+    """Split new employees into accepted and rejected; taken keys are refused.
+
+    ``stored_now`` is asked again for each micro-batch, so keys that others add
+    later are refused too.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        taken = [stored, accepted.read(before=batch_id)]
+        taken = [stored_now(), accepted.read(before=batch_id)]
         checked = validate_salary(batch).decided
         verdict = Verdict(reject_taken_keys(checked, taken, pk, seq).persist())
         accepted.write(verdict.accepted, batch_id)
@@ -198,11 +212,20 @@ def stream_upsert(
     pk: str,
     seq: str = "seq",
     trigger: dict = AVAILABLE_NOW,
+    rejected: BatchLog | None = None,
 ) -> StreamingQuery:
-    """Log the newest row per key of each micro-batch."""
+    """Log the newest row per key of each micro-batch.
+
+    Rows without a key go to ``rejected``; without that log they are an error.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        log.write(last_per_key(batch, pk, seq), batch_id)
+        refused = missing_keys(batch, pk)
+        if rejected is not None:
+            rejected.write(refused, batch_id)
+        elif not refused.isEmpty():
+            raise ValueError(f"rows without {pk}: give a log for rejected rows")
+        log.write(last_per_key(batch.where(F.col(pk).isNotNull()), pk, seq), batch_id)
 
     return _start(rows, each, checkpoint, trigger)
 

@@ -110,6 +110,12 @@ TABLE_SQL = {
                CAST(Current_stock + coalesce(received, 0) - coalesce(used, 0) AS DECIMAL(20,2))
                    AS Current_stock
         FROM ingredients LEFT JOIN received USING (IngredientID) LEFT JOIN used USING (IngredientID)""",
+    "added": """
+        SELECT event_id AS Order_ID, ProductID, Quantity,
+               CAST(Base_Price * Quantity AS DECIMAL(20,2)) AS Line_Total
+        FROM (SELECT event_id, user_id * 14 AS ProductID,
+                     CAST(floor(value) + 1 AS INTEGER) AS Quantity FROM events)
+        JOIN menu USING (ProductID)""",
     "pending": """
         SELECT PO_ID, Name AS Supplier, Contact_person, Order_date, Exp_deleivey_date,
                Total_Amount, Status
@@ -120,8 +126,7 @@ TABLE_SQL = {
                Current_stock AS CurrentStock,
                CASE WHEN Current_stock >= quantity_required * d.Quantity THEN 'Yes' ELSE 'No' END
                    AS IsFeasible
-        FROM order_details d JOIN recipes USING (ProductID) JOIN ingredients i USING (IngredientID)
-        WHERE l_linestatus = 'O'""",
+        FROM order_details d JOIN recipes USING (ProductID) JOIN ingredients i USING (IngredientID)""",
     "on_road": """
         SELECT Delivery_ID, Order_ID, First_Name || ' ' || Last_Name AS Rider, Vehicle_Type,
                Address_Line, City, Dispatch_Time
@@ -278,6 +283,19 @@ EQUIPMENT_COMMANDS = """
            CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unknown status' END AS reason
     FROM orders"""
 
+# Declared INT and held as decimals; declared INT and held as text; names of 30 letters.
+WHOLE = [("Ingredients", "Current_stock"), ("Purchase_Order", "Total_Amount"), ("payments", "Amount_Paid"), ("Employees", "Salary")]
+NUMBERED = [("Product_categories", "CategoryID"), ("Products", "CategoryID")]
+NAMED = [("Suppliers", "Name"), ("Ingredients", "Name"), ("Products", "Name"), ("customers", "First_Name"), ("customers", "Last_Name")]
+
+FRACTIONAL_STOCK = """
+    SELECT IngredientID,
+           CAST(Current_stock + coalesce(received * 0.25, 0) - coalesce(CAST(quarters AS DECIMAL(20,2)), 0)
+                AS DECIMAL(20,2)) AS Current_stock
+    FROM ingredients LEFT JOIN received USING (IngredientID) LEFT JOIN (
+        SELECT IngredientID, sum(quantity_required * CAST(Quantity * 0.25 AS DECIMAL(14,2))) AS quarters
+        FROM order_details JOIN recipes USING (ProductID) GROUP BY ALL) USING (IngredientID)"""
+
 ORACLES: dict[str, str] = {
     "typed_scan": """
         SELECT l_orderkey AS BatchID, l_suppkey AS IngredientID, l_orderkey AS PO_ID,
@@ -315,6 +333,12 @@ ORACLES: dict[str, str] = {
         "Order_ID, Order_Date",
     ),
     "upsert_by_key": sql("SELECT * FROM recipes_after"),
+    "upsert_without_keys": sql("""
+        SELECT * FROM recipes WHERE RecipeID NOT IN (SELECT RecipeID FROM changes WHERE seq % 50 <> 0)
+        UNION ALL
+        (SELECT RecipeID, ProductID, IngredientID, quantity_required FROM changes WHERE seq % 50 <> 0
+        QUALIFY row_number() OVER (PARTITION BY RecipeID ORDER BY seq DESC) = 1)"""),
+    "missing_keys": "SELECT event_id AS seq, user_id AS ProductID, 'missing key' AS reason FROM events WHERE event_id % 50 = 0",
     "update_by_key": sql("""
         SELECT Equipment_ID, Equipment_Name, Purchase_Date, Warranty_Expiry,
                coalesce(c.Status, k.Status) AS Status
@@ -337,26 +361,20 @@ ORACLES: dict[str, str] = {
     "type_violations": sql(
         " UNION ALL ".join(
             [
-                tagged_violations(
-                    "Order_Details", "Line_Total", "DECIMAL(8,3)", "Line_Total >= 100000"
-                ),
                 # A unit price is that large only where it is the whole line.
                 tagged_violations(
-                    "Order_Details", "Line_Total", "DECIMAL(8,3)", "Line_Total >= 100000"
-                    " AND Quantity = 1"
+                    "Order_Details", "Line_Total", "DECIMAL(8,3)", "Line_Total >= 100000 AND Quantity = 1"
                 ).replace("'Line_Total'", "'Unit_Price'"),
-                tagged_violations(
-                    "Purchase_Order",
-                    "Total_Amount",
-                    "INT",
-                    "NOT regexp_full_match(CAST(Total_Amount AS VARCHAR), '-?[0-9]+')",
-                ),
-                tagged_violations(
-                    "Employees",
-                    "Salary",
-                    "INT",
-                    "NOT regexp_full_match(CAST(Salary AS VARCHAR), '-?[0-9]+')",
-                ),
+                tagged_violations("Order_Details", "Line_Total", "DECIMAL(8,3)", "Line_Total >= 100000"),
+                *[tagged_violations(*c, "INT", f"{c[1]} % 1 <> 0") for c in WHOLE],
+                *[tagged_violations(*c, "INT", f"TRY_CAST({c[1]} AS BIGINT) IS NULL") for c in NUMBERED],
+                *[tagged_violations(*c, "VARCHAR(30)", f"length({c[1]}) > 30") for c in NAMED],
+                *[
+                    tagged_violations("Orders", c, "DECIMAL(8,2)", f"{c} >= 1000000").replace("FROM orders", "FROM orders_t")
+                    for c in ("Total_Amount", "Tax_Amount", "Discount_Amount", "Final_Total")
+                ],
+                tagged_violations("Products", "Base_Price", "DECIMAL(8,2)", "Base_Price >= 1000000"),
+                tagged_violations("Recipes", "quantity_required", "DECIMAL(8,2)", "quantity_required >= 1000000"),
             ]
         )
     ),
@@ -387,6 +405,8 @@ ORACLES: dict[str, str] = {
         SELECT IngredientID, Name, CategoryID, unit_of_measure, Reorder_level,
                CAST(Current_stock - coalesce(used, 0) AS DECIMAL(20,2)) AS Current_stock
         FROM ingredients LEFT JOIN used USING (IngredientID)"""),
+    "fractional_stock_after": sql(FRACTIONAL_STOCK),
+    "stream_fractional_stock": sql(FRACTIONAL_STOCK),
     "order_final_total": sql("""
         SELECT * REPLACE (CAST(Final_Total AS DECIMAL(20,2)) AS Final_Total) FROM orders_t"""),
     "rollup_order_total": sql("""
@@ -476,6 +496,19 @@ ORACLES: dict[str, str] = {
         FROM (SELECT event_id AS seq, event_id AS Order_ID, user_id * 14 AS ProductID,
                      CAST(floor(value) + 1 AS INTEGER) AS Quantity FROM events) c
         LEFT JOIN menu m ON c.ProductID = m.ProductID"""),
+    "order_lines_after": sql("""
+        SELECT 'stock' AS what, IngredientID AS id,
+               CAST(Current_stock - coalesce(used, 0) AS DECIMAL(20,2)) AS amount
+        FROM ingredients LEFT JOIN (
+            SELECT IngredientID, sum(quantity_required * Quantity) AS used
+            FROM added JOIN recipes USING (ProductID) GROUP BY ALL) USING (IngredientID)
+        UNION ALL
+        SELECT 'order', Order_ID, CAST(coalesce(total, Total_Amount) AS DECIMAL(20,2))
+        FROM orders_t LEFT JOIN (
+            SELECT Order_ID, sum(Line_Total) AS total
+            FROM (SELECT Order_ID, Line_Total FROM order_details
+                  UNION ALL SELECT Order_ID, Line_Total FROM added)
+            WHERE Order_ID IN (SELECT Order_ID FROM added) GROUP BY ALL) USING (Order_ID)"""),
     "process_payment": keyed_verdict(
         """SELECT event_id AS seq, event_id AS Payment_ID,
                   (event_id - event_id % 2) * 2 AS Order_ID, CAST(ts AS DATE) AS Payment_Date,

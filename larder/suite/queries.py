@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,6 +170,21 @@ def upsert_by_key(t: Bound) -> DataFrame:
     return op.upsert(t.recipes, recipe_changes(t, t.source("events")), "RecipeID")
 
 
+def without_some_keys(t: Bound) -> DataFrame:
+    keep = F.col("seq") % 50 != 0
+    return recipe_changes(t, t.source("events")).withColumn("RecipeID", F.when(keep, F.col("RecipeID")))
+
+
+@registered
+def upsert_without_keys(t: Bound) -> DataFrame:
+    return op.upsert(t.recipes, without_some_keys(t), "RecipeID")
+
+
+@registered
+def missing_keys(t: Bound) -> DataFrame:
+    return op.missing_keys(without_some_keys(t), "RecipeID").select("seq", "ProductID", "reason")
+
+
 @registered
 def update_by_key(t: Bound) -> DataFrame:
     changes = events(t).select(
@@ -208,7 +224,7 @@ def type_violations(t: Bound) -> DataFrame:
         op.type_violations(t[name], TABLES[name].columns).select(
             F.lit(name).alias("table"), "column", "value", "rule"
         )
-        for name in ("Order_Details", "Purchase_Order", "Employees")
+        for name in TABLES
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -279,6 +295,18 @@ def deduct_ingredients(t: Bound) -> DataFrame:
     return op.deduct_ingredients(t.ingredients, t.recipes, t.order_details)
 
 
+def quarters(df: DataFrame, column: str) -> DataFrame:
+    """The same rows with a quarter of the quantity, so that most have a fraction."""
+    return df.withColumn(column, (F.col(column) * F.lit(Decimal("0.25"))).cast("decimal(14,2)"))
+
+
+@registered
+def fractional_stock_after(t: Bound) -> DataFrame:
+    received = op.apply_batch_receipts(t.ingredients, quarters(t.batches, "Quantity_Received"))
+    after = op.deduct_ingredients(received, t.recipes, quarters(t.order_details, "Quantity"))
+    return after.select("IngredientID", "Current_stock")
+
+
 @registered
 def order_final_total(t: Bound) -> DataFrame:
     final = op.order_final_total(t.orders.drop("Final_Total"))
@@ -378,7 +406,7 @@ def add_recipe_ingredient(t: Bound) -> DataFrame:
 
 
 def requests(t: Bound) -> DataFrame:
-    return t.open_details.select("ProductID", "Quantity")
+    return t.order_details.select("ProductID", "Quantity")
 
 
 @registered
@@ -408,14 +436,18 @@ def place_order(t: Bound) -> DataFrame:
     return rows.withColumn("Final_Total", F.col("Final_Total").cast("decimal(20,2)"))
 
 
-@registered
-def add_order_line(t: Bound) -> DataFrame:
-    cmds = events(t).select(
+def line_commands(t: Bound) -> DataFrame:
+    return events(t).select(
         "seq",
         F.col("event_id").alias("Order_ID"),
         (F.col("user_id") * 14).alias("ProductID"),
         (F.floor("value") + 1).cast("int").alias("Quantity"),
     )
+
+
+@registered
+def add_order_line(t: Bound) -> DataFrame:
+    cmds = line_commands(t)
     menu = views.active_products(t.products, t.product_categories)
     rows = decided(
         op.add_order_line(cmds, t.order_details, menu), *TABLES["Order_Details"].columns
@@ -423,6 +455,19 @@ def add_order_line(t: Bound) -> DataFrame:
     return rows.withColumn("Line_Total", F.col("Line_Total").cast("decimal(20,2)"))
 
 
+@registered
+def order_lines_after(t: Bound) -> DataFrame:
+    """Stock and order totals after the new lines."""
+    menu = views.active_products(t.products, t.product_categories)
+    verdict = op.add_order_line(line_commands(t), t.order_details, menu)
+    stock, orders, _ = op.apply_order_lines(verdict, t.ingredients, t.recipes, t.orders, t.order_details)
+    return stock.select(
+        F.lit("stock").alias("what"), F.col("IngredientID").alias("id"), F.col("Current_stock").cast("decimal(20,2)").alias("amount")
+    ).unionByName(
+        orders.select(F.lit("order").alias("what"), F.col("Order_ID").alias("id"), F.col("Total_Amount").cast("decimal(20,2)").alias("amount"))
+    )
+
+
 @registered
 def process_payment(t: Bound) -> DataFrame:
     cmds = events(t).select(
@@ -602,9 +647,10 @@ def stream_stock_ledger(t: Bound) -> DataFrame:
 def stream_order_totals(t: Bound) -> DataFrame:
     total = T.StructField("Total_Amount", T.DecimalType(22, 2))
     totals = log(t, "totals", T.StructType([T.StructField("Order_ID", T.LongType()), total]))
-    lines = t.order_details_of(t.stream("lineitem"))
-    streaming.stream_order_totals(lines, totals, checkpoint(t)).awaitTermination()
-    return streaming.current_totals(totals)
+    # Shipped lines are stored already, the others come in.
+    opening, coming = (t.order_details_of(s.where(f"l_linestatus {is_it} 'F'")) for s, is_it in ((t.source("lineitem"), "="), (t.stream("lineitem"), "<>")))
+    streaming.stream_order_totals(coming, totals, checkpoint(t)).awaitTermination()
+    return streaming.current_totals(totals, opening)
 
 
 @registered
@@ -636,7 +682,7 @@ def stream_validated_append(t: Bound) -> DataFrame:
     refused = rows.withColumn("reason", F.lit("")).schema
     accepted, rejected = log(t, "accepted", rows.schema), log(t, "rejected", refused)
     streaming.stream_validated_append(
-        rows, staff(t), accepted, rejected, checkpoint(t)
+        rows, lambda: staff(t), accepted, rejected, checkpoint(t)
     ).awaitTermination()
     kept = accepted.read().withColumn("reason", F.lit(None).cast("string"))
     return kept.unionByName(rejected.read()).drop("batch")
@@ -648,3 +694,16 @@ def stream_upsert(t: Bound) -> DataFrame:
     newest = log(t, "recipes", t.recipes.schema)
     streaming.stream_upsert(changes, newest, checkpoint(t), "RecipeID").awaitTermination()
     return streaming.current_rows(t.recipes, newest, "RecipeID")
+
+
+@registered
+def stream_fractional_stock(t: Bound) -> DataFrame:
+    moves = log(t, "stock", MOVEMENT)
+    streaming.stream_stock_ledger(
+        quarters(t.batches_of(t.stream("lineitem")), "Quantity_Received"),
+        quarters(t.order_details_of(t.stream("lineitem")), "Quantity"),
+        lambda: t.recipes,
+        moves,
+        checkpoint(t),
+    ).awaitTermination()
+    return streaming.stock_now(t.ingredients, moves).select("IngredientID", "Current_stock")

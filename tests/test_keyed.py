@@ -103,6 +103,9 @@ def test_type_violations_of_typed_columns(spark):
     assert {tuple(r) for r in op.type_violations(df, spec).collect()} == {
         ("whole", "1.50", "INT"), ("amount", "1234567.00", "DECIMAL(8,2)"),
     }
+    numbers = spark.createDataFrame([(Decimal("45.00"), 2.0), (Decimal("45.50"), 2.5), (None, 1e300)], "d decimal(8,2), f double")
+    found = op.type_violations(numbers, {"d": "INT", "f": "INT"}).collect()
+    assert sorted((r.column, r.value) for r in found) == [("d", "45.50"), ("f", "1.0E300"), ("f", "2.5")]
     assert op.type_violations(df, {"i": "INT"}).isEmpty()
 
 
@@ -128,3 +131,16 @@ def test_a_bad_file_is_an_error_and_auditable(spark, tmp_path):
     raw = load_text(spark, str(text), "Recipes")
     found = op.type_violations(raw, {"ProductID": "INT", "quantity_required": "DECIMAL(8,2)"})
     assert [tuple(r) for r in found.collect()] == [("ProductID", "x", "INT")]
+
+
+def test_upsert_refuses_missing_keys(spark):
+    base = spark.createDataFrame([(1, "a")], "k long, v string")
+    new = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (3, 1, "z")], "seq long, k long, v string")
+    assert sorted(map(tuple, op.upsert(base, new, "k").collect())) == [(1, "z")]
+    assert {(r.seq, r.reason) for r in op.missing_keys(new, "k").collect()} == {(1, "missing key"), (2, "missing key")}
+
+
+def test_unknown_columns_of_a_mapping(spark, tmp_path):
+    spark.createDataFrame([(1,)], "x long").write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no column SupplierId"):
+        load(spark, str(tmp_path / "t"), "Suppliers", columns={"SupplierId": F.col("x")})

@@ -110,6 +110,9 @@ def test_order_totals(spark, files, log, tmp_path):
             old = want.get(order)
             want[order] = old if amount is None else amount + (old or 0)
     assert {r.Order_ID: r.Total_Amount for r in streaming.current_totals(totals).collect()} == want
+    opening = spark.createDataFrame([(3, 1, 1, Decimal(7)), (77, 1, 1, Decimal(5))], LINES)
+    want |= {3: want[3] + 7, 77: 5}
+    assert {r.Order_ID: r.Total_Amount for r in streaming.current_totals(totals, opening).collect()} == want
 
 
 def walk(events):
@@ -198,7 +201,7 @@ def test_validated_append(spark, files, log, tmp_path):
     rejected = log("rejected", T.StructType([*schema.fields, T.StructField("reason", T.StringType())]))
     stored = spark.createDataFrame([(7,)], "Employee_ID long")
     streaming.stream_validated_append(
-        files("rows", parts, shape), stored, accepted, rejected, str(tmp_path / "check")
+        files("rows", parts, shape), lambda: stored, accepted, rejected, str(tmp_path / "check")
     ).awaitTermination()
     assert {r.seq for r in accepted.read().collect()} == {2, 3, 7}
     assert {r.seq: r.reason for r in rejected.read().collect()} == {
@@ -221,6 +224,49 @@ def test_upsert(spark, files, log, tmp_path):
     assert sorted(map(tuple, got)) == [(1, 1, 1, 1), (2, 6, 6, 6), (3, 8, 8, None)]
 
 
+def test_upserts_without_a_key(spark, files, log, tmp_path):
+    base = spark.createDataFrame([(1, 1, 1, Decimal(1))], RECIPE)
+    parts = [[(1, None, 5, 5, Decimal(5)), (2, None, 6, 6, Decimal(6)), (3, 2, 7, 7, Decimal(7))]]
+    newest = log("newest", base.schema)
+    refused = log("refused", T.StructType([T.StructField("seq", T.LongType()), *base.schema.fields, T.StructField("reason", T.StringType())]))
+    stream = files("rows", parts, "seq long, " + RECIPE)
+    with pytest.raises(Exception, match="rows without RecipeID"):
+        streaming.stream_upsert(stream, newest, str(tmp_path / "bad"), "RecipeID").awaitTermination()
+    streaming.stream_upsert(stream, newest, str(tmp_path / "check"), "RecipeID", rejected=refused).awaitTermination()
+    assert {r.RecipeID for r in streaming.current_rows(base, newest, "RecipeID").collect()} == {1, 2}
+    assert {(r.seq, r.reason) for r in refused.read().collect()} == {(1, "missing key"), (2, "missing key")}
+
+
+def test_fractions_are_kept(spark, files, log, tmp_path):
+    moves = log("moves", MOVEMENT)
+    stock = spark.createDataFrame([(1, Decimal(10))], STOCK)
+    recipes = spark.createDataFrame([(1, 1, 1, Decimal(1))], RECIPE)
+    receipts = files("receipts", [[(1, Decimal("2.50"))], [(1, Decimal("0.25"))]], "IngredientID long, Quantity_Received decimal(8,2)")
+    sales = files("sales", [[(1, 1, Decimal("1.50"), Decimal(1))]], LINES.replace("Quantity int", "Quantity decimal(8,2)"))
+    streaming.stream_stock_ledger(receipts, sales, lambda: recipes, moves, str(tmp_path / "check")).awaitTermination()
+    assert streaming.stock_now(stock, moves).first().Current_stock == Decimal("11.25")
+
+
+def test_a_log_of_another_run_is_refused(spark, log):
+    moves = log("moves", MOVEMENT)
+    rows = spark.createDataFrame([(1, Decimal(5), False)], MOVEMENT)
+    for batch in (0, 0, 1, 2):
+        moves.write(rows, batch)
+    with pytest.raises(ValueError, match="another run"):
+        moves.write(rows, 0)
+    assert batches(moves) == {0, 1, 2}
+
+
+def test_folded_riders_are_not_forgotten(spark, files, log, tmp_path):
+    shape = "seq long, kind string, Delivery_ID long, Rider_ID long"
+    decisions = log("decisions", streaming.DECISION)
+    riders = log("riders", streaming.RIDER_STATE)
+    riders.write(spark.createDataFrame([(5, 100)], streaming.RIDER_STATE), -1)
+    events = files("events", [[(1, "dispatch", 7, 5)], [(2, "dispatch", 8, 6)]], shape)
+    streaming.stream_dispatch(events, decisions, riders, str(tmp_path / "check")).awaitTermination()
+    assert {r.seq: r.reason is None for r in decisions.read().collect()} == {1: False, 2: True}
+
+
 def test_a_replayed_batch_counts_once(spark, log):
     moves = log("moves", MOVEMENT)
     stock = spark.createDataFrame([(1, Decimal(10))], STOCK)
