@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from larder.functions import full_name
 from larder.plans.views import order_summary
-from larder.session import stored
 
 
 def customer_lookup(customers: DataFrame) -> DataFrame:
@@ -57,12 +56,13 @@ def recent_orders(
 
     The higher id comes first among the orders of one day.  Each order gives
     at least one row, so the ``n`` newest orders are enough.  They are picked
-    before the payments are read, and stored, being ``n`` rows; Catalyst
-    then broadcasts them instead of shuffling the payments.
+    from the ids, dates and customers alone, and fetched by their ids: ``n``
+    ids, which is what is broadcast.
     """
     newest = [F.desc("Order_Date"), F.desc("Order_ID")]
-    known = orders.join(customers.select("CustomerID"), "CustomerID", "left_semi")
-    picked = stored(known.orderBy(*newest).limit(n), "newest")
-    ours = payments.join(picked.select("Order_ID"), "Order_ID", "left_semi")
+    keys = orders.select("Order_ID", "Order_Date", "CustomerID")
+    known = keys.join(customers.select("CustomerID"), "CustomerID", "left_semi")
+    ids = F.broadcast(known.orderBy(*newest).limit(n).select("Order_ID"))
+    picked, ours = (df.join(ids, "Order_ID", "left_semi") for df in (orders, payments))
     rows = order_summary(picked, customers, ours)
     return rows.orderBy(*newest, F.asc("PaymentStatus")).limit(n)
