@@ -309,6 +309,17 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(total, Total_Amount) AS DECIMAL(20,2))
         FROM orders_t LEFT JOIN (SELECT Order_ID, sum(Line_Total) AS total FROM order_details
                                  GROUP BY Order_ID) USING (Order_ID)"""),
+    "bulk_append_rules": sql("""
+        SELECT 'Employees' AS what, Employee_ID AS id, CAST(Salary AS DECIMAL(20,2)) AS amount,
+               CASE WHEN Salary <= 0 THEN 'salary not positive'
+                    WHEN seq > min(CASE WHEN Salary > 0 THEN seq END) OVER (PARTITION BY Employee_ID)
+                    THEN 'duplicate key' END AS reason
+        FROM (SELECT c_custkey AS seq, c_custkey - c_custkey % 2 AS Employee_ID,
+                     CAST(c_acctbal AS DECIMAL(12,2)) AS Salary FROM customer)
+        UNION ALL
+        SELECT 'Orders', Order_ID - Order_ID % 4, CAST(Total_Amount + Tax_Amount - Discount_Amount AS DECIMAL(20,2)),
+               CASE WHEN Order_ID > min(Order_ID) OVER (PARTITION BY Order_ID - Order_ID % 4) THEN 'duplicate key' END
+        FROM orders_t"""),
     "table_append": sql("SELECT PO_ID, SupplierID, Total_Amount, Status FROM purchase_order"),
     "named_views": sql(f"""
         SELECT 'vw_CurrentStockLevels' AS view_name, count(*) AS n FROM ({STOCK_LEVELS})

@@ -117,6 +117,30 @@ def bulk_append(t: Bound) -> DataFrame:
     return stock.unionByName(totals)
 
 
+@registered
+def bulk_append_rules(t: Bound) -> DataFrame:
+    """What becomes of new staff and orders that repeat keys, with salaries of all kinds."""
+    rows = {
+        "Orders": t.orders.drop("Final_Total")
+        .withColumn("seq", F.col("Order_ID"))
+        .withColumn("Order_ID", F.col("Order_ID") - F.col("Order_ID") % 4)
+        .withColumn("Final_Total", F.lit(None).cast("decimal(20,2)")),
+        "Employees": t.source("customer").select(
+            F.col("c_custkey").alias("seq"), pairs("c_custkey").alias("Employee_ID"), money("c_acctbal").alias("Salary")
+        ),
+    }
+    empty = {name: new.drop("seq").where(F.lit(False)) for name, new in rows.items()}
+    after, refused = op.bulk_append(empty, rows)
+    parts = []
+    for name, key, amount in (("Orders", "Order_ID", "Final_Total"), ("Employees", "Employee_ID", "Salary")):
+        kept = after[name].withColumn("reason", F.lit(None).cast("string"))
+        for part in (kept, refused[name]):
+            parts.append(
+                part.select(F.lit(name).alias("what"), F.col(key).alias("id"), F.col(amount).cast("decimal(20,2)").alias("amount"), "reason")
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @registered
 def table_append(t: Bound) -> DataFrame:
     """Store the delivered purchase orders, append the others, read them back typed."""
