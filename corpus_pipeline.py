@@ -18,14 +18,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies.
+    """One document of each group of texts that share 0.8 or more of their five-word shingles.
 
-    Fingerprints of two-word shingles within 8 of 64 bits stand for a
-    similarity of 0.8 of five-word shingles: that finds nine in ten of such
-    pairs, and hardly any pair of less than 0.5.  Fingerprints of five words
-    would need a radius of 13, where unrelated texts meet.
+    Candidates come from fingerprints of two-word shingles within 8 of 64
+    bits: fingerprints of five words would need a radius of 13, where
+    unrelated texts meet.
     """
-    return deduplicated(docs, words=2, radius=8)
+    return deduplicated(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

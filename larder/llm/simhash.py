@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,25 +20,48 @@ WORDS = 3
 RADIUS = 3
 SEED = 42
 SHARD = 4096
+#: Near copies: the share of five-word shingles that two texts have in common.
+CHECK_WORDS = 5
+SIMILARITY = 0.8
+#: Most differing bits of 128 for a candidate: texts of that similarity differ in 19 on average, and hardly ever in more.
+CHECK_BITS = 34
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64 bits, each set if more than half of the shingles' hashes have it set."""
+def shingles(text: str, words: int) -> Iterator[bytes]:
+    """All shingles in order; fewer words than ``words`` are one shingle, no words none."""
     parts = text.encode().translate(LOWER).split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(parts))
-    spans = zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashed = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
+    for a, b in zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True):
+        yield joined[a:b]
+
+
+def majority(hashed: np.ndarray) -> np.ndarray:
+    """64-bit words whose bits are set where over half of the rows of ``hashed`` have them set."""
+    width = hashed.shape[1]
+    counts = np.zeros(64 * width, dtype=np.int64)
     for at in range(0, len(hashed), 65_536):
         bits = np.unpackbits(hashed[at : at + 65_536].view(np.uint8), bitorder="little")
-        counts += bits.reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view("<u8")[0])
+        counts += bits.reshape(-1, 64 * width).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashed), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64 bits, each set if more than half of the shingles' hashes have it set."""
+    hashed = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], dtype="<u8")
+    return int(majority(hashed.reshape(-1, 1))[0])
+
+
+def wide_fingerprint(text: str, words: int = CHECK_WORDS) -> tuple[int, int]:
+    """128 bits of the same kind, as two numbers."""
+    hashed = b"".join([xxhash.xxh3_128_digest(s, SEED) for s in shingles(text, words)])
+    high, low = majority(np.frombuffer(hashed, dtype="<u8").reshape(-1, 2))
+    return int(high), int(low)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -99,10 +123,12 @@ class Joined:
             up = self.parent[x]
         return x
 
-    def union(self, a: int, b: int) -> None:
+    def union(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
         a, b = self.find(a), self.find(b)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
+        return a != b
 
     def links(self) -> list[tuple[int, int]]:
         return [(x, r) for x in list(self.parent) if (r := self.find(x)) != x]
@@ -141,40 +167,56 @@ def fingerprint_links(values: DataFrame, radius: int = RADIUS, shard: int = SHAR
     holds two parts at most.  Each task returns a spanning forest of the links
     it found, not all pairs.
     """
+    search = _searcher(radius)
+    return _dealt(values, radius, shard).groupBy("task").applyInPandas(search, "u long, v long")
+
+
+def _dealt(values: DataFrame, radius: int, shard: int) -> DataFrame:
+    """The rows of ``values`` in each task that they are searched in."""
+    own = values.columns
     n = values.count()
     blocks, taken = key_blocks(n, radius)
-    keyed = values.select("fp", F.explode(keys_of(F.col("fp"), blocks, taken)).alias("key")).select("fp", "key.*")
+    keyed = values.select(*own, F.explode(keys_of(F.col("fp"), blocks, taken)).alias("key")).select(*own, "key.*")
     held = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / shard).cast("int")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(*own), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = (
         keyed.join(held, ["choice", "bits"])
-        .select("choice", "bits", "fp", parts.alias("parts"))
+        .select("choice", "bits", *own, parts.alias("parts"))
         .select("*", part.alias("part"))
         .select("*", other.alias("other"))
-        .select("choice", "bits", "fp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .select("choice", "bits", *own, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     )
     tasks = max(1, -(-n * math.comb(blocks, taken) // (2 * shard)))
     task = F.pmod(F.xxhash64("choice", "bits", "i", "j"), F.lit(tasks))
-    search = _searcher(radius)
-    return dealt.withColumn("task", task).groupBy("task").applyInPandas(search, "u long, v long")
+    return dealt.withColumn("task", task)
+
+
+def _meetings(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[slice, list[bool], bool]]]:
+    """The rows in order; where those that meet are, which are of the second part, and if there are two."""
+    rows = rows.sort_values(["choice", "bits", "i", "j", "part"], kind="stable")
+    keys = rows[["choice", "bits", "i", "j"]].to_numpy()
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    second = (rows["part"] == rows["j"]).to_numpy().tolist()
+    two = (rows["i"] != rows["j"]).to_numpy().tolist()
+    bounds = itertools.pairwise([0, *cuts.tolist(), len(rows)])
+    return rows, [(slice(a, b), second[a:b], two[a]) for a, b in bounds if b - a > 1]
+
+
+def _links_frame(links: list[tuple[int, int]], kind: type) -> pd.DataFrame:
+    both = np.array(links, dtype=kind).reshape(-1, 2).view(np.int64)
+    return pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
 
 
 def _searcher(radius: int):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         found = Joined()
-        rows = rows.sort_values(["choice", "bits", "i", "j", "part"], kind="stable")
-        keys = rows[["choice", "bits", "i", "j"]].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        rows, meetings = _meetings(rows)
         fps = rows["fp"].to_numpy().view(np.uint64).tolist()
-        sides = (rows["part"] == rows["j"]).to_numpy().tolist()
-        pairs = (rows["i"] != rows["j"]).to_numpy().tolist()
-        for a, b in itertools.pairwise([0, *cuts.tolist(), len(rows)]):
-            if b - a > 1:
-                _link(fps[a:b], sides[a:b], pairs[a], radius, found)
-        links = np.array(found.links(), dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"u": links[:, 0], "v": links[:, 1]})
+        for here, second, two in meetings:
+            _link(fps[here], second, two, radius, found)
+        return _links_frame(found.links(), np.uint64)
 
     return search
 
@@ -209,22 +251,95 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     return marked.join(of_value, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The columns of ``docs``, one row of each component: that of the smallest doc_id.
+def candidate_links(nodes: DataFrame, radius: int, bits: int = CHECK_BITS, shard: int = SHARD) -> DataFrame:
+    """Likely near copies (u, v) among ``nodes`` (node, fp, high, low), each with a number of its own.
 
-    Rows are told apart by a number given when they are first stored, so that
-    repeated rows are reduced to one as well.  A component without any doc_id
-    keeps one row.
+    Fingerprints within ``radius`` are found as in `fingerprint_links`; of
+    those, pairs whose wide fingerprints differ in more than ``bits`` are left
+    out.  Each task returns a shortest spanning forest by the differing bits:
+    what is left out of it is connected by links that look at least as similar.
     """
-    fp = F.pandas_udf(_fingerprinter(words), "long")(text_or_empty()).alias("fp")
+    search = _candidate_searcher(radius, bits)
+    found = _dealt(nodes, radius, shard).groupBy("task").applyInPandas(search, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _candidate_searcher(radius: int, bits: int):
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, meetings = _meetings(rows)
+        fps = rows["fp"].to_numpy().view(np.uint64).tolist()
+        wide = rows[["high", "low"]].to_numpy().view(np.uint64)
+        nodes = rows["node"].to_numpy()
+        pairs = [np.empty((0, 3), dtype=np.int64)]
+        for here, second, two in meetings:
+            pairs += _near_pairs(fps[here], second, two, wide[here], nodes[here], radius, bits)
+        pairs = np.concatenate(pairs)
+        order = np.argsort(pairs[:, 0], kind="stable")
+        found = Joined()
+        return _links_frame([(u, v) for _, u, v in pairs[order].tolist() if found.union(u, v)], np.int64)
+
+    return search
+
+
+def _near_pairs(fps, second, two, wide, nodes, radius: int, bits: int) -> list[np.ndarray]:
+    """(differing bits, node, node) for what lies within ``radius`` and ``bits``, by one tree of the first part."""
+    tree, held, pairs = BKTree(), {}, []
+    for at, fp in enumerate(fps):
+        if not two or second[at]:
+            near = np.array([k for other in tree.near(fp, radius) for k in held[other]], dtype=np.int64)
+            if len(near):
+                steps = np.bitwise_count(wide[near] ^ wide[at]).sum(axis=1, dtype=np.int64)
+                near, steps = near[steps <= bits], steps[steps <= bits]
+                pairs.append(np.stack([steps, nodes[near], np.full(len(near), nodes[at])], axis=1))
+        if not two or not second[at]:
+            tree.add(fp)
+            held.setdefault(fp, []).append(at)
+    return pairs
+
+
+def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``links`` (u, v) whose ``texts`` (node, text) share ``similarity`` of their distinct shingles."""
+
+    @F.pandas_udf("array<long>")
+    def hashed(values: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, words)], dtype=np.uint64)).view(np.int64) for t in values])
+
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = stored(texts.join(ends, "node", "left_semi").select("node", hashed(text_or_empty()).alias("set")), "shingles")
+    u, v = (sets.select(F.col("node").alias(c), F.col("set").alias(f"of_{c}")) for c in "uv")
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    either = F.size("of_u") + F.size("of_v") - common
+    return links.join(u, "u").join(v, "v").where(common >= similarity * either - 1e-9).select("u", "v")
+
+
+def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: float = SIMILARITY) -> DataFrame:
+    """The columns of ``docs``, one row of each group of near copies: that of the smallest doc_id.
+
+    Candidates have fingerprints of ``words``-word shingles within ``radius``
+    bits; a candidate is a link if the distinct five-word shingles of both
+    texts really have a similarity of ``similarity`` or more.  Texts alike in
+    that fingerprint and in 128 bits for their five-word shingles are taken for
+    copies.  Null text is empty text; texts without words are copies of each
+    other.  Rows are told apart by a number given when they are first stored,
+    so that repeated rows are reduced to one as well.  A group without any
+    doc_id keeps one row.  An empty table stays empty.
+    """
+
+    @F.pandas_udf("struct<fp: long, high: long, low: long>")
+    def marks(values: pd.Series) -> pd.DataFrame:
+        found = np.array([(fingerprint(t, words), *wide_fingerprint(t)) for t in values], dtype=np.uint64)
+        return pd.DataFrame(found.reshape(-1, 3).view(np.int64), columns=["fp", "high", "low"])
+
     # The columns travel as one, so that none can clash with those added here.
-    marked = stored(docs.select(F.struct("*").alias("doc"), fp, F.monotonically_increasing_id().alias("row")), "fingerprinted")
+    row = F.monotonically_increasing_id().alias("row")
+    marked = stored(docs.select(F.struct("*").alias("doc"), marks(text_or_empty()).alias("mark"), row), "fingerprinted")
     first = F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))).alias("first")
-    values = stored(marked.groupBy("fp").agg(first), "values")
-    label = components(fingerprint_links(values.select("fp"), radius)).withColumnRenamed("node", "fp")
+    nodes = stored(marked.groupBy("mark").agg(first).select("mark.*", "first", F.col("first.row").alias("node")), "nodes")
+    links = stored(candidate_links(nodes.select("node", "fp", "high", "low"), radius), "candidates")
+    texts = marked.select(F.col("row").alias("node"), F.col("doc.text").alias("text"))
     kept = (
-        values.join(label, "fp", "left")
-        .groupBy(F.coalesce("component", "fp"))
+        nodes.join(components(similar_links(links, texts, similarity=similarity)), "node", "left")
+        .groupBy(F.coalesce("component", "node"))
         .agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("row"))
     )

@@ -24,7 +24,7 @@ from larder.llm.licenses import BASE as PHRASES
 from larder.llm.licenses import license_scan
 from larder.llm.secrets import BASE, MORE, Segment, secret_scan, trigram_query
 from larder.llm.sharding import interleaved_shards
-from larder.llm.simhash import fingerprint, fingerprint_links, simhash_groups
+from larder.llm.simhash import candidate_links, deduplicated, fingerprint, fingerprint_links, simhash_groups, wide_fingerprint
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -326,3 +326,60 @@ def test_ranks(spark):
     for g in range(3):
         own = sorted((r.b, r.v) for r in out if r.g == g)
         assert [own.index((r.b, r.v)) for r in out if r.g == g] == [r.r for r in out if r.g == g]
+
+
+def five_words(text: str) -> set[str]:
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def variants(rng: random.Random, n: int, changed: int, length: int = 200) -> list[str]:
+    """A text and copies of it, with ``changed`` words of their own each."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    out = [words]
+    for _ in range(n):
+        copy = list(words)
+        for at in rng.sample(range(length), changed):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        out.append(copy)
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_go_and_looser_ones_stay(spark):
+    """Two changed words of 200 leave a similarity of 0.9, twelve one of 0.6."""
+    rng = random.Random(5)
+    groups = [(kind, variants(rng, 6, changed)) for kind, changed in (("close", 2), ("loose", 12)) for _ in range(12)]
+    rows = [(i, kind, g, text) for i, (kind, g, text) in enumerate((k, g, t) for g, (k, ts) in enumerate(groups) for t in ts)]
+    kept = deduplicated(spark.createDataFrame(rows, "doc_id long, kind string, g int, text string")).collect()
+    texts = {r[0]: five_words(r[3]) for r in rows}
+    first = {g: min(r[0] for r in rows if r[2] == g) for g in range(len(groups))}
+    assert sorted(r.doc_id for r in kept if r.kind == "close") == [first[g] for g in range(12)]
+    assert sum(r.kind == "loose" for r in kept) == 12 * 7
+    here = {r.doc_id for r in kept}
+    for doc, _, g, _ in rows:
+        similar = [o for o, _, og, _ in rows if og == g and o != doc and len(texts[o] & texts[doc]) >= 0.8 * len(texts[o] | texts[doc])]
+        assert doc in here or similar
+
+
+@pytest.mark.parametrize("shard", [2, 7, 4096])
+def test_candidates_do_not_depend_on_the_shards(spark, shard):
+    """Every pair within both radii is connected, also of equal fingerprints."""
+    rng = random.Random(shard)
+    texts = [t for _ in range(5) for t in variants(rng, 8, 4)]
+    marks = [(i, fingerprint(t, 2), *wide_fingerprint(t)) for i, t in enumerate(texts)]
+    marks += [(100 + i, marks[0][1], *wide_fingerprint(t)) for i, t in enumerate(variants(rng, 8, 3))]
+    signed = [(n, *(v - (1 << 64) if v >> 63 else v for v in rest)) for n, *rest in marks]
+    links = candidate_links(spark.createDataFrame(signed, "node long, fp long, high long, low long"), 8, 34, shard).collect()
+    group = {n: n for n, *_ in marks}
+
+    def root(n):
+        return n if group[n] == n else root(group[n])
+
+    def bits(a, b):
+        return (a[1] ^ b[1]).bit_count() <= 8 and (a[2] ^ b[2]).bit_count() + (a[3] ^ b[3]).bit_count() <= 34
+
+    of = {m[0]: m for m in marks}
+    assert all(bits(of[u], of[v]) for u, v in links)
+    for u, v in links:
+        group[root(u)] = root(v)
+    assert all(root(a[0]) == root(b[0]) for a in marks for b in marks if bits(a, b))
