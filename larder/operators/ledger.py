@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 STOCK = T.DecimalType(20, 2)
 # Quantities that come as floating point; their sums stay exact.
 QUANTITY = T.DecimalType(20, 4)
+# Movements are not rounded before they meet the stock: a stream has many.
+DELTA = T.DecimalType(30, 6)
 
 # One movement: an ingredient, a signed amount, and whether it is unknown.
 MOVEMENT = T.StructType(
     [
         T.StructField("IngredientID", T.LongType()),
-        T.StructField("delta", STOCK),
+        T.StructField("delta", DELTA),
         T.StructField("unknown", T.BooleanType()),
     ]
 )
@@ -40,7 +42,7 @@ def receipt_movements(new_batches: DataFrame) -> DataFrame:
         new_batches.where(F.col("IngredientID").isNotNull())
         .groupBy("IngredientID")
         .agg(
-            F.sum(quantity).cast(STOCK).alias("delta"),
+            F.sum(quantity).cast(DELTA).alias("delta"),
             F.bool_or(quantity.isNull()).alias("unknown"),
         )
     )
@@ -75,28 +77,40 @@ def usage_movements(recipes: DataFrame, sold: DataFrame) -> DataFrame:
         .where(F.col("IngredientID").isNotNull())
         .groupBy("IngredientID")
         .agg(
-            (-F.sum(used)).cast(STOCK).alias("delta"),
+            (-F.sum(used)).cast(DELTA).alias("delta"),
             F.bool_or(F.col("sold_unknown") | F.col("_need").isNull()).alias("unknown"),
         )
     )
 
 
 def net_movements(movements: DataFrame) -> DataFrame:
-    """One movement per ingredient."""
-    return movements.groupBy("IngredientID").agg(
-        F.sum("delta").cast(STOCK).alias("delta"), F.bool_or("unknown").alias("unknown")
+    """At most two movements per ingredient: what came in and what went out, unrounded."""
+    out = F.coalesce(F.col("delta") < 0, F.lit(False)).alias("_out")
+    return (
+        movements.groupBy("IngredientID", out)
+        .agg(F.sum("delta").cast(DELTA).alias("delta"), F.bool_or("unknown").alias("unknown"))
+        .drop("_out")
     )
 
 
 def apply_movements(ingredients: DataFrame, movements: DataFrame) -> DataFrame:
-    """Stock after the movements; ingredients without any keep theirs."""
+    """Stock after the movements; ingredients without any keep theirs.
+
+    What came in and what went out are each rounded once, in all, so that the
+    stock does not depend on how many movements they came as.
+    """
+    came = F.sum(F.when(F.col("delta") >= 0, F.col("delta"))).cast(STOCK)
+    went = F.sum(F.when(F.col("delta") < 0, F.col("delta"))).cast(STOCK)
+    net = movements.groupBy("IngredientID").agg(
+        F.coalesce(came + went, came, went).alias("delta"), F.bool_or("unknown").alias("unknown")
+    )
     stock = F.col("Current_stock")
     after = (
         F.when(F.col("unknown").isNull(), stock)
         .when(~F.col("unknown"), stock + F.col("delta"))
         .cast(STOCK)
     )
-    joined = ingredients.join(net_movements(movements), "IngredientID", "left")
+    joined = ingredients.join(net, "IngredientID", "left")
     return joined.withColumn("Current_stock", after).select(ingredients.columns)
 
 

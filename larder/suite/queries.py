@@ -658,8 +658,8 @@ def checkpoint(t: Bound) -> str:
 def stream_stock_ledger(t: Bound) -> DataFrame:
     moves = log(t, "stock", MOVEMENT)
     streaming.stream_stock_ledger(
-        t.batches_of(t.stream("lineitem")),
-        t.order_details_of(t.stream("lineitem")),
+        t.batches_of(t.stream("lineitem", "l_orderkey")),
+        t.order_details_of(t.stream("lineitem", "l_orderkey")),
         lambda: t.recipes,
         moves,
         checkpoint(t),
@@ -672,7 +672,7 @@ def stream_order_totals(t: Bound) -> DataFrame:
     total = T.StructField("Total_Amount", T.DecimalType(22, 2))
     totals = log(t, "totals", T.StructType([T.StructField("Order_ID", T.LongType()), total]))
     # Shipped lines are stored already, the others come in.
-    opening, coming = (t.order_details_of(s.where(f"l_linestatus {is_it} 'F'")) for s, is_it in ((t.source("lineitem"), "="), (t.stream("lineitem"), "<>")))
+    opening, coming = (t.order_details_of(s.where(f"l_linestatus {is_it} 'F'")) for s, is_it in ((t.source("lineitem"), "="), (t.stream("lineitem", "l_orderkey"), "<>")))
     streaming.stream_order_totals(coming, totals, checkpoint(t)).awaitTermination()
     return streaming.current_totals(totals, opening)
 
@@ -681,7 +681,7 @@ def stream_order_totals(t: Bound) -> DataFrame:
 def stream_dispatch(t: Bound) -> DataFrame:
     kind = F.col("event_type")
     board = (
-        t.stream("events")
+        t.stream("events", "event_id")
         .where(kind.isin("view", "click"))
         .select(
             F.col("event_id").alias("seq"),
@@ -698,7 +698,7 @@ def stream_dispatch(t: Bound) -> DataFrame:
 
 @registered
 def stream_validated_append(t: Bound) -> DataFrame:
-    rows = t.stream("customer").select(
+    rows = t.stream("customer", "c_custkey").select(
         F.col("c_custkey").alias("seq"),
         pairs("c_custkey").alias("Employee_ID"),
         money("c_acctbal").alias("Salary"),
@@ -714,7 +714,7 @@ def stream_validated_append(t: Bound) -> DataFrame:
 
 @registered
 def stream_upsert(t: Bound) -> DataFrame:
-    changes = recipe_changes(t, t.stream("events"))
+    changes = recipe_changes(t, t.stream("events", "event_id"))
     newest = log(t, "recipes", t.recipes.schema)
     streaming.stream_upsert(changes, newest, checkpoint(t), "RecipeID").awaitTermination()
     return streaming.current_rows(t.recipes, newest, "RecipeID")
@@ -724,8 +724,8 @@ def stream_upsert(t: Bound) -> DataFrame:
 def stream_fractional_stock(t: Bound) -> DataFrame:
     moves = log(t, "stock", MOVEMENT)
     streaming.stream_stock_ledger(
-        quarters(t.batches_of(t.stream("lineitem")), "Quantity_Received"),
-        quarters(t.order_details_of(t.stream("lineitem")), "Quantity"),
+        quarters(t.batches_of(t.stream("lineitem", "l_orderkey")), "Quantity_Received"),
+        quarters(t.order_details_of(t.stream("lineitem", "l_orderkey")), "Quantity"),
         lambda: t.recipes,
         moves,
         checkpoint(t),

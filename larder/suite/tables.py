@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larder.functions import STAMP_FORMAT
+from larder.session import fresh_dir
 from larder.sources.catalog import TABLES
 
 TAX = Decimal("0.05")
 LINES_PER_ORDER = 8  # above the largest line number
 RECIPE_LINES = 4  # recipe lines of each product
+MICRO_BATCHES = 4  # of a stream, at least
+SLICE_ROWS = 1_000_000  # of a micro-batch, about
 # Statuses that stand for the one-letter codes of the orders table.
 PO_STATUS = {"F": "Delivered", "O": "Pending", "P": "Shipped"}
 
@@ -45,6 +48,7 @@ class Bound(Mapping):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self._feeds: dict[str, str] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -64,13 +68,31 @@ class Bound(Mapping):
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
-    def stream(self, name: str) -> DataFrame:
-        """The same files as a stream.
+    def stream(self, name: str, order: str) -> DataFrame:
+        """The rows of a table as a stream of several files, one per micro-batch, in ``order``.
 
-        As a glob, which the file source takes for a folder as for one file.
+        Files are taken by their time, so the slices are written one after the
+        other; there are more of them in a larger table.
         """
-        schema = self.source(name).schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.dir}/{{{name}}}.parquet")
+        return (
+            self.spark.readStream.schema(self.source(name).schema)
+            .option("maxFilesPerTrigger", 1)
+            .parquet(self._feed(name, order))
+        )
+
+    def _feed(self, name: str, order: str) -> str:
+        if name not in self._feeds:
+            rows, key = self.source(name), F.col(order)
+            slices = max(MICRO_BATCHES, rows.count() // SLICE_ROWS)
+            shares = [i / slices for i in range(1, slices)]
+            edges = rows.agg(F.percentile_approx(key, shares)).first()[0] or []
+            # How many edges lie below; a missing key is in the first slice.
+            number = sum((F.coalesce((key > edge).cast("int"), F.lit(0)) for edge in edges), F.lit(0))
+            path = fresh_dir(self.spark, f"feed-{name}")
+            for i in range(len(edges) + 1):
+                rows.where(number == i).coalesce(1).write.mode("append").parquet(path)
+            self._feeds[name] = path
+        return self._feeds[name]
 
     def size(self, name: str) -> Column:
         """The number of rows, as a scalar subquery."""

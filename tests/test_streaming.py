@@ -15,6 +15,7 @@ from larder.operators.ledger import MOVEMENT, net_movements
 from larder.sources import BatchLog
 from larder.streaming import dispatch, jobs
 from larder.streaming.dispatch import decide, open_deliveries
+from larder.suite.tables import Bound
 
 STOCK = "IngredientID long, Current_stock decimal(20,2)"
 RECIPE = "RecipeID long, ProductID long, IngredientID long, quantity_required decimal(8,2)"
@@ -304,3 +305,38 @@ def test_folded_logs_go_on(spark, files, log, tmp_path):
     run([[(1, 7)]], folded)
     got = {r.IngredientID: r.Current_stock for r in streaming.stock_now(stock, folded).collect()}
     assert got == {1: 28, 2: None}
+
+
+def test_small_sales_are_rounded_once_in_all(spark, files, log, tmp_path):
+    """Four sales of 0.25 units that need 0.01 each take 0.01, in whatever batches they come."""
+    stock = spark.createDataFrame([(1, Decimal(10))], STOCK)
+    recipes = spark.createDataFrame([(1, 1, 1, Decimal("0.01"))], RECIPE)
+    shape = LINES.replace("Quantity int", "Quantity decimal(8,2)")
+    sale = (1, 1, Decimal("0.25"), Decimal(1))
+    moves = log("moves", MOVEMENT)
+    streaming.stream_stock_ledger(
+        files("receipts", [[(9, 1)]], "IngredientID long, Quantity_Received int"),
+        files("sales", [[sale]] * 4, shape),
+        lambda: recipes,
+        moves,
+        str(tmp_path / "check"),
+    ).awaitTermination()
+    once = op.deduct_ingredients(stock, recipes, spark.createDataFrame([sale] * 4, shape))
+    assert once.first().Current_stock == Decimal("9.99")
+    assert streaming.stock_now(stock, moves).first().Current_stock == Decimal("9.99")
+    folded = moves.folded(str(tmp_path / "folded"), net_movements)
+    assert streaming.stock_now(stock, folded).first().Current_stock == Decimal("9.99")
+
+
+def test_the_suite_streams_in_order_and_in_several_batches(spark, tmp_path):
+    t = Bound(spark, "/root/testdata/sf0.001")
+    seen = []
+
+    def each(rows, _):
+        seen.append(sorted(r.event_id for r in rows.select("event_id").collect()))
+
+    query = t.stream("events", "event_id").writeStream.foreachBatch(each)
+    query.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) >= 4
+    assert [n for part in seen for n in part] == sorted(r.event_id for r in t.source("events").select("event_id").collect())
+
