@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm.mixing import mixed
+from larder.llm.mixing import ordered
 from larder.llm.packing import packed
 from larder.llm.quality import selected
 from larder.llm.secrets import redacted
@@ -33,13 +33,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the documents in the order in which sources meet their target weights."""
-    return mixed(docs)
+    """Put the documents in the order in which sources meet their target weights, kept as mix_order."""
+    return ordered(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut into tokens and pack into sequences."""
-    return packed(docs)
+    """Cut into tokens and pack into sequences, numbered in the order of the mixture."""
+    return packed(docs, order="mix_order")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]

@@ -118,3 +118,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return placed.repartitionByRange("mix_order").sortWithinPartitions("mix_order").select("doc.*")
 
 
+def ordered(docs: DataFrame, **options) -> DataFrame:
+    """`mixed` with the place of each row in the mixture as column ``mix_order``."""
+    placed = scheduled(docs.select(F.struct("*").alias("doc"), "doc_id", "source"), **options)
+    own = [F.col(f"doc.`{c}`") for c in docs.columns if c != "mix_order"]
+    return placed.repartitionByRange("mix_order").sortWithinPartitions("mix_order").select(*own, "mix_order")

@@ -19,6 +19,7 @@ from larder.session import stored
 CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
+RANGES = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,8 +34,8 @@ def encoder(path: str | None = None):
     return own.encode_ordinary
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each document's tokens.
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, order: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of each document's tokens, and ``_order``, zero without ``order``.
 
     A document is its ids and the end id.  Only one longer than ``capacity`` is
     cut: its first piece takes what doesn't fill whole pieces.
@@ -44,15 +45,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         encode = encoder(path)
         for rows in batches:
             out = []
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+            for doc_id, text, at in zip(rows["doc_id"], rows["text"], rows["_order"], strict=True):
                 ids = np.array([*encode(text), END], dtype="<u4")
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    out.append((doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes()), at))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_order"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(cut, PIECES)
+    at = F.coalesce(F.col(order).cast("long"), F.lit(0)) if order else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), at.alias("_order")).mapInPandas(cut, f"{PIECES}, _order long")
 
 
 @dataclass
@@ -137,7 +139,20 @@ def _fill(out: Plan, gaps: dict[int, list[Bins]], held: Bins, s: int, n: int) ->
     return each * whole
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def _order_range(cut: DataFrame):
+    """A column function from ``_order`` to one of RANGES ranges that hold about as many pieces each."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    held = cut.agg(F.percentile_approx("_order", shares, 10 * RANGES)).first()[0]
+    edges = np.array(held or [], dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def of(order: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, order.to_numpy()).astype(np.int64))
+
+    return of
+
+
+def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, order: str | None = None) -> DataFrame:
     """Each piece's sequence and its offset there.
 
     The packing is planned from the number of pieces of each length, at most
@@ -146,22 +161,36 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     in hash ranges so that a frequent length is no task of its own, leads to
     its place.
 
+    With ``order``, a whole-number column of ``docs``, pieces of one length
+    are ranked by it and sequences are numbered by the order of their first
+    piece, which is their longest: read by ``sequence_id``, the packed text
+    keeps the order of the documents as far as the lengths leave it.
+
     A null text is empty and packs as the end id alone; repeated rows are
     packed one by one; an empty table gives no rows.
     """
     cut = stored(
-        pieces(docs, capacity, path).withColumn("_range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1024))),
+        pieces(docs, capacity, path, order).withColumn("_range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1024))),
         "pieces",
     )
+    if order:
+        of_order = _order_range(cut)
+        cut = cut.withColumn("_range", of_order("_order"))
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
     runs = np.array(sorted(plan(counts, capacity).runs), dtype=np.int64).reshape(-1, 4)
     key = (runs[:, 0] << 48) | runs[:, 1]
-    by_rank = ranked(cut, ["length"], "_range", ["doc_id", "piece", "ids_crc32", "start"], "_rank")
+    by_rank = ranked(cut, ["length"], "_range", ["_order", "doc_id", "piece", "ids_crc32", "start"], "_rank")
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         at = np.searchsorted(key, (length.to_numpy() << 48) | rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": runs[at, 2] + rank.to_numpy() - runs[at, 1], "offset": runs[at, 3]})
 
-    named = by_rank.withColumn("_place", place("length", "_rank"))
-    return named.select("doc_id", "piece", "start", "length", "ids_crc32", "_place.sequence_id", "_place.offset")
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    named = by_rank.withColumn("_place", place("length", "_rank")).select(*own, "_order", "_place.*")
+    if order:
+        named = stored(named, "placed")
+        heads = named.where("offset = 0").select("sequence_id", "_order", of_order("_order").alias("_range"), F.lit(0).alias("_all"))
+        numbers = ranked(stored(heads, "heads"), ["_all"], "_range", ["_order", "sequence_id"], "_number")
+        named = named.join(numbers.select("sequence_id", "_number"), "sequence_id").withColumn("sequence_id", F.col("_number").cast("long"))
+    return named.select(*own, "sequence_id", "offset")

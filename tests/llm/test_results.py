@@ -383,3 +383,30 @@ def test_candidates_do_not_depend_on_the_shards(spark, shard):
     for u, v in links:
         group[root(u)] = root(v)
     assert all(root(a[0]) == root(b[0]) for a in marks for b in marks if bits(a, b))
+
+
+def test_packing_follows_the_mixture(spark, docs):
+    """Pieces of a length and the sequences are in the order of the mixture, which other weights change."""
+    runs = []
+    for weights in (None, {"src0": 0.9, "": 0.005}):
+        mixture = mixing.ordered(docs, weights=weights)
+        place = {r.doc_id: r.mix_order for r in mixture.collect()}
+        out = packing.packed(mixture, order="mix_order").collect()
+        heads = [place[r.doc_id] for r in sorted(out, key=lambda r: r.sequence_id) if r.offset == 0]
+        assert heads == sorted(heads) and len(heads) == len({r.sequence_id for r in out}) == 1 + max(r.sequence_id for r in out)
+        assert len({(r.doc_id, r.piece) for r in out}) == len(out) == packing.packed(docs).count()
+        runs.append(sorted((r.doc_id, r.piece, r.sequence_id) for r in out))
+    assert runs[0] != runs[1]
+
+
+def test_the_pipeline_has_the_mixture(spark, monkeypatch):
+    import corpus_pipeline
+
+    def numbered():
+        return sorted((r.doc_id, r.piece, r.sequence_id) for r in corpus_pipeline.run(spark, SMALL).collect())
+
+    first = numbered()
+    weighed = [(n, (lambda s, d, _: mixing.ordered(d, weights={"src0": 0.9, "": 0.005})) if n == "mixing" else f) for n, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", weighed)
+    other = numbered()
+    assert [r[:2] for r in first] == [r[:2] for r in other] and first != other
