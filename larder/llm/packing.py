@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,19 +20,21 @@ from larder.session import stored
 CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added token of byte_bpe_50k.json; the ranks don't hold it.
+SPECIAL = {"<|endoftext|>": 50256}
 RANGES = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def encoder(path: str | None = None):
-    """Ids of a byte-level BPE vocabulary, given as ranks; special tokens are ordinary text."""
+    """Ids of a byte-level BPE vocabulary, given as ranks; the marker of a text's end is one id, as tokenizers reads it."""
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return own.encode_ordinary
+    own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return partial(own.encode, allowed_special="all")
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, order: str | None = None) -> DataFrame:

@@ -410,3 +410,19 @@ def test_the_pipeline_has_the_mixture(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", weighed)
     other = numbered()
     assert [r[:2] for r in first] == [r[:2] for r in other] and first != other
+
+
+def test_ids_of_texts_with_the_marker(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"first document{mark}second one", mark, f" {mark} {mark}{mark}\n", f"<|endof{mark}text|>", "<|endoftext |>", f"é{mark}" * 900]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in packing.packed(rows).collect()}
+    for doc_id, text in enumerate(texts):
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        for (i, start), (length, crc) in found.items():
+            assert i != doc_id or crc == zlib.crc32(ids[start : start + length].tobytes())
+        assert sum(n for (i, _), (n, _) in found.items() if i == doc_id) == len(ids)
