@@ -59,11 +59,22 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 def wide_fingerprint(text: str, words: int = CHECK_WORDS) -> tuple[int, int]:
     """128 bits of the same kind, as two numbers."""
-    hashed = b"".join([xxhash.xxh3_128_digest(s, SEED) for s in shingles(text, words)])
-    high, low = majority(np.frombuffer(hashed, dtype="<u8").reshape(-1, 2))
+    high, low = majority(wide_hashes(text, words))
     return int(high), int(low)
 
 
+def wide_hashes(text: str, words: int = CHECK_WORDS) -> np.ndarray:
+    """A row of two 64-bit hashes for each shingle."""
+    hashed = b"".join([xxhash.xxh3_128_digest(s, SEED) for s in shingles(text, words)])
+    return np.frombuffer(hashed, dtype="<u8").reshape(-1, 2)
+
+
+def set_hash(distinct: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two numbers, of a sorted set of hashes."""
+    both = xxhash.xxh3_128_intdigest(distinct.tobytes(), SEED)
+    return both >> 64, both & (1 << 64) - 1
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; a null text counts as empty."""
 
@@ -317,18 +328,21 @@ def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: f
 
     Candidates have fingerprints of ``words``-word shingles within ``radius``
     bits; a candidate is a link if the distinct five-word shingles of both
-    texts really have a similarity of ``similarity`` or more.  Texts alike in
-    that fingerprint and in 128 bits for their five-word shingles are taken for
-    copies.  Null text is empty text; texts without words are copies of each
+    texts really have a similarity of ``similarity`` or more.  Without a count,
+    only texts with the same set of five-word shingles are copies.  Null text is empty text; texts without words are copies of each
     other.  Rows are told apart by a number given when they are first stored,
     so that repeated rows are reduced to one as well.  A group without any
     doc_id keeps one row.  An empty table stays empty.
     """
 
-    @F.pandas_udf("struct<fp: long, high: long, low: long>")
+    @F.pandas_udf("struct<fp: long, high: long, low: long, set_high: long, set_low: long>")
     def marks(values: pd.Series) -> pd.DataFrame:
-        found = np.array([(fingerprint(t, words), *wide_fingerprint(t)) for t in values], dtype=np.uint64)
-        return pd.DataFrame(found.reshape(-1, 3).view(np.int64), columns=["fp", "high", "low"])
+        found = []
+        for text in values:
+            hashed = wide_hashes(text)
+            found.append((fingerprint(text, words), *majority(hashed).tolist(), *set_hash(np.unique(hashed[:, 0]))))
+        found = np.array(found, dtype=np.uint64).reshape(-1, 5).view(np.int64)
+        return pd.DataFrame(found, columns=["fp", "high", "low", "set_high", "set_low"])
 
     # The columns travel as one, so that none can clash with those added here.
     row = F.monotonically_increasing_id().alias("row")

@@ -426,3 +426,13 @@ def test_ids_of_texts_with_the_marker(spark):
         for (i, start), (length, crc) in found.items():
             assert i != doc_id or crc == zlib.crc32(ids[start : start + length].tobytes())
         assert sum(n for (i, _), (n, _) in found.items() if i == doc_id) == len(ids)
+
+
+def test_texts_ruled_by_one_shingle_stay(spark):
+    """A run of one word sets all bits of the fingerprints, whatever else a text says."""
+    rng = random.Random(8)
+    texts = [" ".join(["0"] * 300 + [f"w{rng.randrange(10**6)}" for _ in range(120)]) for _ in range(4)]
+    texts.append(" " + texts[0].upper())
+    assert len({(fingerprint(t, 2), wide_fingerprint(t)) for t in texts}) == 1
+    kept = deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1, 2, 3]
