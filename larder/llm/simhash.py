@@ -25,6 +25,10 @@ CHECK_WORDS = 5
 SIMILARITY = 0.8
 #: Most differing bits of 128 for a candidate: texts of that similarity differ in 19 on average, and hardly ever in more.
 CHECK_BITS = 34
+#: Keys of a text, and smallest hashes in each: at a similarity of 0.8 two texts share none with probability 7e-10.
+BANDS, BAND_ROWS = 40, 4
+#: Pivots are compared with their key's holders while this many pairs a holder are open, at most so many times.
+OPEN_PAIRS, PIVOTS = 4, 6
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -75,6 +79,21 @@ def set_hash(distinct: np.ndarray) -> tuple[int, int]:
     return both >> 64, both & (1 << 64) - 1
 
 
+def band_keys(distinct: np.ndarray) -> list[int]:
+    """BANDS keys of a set of hashes, each made of BAND_ROWS minima under permutations of its own.
+
+    A minimum is shared with the probability of the sets' similarity, wherever
+    in the texts the difference is and however often a shingle is repeated.
+    """
+    if not len(distinct):
+        return [0] * BANDS
+    odd, flip = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+    odd = odd << np.uint64(1) | np.uint64(1)
+    parts = [((distinct[at : at + 4096] ^ flip) * odd).min(axis=1) for at in range(0, len(distinct), 4096)]
+    least = np.min(parts, axis=0).reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)]
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; a null text counts as empty."""
 
@@ -323,36 +342,72 @@ def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS,
     return links.join(u, "u").join(v, "v").where(common >= similarity * either - 1e-9).select("u", "v")
 
 
+def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``links`` (u, v) and more, so that all similar texts that share a key of ``keyed`` (key, node) are connected.
+
+    Only what already is one component goes without a count.  In each round a
+    key's smallest node is compared with all holders in other components and
+    then leaves the key, as nothing about it is open any more; so a group of
+    near copies does not become all its pairs.  The pairs still open when they
+    are few, or after the last round, are all compared.
+    """
+    for last in [False] * PIVOTS + [True]:
+        label = components(links)
+        held = keyed.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
+        apart = held.groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.min("node").alias("pivot")).where("a <> b")
+        held = stored(held.join(apart.select("key", "pivot"), "key"), "open")
+        counts = held.groupBy("key", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("own"))
+        most = counts.agg(F.sum("n").alias("holders"), F.sum(F.expr("(n * n - own) / 2")).alias("pairs")).first()
+        if not most.holders:
+            return links
+        last = last or most.pairs <= OPEN_PAIRS * most.holders
+        v = held.select("key", F.col("node").alias("v"), F.col("of").alias("of_v"))
+        u = (held if last else held.where("node = pivot")).select("key", F.col("node").alias("u"), F.col("of").alias("of_u"))
+        pairs = u.join(v, "key").where("of_u <> of_v AND u < v").select("u", "v").distinct()
+        links = stored(links.union(similar_links(stored(pairs, "pairs"), texts, similarity=similarity)), "confirmed")
+        if last:
+            return links
+        keyed = held.where("node <> pivot").select("key", "node")
+    return links
+
+
 def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs``, one row of each group of near copies: that of the smallest doc_id.
 
     Candidates have fingerprints of ``words``-word shingles within ``radius``
-    bits; a candidate is a link if the distinct five-word shingles of both
-    texts really have a similarity of ``similarity`` or more.  Without a count,
+    bits, or share one of their `band_keys`; a candidate is a link if the
+    distinct five-word shingles of both texts really have a similarity of
+    ``similarity`` or more.  The fingerprints find most links at little cost;
+    what they miss, or what was left out of their forest, the keys find.  Without a count,
     only texts with the same set of five-word shingles are copies.  Null text is empty text; texts without words are copies of each
     other.  Rows are told apart by a number given when they are first stored,
     so that repeated rows are reduced to one as well.  A group without any
     doc_id keeps one row.  An empty table stays empty.
     """
 
-    @F.pandas_udf("struct<fp: long, high: long, low: long, set_high: long, set_low: long>")
+    @F.pandas_udf("struct<fp: long, high: long, low: long, set_high: long, set_low: long, bands: array<long>>")
     def marks(values: pd.Series) -> pd.DataFrame:
         found = []
         for text in values:
             hashed = wide_hashes(text)
-            found.append((fingerprint(text, words), *majority(hashed).tolist(), *set_hash(np.unique(hashed[:, 0]))))
-        found = np.array(found, dtype=np.uint64).reshape(-1, 5).view(np.int64)
-        return pd.DataFrame(found, columns=["fp", "high", "low", "set_high", "set_low"])
+            distinct = np.unique(hashed[:, 0])
+            found.append((fingerprint(text, words), *majority(hashed).tolist(), *set_hash(distinct), *band_keys(distinct)))
+        found = np.array(found, dtype=np.uint64).reshape(-1, 5 + BANDS).view(np.int64)
+        return pd.DataFrame(found[:, :5], columns=["fp", "high", "low", "set_high", "set_low"]).assign(bands=list(found[:, 5:]))
 
     # The columns travel as one, so that none can clash with those added here.
     row = F.monotonically_increasing_id().alias("row")
     marked = stored(docs.select(F.struct("*").alias("doc"), marks(text_or_empty()).alias("mark"), row), "fingerprinted")
     first = F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))).alias("first")
-    nodes = stored(marked.groupBy("mark").agg(first).select("mark.*", "first", F.col("first.row").alias("node")), "nodes")
+    same = [F.col(f"mark.{c}").alias(c) for c in ("fp", "high", "low", "set_high", "set_low")]
+    nodes = stored(marked.groupBy(*same).agg(first).select("*", F.col("first.row").alias("node")), "nodes")
     links = stored(candidate_links(nodes.select("node", "fp", "high", "low"), radius), "candidates")
     texts = marked.select(F.col("row").alias("node"), F.col("doc.text").alias("text"))
+    links = stored(similar_links(links, texts, similarity=similarity), "confirmed")
+    bands = marked.select(F.col("row").alias("node"), F.posexplode("mark.bands").alias("band", "bits"))
+    keyed = bands.join(nodes.select("node"), "node", "left_semi").select(F.xxhash64("band", "bits").alias("key"), "node")
     kept = (
-        nodes.join(components(similar_links(links, texts, similarity=similarity)), "node", "left")
+        nodes.join(components(completed_links(links, keyed, texts, similarity)), "node", "left")
         .groupBy(F.coalesce("component", "node"))
         .agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("row"))

@@ -24,7 +24,7 @@ from larder.llm.licenses import BASE as PHRASES
 from larder.llm.licenses import license_scan
 from larder.llm.secrets import BASE, MORE, Segment, secret_scan, trigram_query
 from larder.llm.sharding import interleaved_shards
-from larder.llm.simhash import candidate_links, deduplicated, fingerprint, fingerprint_links, simhash_groups, wide_fingerprint
+from larder.llm.simhash import candidate_links, completed_links, deduplicated, fingerprint, fingerprint_links, simhash_groups, wide_fingerprint
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -436,3 +436,45 @@ def test_texts_ruled_by_one_shingle_stay(spark):
     assert len({(fingerprint(t, 2), wide_fingerprint(t)) for t in texts}) == 1
     kept = deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [0, 1, 2, 3]
+
+
+def unlike(rng: random.Random, n: int) -> list[str]:
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_passages_added_cut_off_or_repeated(spark):
+    """Pairs of 0.80 to 0.85, which two-word fingerprints miss about half the time."""
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(25):
+        text = unlike(rng, 400)
+        pairs.append((text, text + unlike(rng, 90)))
+        pairs.append((text := unlike(rng, 1000), text[:805]))
+        pairs.append((text := unlike(rng, 300), text + text[:60] * 8))
+    assert all(0.8 <= len(five_words(a) & five_words(b)) / len(five_words(a) | five_words(b)) for a, b in (map(" ".join, p) for p in pairs))
+    rows = [(2 * i + k, " ".join(t)) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    kept = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, len(rows), 2))
+
+
+@pytest.mark.parametrize("pivots", [0, 1, 6])
+def test_links_behind_refused_ones(spark, monkeypatch, pivots):
+    """All similar pairs of a key are found, also where its first node is like none of them."""
+    from larder.llm import simhash
+
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    monkeypatch.setattr(simhash, "OPEN_PAIRS", 0)
+    rng = random.Random(10)
+    base = unlike(rng, 200)
+    texts = [" ".join(base[:60] + unlike(rng, 140)) for _ in range(3)] + [t for _ in range(3) for t in variants(rng, 3, 2)]
+    words = base[:]
+    for i in range(4):  # a chain whose ends are below 0.8
+        words[40 * i : 40 * i + 3] = unlike(rng, 3)
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    keyed = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(texts)) if k == 1 or i % 2], "key long, node long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    label = {r.node: r.component for r in components(completed_links(spark.createDataFrame([], "u long, v long"), keyed, rows)).collect()}
+    sets = [five_words(t) for t in texts]
+    groups = brute_groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert [label.get(i, i) for i in range(len(texts))] == groups
