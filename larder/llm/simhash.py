@@ -343,7 +343,7 @@ def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS,
 
 
 def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``links`` (u, v) and more, so that all similar texts that share a key of ``keyed`` (key, node) are connected.
+    """``links`` (u, v) and more, so that all similar texts that share a key of ``keyed`` (node, keys) are connected.
 
     Only what already is one component goes without a count.  In each round a
     key's smallest node is compared with all holders in other components and
@@ -353,9 +353,9 @@ def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, simila
     """
     for last in [False] * PIVOTS + [True]:
         label = components(links)
-        held = keyed.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("of"))
+        held = keyed.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("of"), F.explode("keys").alias("key"))
         apart = held.groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.min("node").alias("pivot")).where("a <> b")
-        held = stored(held.join(apart.select("key", "pivot"), "key"), "open")
+        held = stored(held.join(stored(apart.select("key", "pivot"), "apart"), "key"), "open")
         counts = held.groupBy("key", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("own"))
         most = counts.agg(F.sum("n").alias("holders"), F.sum(F.expr("(n * n - own) / 2")).alias("pairs")).first()
         if not most.holders:
@@ -367,7 +367,7 @@ def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, simila
         links = stored(links.union(similar_links(stored(pairs, "pairs"), texts, similarity=similarity)), "confirmed")
         if last:
             return links
-        keyed = held.where("node <> pivot").select("key", "node")
+        keyed = held.where("node <> pivot").select("node", F.array("key").alias("keys"))
     return links
 
 
@@ -404,8 +404,8 @@ def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: f
     links = stored(candidate_links(nodes.select("node", "fp", "high", "low"), radius), "candidates")
     texts = marked.select(F.col("row").alias("node"), F.col("doc.text").alias("text"))
     links = stored(similar_links(links, texts, similarity=similarity), "confirmed")
-    bands = marked.select(F.col("row").alias("node"), F.posexplode("mark.bands").alias("band", "bits"))
-    keyed = bands.join(nodes.select("node"), "node", "left_semi").select(F.xxhash64("band", "bits").alias("key"), "node")
+    bands = marked.select(F.col("row").alias("node"), F.col("mark.bands").alias("keys"))
+    keyed = bands.join(nodes.select("node"), "node", "left_semi")
     kept = (
         nodes.join(components(completed_links(links, keyed, texts, similarity)), "node", "left")
         .groupBy(F.coalesce("component", "node"))

@@ -472,7 +472,7 @@ def test_links_behind_refused_ones(spark, monkeypatch, pivots):
         words[40 * i : 40 * i + 3] = unlike(rng, 3)
         texts.append(" ".join(words))
     rng.shuffle(texts)
-    keyed = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(texts)) if k == 1 or i % 2], "key long, node long")
+    keyed = spark.createDataFrame([(i, [1, 2] if i % 2 else [1]) for i in range(len(texts))], "node long, keys array<long>")
     rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     label = {r.node: r.component for r in components(completed_links(spark.createDataFrame([], "u long, v long"), keyed, rows)).collect()}
     sets = [five_words(t) for t in texts]
