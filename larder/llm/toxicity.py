@@ -23,8 +23,8 @@ FOLDS, HELD_OUT = 5, 0
 OWN, SHARED = 1024, 4096
 #: A term is a word's beginning of this many characters or more ...
 SHORTEST, LONGEST = 4, 24
-#: ... and is toxic from this log-likelihood ratio, and this share of the highest one; at most so many are kept.
-LEAST_RATIO, LEAST_SHARE, MOST_TERMS = 25.0, 0.1, 2000
+#: ... and is toxic from this log-likelihood ratio.
+LEAST_RATIO = 25.0
 #: Ordinary windows taken of a document, evenly over its length, and their words.
 WINDOWS, WINDOW_WORDS = 16, 12
 LEVEL, LEAST_MATCH = 7, 5
@@ -134,9 +134,8 @@ def toxic_terms(sample: DataFrame) -> dict[str, float]:
 
     ratio = 2 * (part(F.col("a"), both * (1 - share)) + part(F.col("b"), both * share))
     terms = counts.agg(a, b).where(F.col("b") > both * share).withColumn("ratio", ratio).where(F.col("ratio") > LEAST_RATIO)
-    found = {r.term: r.ratio for r in terms.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).collect()}
-    least = LEAST_SHARE * max(found.values(), default=0.0)
-    return {t: ratio for t, ratio in found.items() if ratio >= least}
+    # The sample is bounded, and so are its terms.
+    return {r.term: r.ratio for r in terms.orderBy(F.desc("ratio"), "term").collect()}
 
 
 def training_text(sample: DataFrame, terms: dict[str, float]) -> tuple[list[bytes], list[bytes]]:
@@ -188,8 +187,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE
     first = rows.where("half = 0")
     terms = toxic_terms(first)
     toxic, ordinary = training_text(first, terms)
-    shared, more = dictionary(SHARED, ordinary[::2]), dictionary(OWN, ordinary[1::2])
-    own = dictionary(OWN, toxic)
+    shared, own = dictionary(SHARED, ordinary[::2]), dictionary(OWN, toxic)
+    # Terms too rare for the trained content stand before it.
+    held = sorted({t for window in toxic for t in window.split()}, key=lambda t: (terms[t.decode()], t))
+    own = b"".join(b" " + t for t in held if b" " + t not in own) + own
+    more = dictionary(max(OWN, len(own)), ordinary[1::2])
     contents = own + shared, more[-len(own) :] + shared if own else shared
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

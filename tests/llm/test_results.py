@@ -478,3 +478,20 @@ def test_links_behind_refused_ones(spark, monkeypatch, pivots):
     sets = [five_words(t) for t in texts]
     groups = brute_groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     assert [label.get(i, i) for i in range(len(texts))] == groups
+
+
+def test_a_rare_toxic_vocabulary_is_learnt(spark):
+    """One word in most toxic documents doesn't hide that of a few others."""
+    rng = random.Random(12)
+    plain = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(400)]
+    rows = []
+    for i in range(2400):
+        toxic = i % 3 == 0
+        rare = toxic and i % 60 == 0
+        words = rng.choices(plain, k=30) + ([] if not toxic else ["zyxolumqu"] * 3 if rare else ["grobnakvst"] * 3)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic), rare))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int, rare boolean")
+    out = toxicity.toxicity_scores(table, table.select("doc_id", "toxic")).where("held_out").join(table.select("doc_id", "toxic", "rare"), "doc_id").toPandas()
+    assert out.rare.sum() > 3 and out[out.rare].predicted.mean() > 0.9
+    assert out[out.toxic == 1].predicted.mean() > 0.9 and out[out.toxic == 0].predicted.mean() < 0.05
