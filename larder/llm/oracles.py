@@ -51,4 +51,36 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS comp
     coalesce(component_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN component USING (vec_id) LEFT JOIN links USING (vec_id)"""
 
-ORACLES = {"op1_license_scan": LICENSES, "op9_cover_tree_dedup": EMBEDDINGS}
+WHOLE = """
+    SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+HARD_NEGATIVES = f"""
+WITH good AS (
+    SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({WHOLE}) WHERE label IS NOT NULL),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+    other AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+TOP_PRODUCTS = f"""
+WITH good AS ({WHOLE})
+SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS INTEGER) AS rank,
+    b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+FROM good a JOIN good b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+QUALIFY rank <= 5"""
+
+ORACLES = {
+    "op1_license_scan": LICENSES,
+    "op9_cover_tree_dedup": EMBEDDINGS,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op13_bit_sliced_search": TOP_PRODUCTS,
+}
