@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.blocks import EXACT, PACKED, as_long, blocks_of, first, inner, integer_vectors, lists_of, met, packed, sizes, unpacked
+from larder.llm.blocks import EXACT, LONG, PACKED, blocks_of, first, greatest, inner, integer_vectors, lists_of, met, packed, sizes, unpacked
 from larder.session import stored
 
 TOP = 5
 EVERY = 50
 #: Bits that an attribute is quantised to.
-SLICES = 5
+SLICES = 6
 INDEX = f"{PACKED}, shift int, slices binary"
 
 
@@ -120,7 +120,7 @@ class BlockIndex:
         rows by less than ``lost`` in units of the sums, so all rows that far
         below the ``k``-th largest sum are boundary rows.
         """
-        if self.shift < 0 or np.abs(q).max() >= EXACT or int(np.bitwise_count(rows).sum()) <= k:
+        if self.shift < 0 or np.abs(q).max() >= EXACT or greatest(q[None, :], self.x) >= LONG or int(np.bitwise_count(rows).sum()) <= k:
             return rows
         q = q.astype(np.int64)
         if not q.any():
@@ -139,7 +139,7 @@ class BlockIndex:
         held = np.flatnonzero(np.unpackbits(self.near(q, rows, k).view(np.uint8), bitorder="little"))
         scores = inner(q[None, :], self.x[held])[0]
         top = first(scores, self.ids[held], k)
-        return self.ids[held[top]], as_long(scores[top])
+        return self.ids[held[top]], scores[top]
 
 
 def _indexed(rows: pd.DataFrame) -> dict:

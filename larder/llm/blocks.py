@@ -18,6 +18,7 @@ BLOCK_VALUES = 1 << 20
 LIST_ROWS = (128, 4096)
 #: Whole numbers below this are exact as doubles, and so are sums that stay below.
 EXACT = 2.0**53
+LONG = 2**63
 PACKED = "n long, kind string, ids binary, labels binary, vectors binary"
 KEYS = ["dim", "block", "list"]
 
@@ -118,26 +119,27 @@ def met(lists: DataFrame, blocks: DataFrame, meet: Callable[[pd.Series, pd.Serie
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of each row of ``a`` with each of ``b``: long, or Python's whole numbers where doubles would round."""
+    """Inner products of each row of ``a`` with each of ``b``, exactly; those beyond a long's range are its ends."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)), dtype=np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < EXACT:
+    if greatest(a, b) < EXACT:
         return (a @ b.T).astype(np.int64)
     whole_a, whole_b = ([[int(x) for x in row] for row in m] for m in (a, b))
-    return np.array([[sum(map(int.__mul__, p, q)) for q in whole_b] for p in whole_a], dtype=object)
+    sums = [[sum(map(int.__mul__, p, q)) for q in whole_b] for p in whole_a]
+    return np.array([[max(-LONG, min(LONG - 1, s)) for s in row] for row in sums], dtype=np.int64)
 
 
-def as_long(x: np.ndarray) -> np.ndarray:
-    """Scores beyond a long's range are its ends."""
-    return x if x.dtype == np.int64 else np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in x], dtype=np.int64)
+def greatest(a: np.ndarray, b: np.ndarray) -> float:
+    """What no inner product of two rows exceeds."""
+    with np.errstate(over="ignore"):
+        return float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
 
 
 def first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Where the ``k`` highest scores are, highest first, ties to the smaller id."""
-    if scores.dtype == np.int64:
-        if len(scores) > 4 * k:
-            bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-            near = np.flatnonzero(scores >= bound)
-            return near[np.lexsort((ids[near], -scores[near]))[:k]]
-        return np.lexsort((ids, -scores))[:k]
-    return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+    if len(scores) > 4 * k:
+        bound = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = np.flatnonzero(scores >= bound)
+        # Not the negated score: the least long has none.
+        return near[np.lexsort((-ids[near], scores[near]))[::-1][:k]]
+    return np.lexsort((-ids, scores))[::-1][:k]

@@ -317,7 +317,7 @@ def _edits(chunks: DataFrame, fan: int) -> DataFrame:
     return stored(ready.mapInPandas(run, f"conv string, block long, first {first}, edits string, illegal long"), "edits")
 
 
-STEPS = "conv string, step long, edit string, role string, text string, turn long, cost long"
+STEPS = "conv string, step long, edit string, role string, text string, turn string, cost long"
 
 
 def _steps(rows: DataFrame, edits: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def _steps(rows: DataFrame, edits: DataFrame) -> DataFrame:
     rows that are equal in all of the order are the same, so it doesn't matter
     which of them a letter meets.
     """
-    none = F.lit(None)
+    none, names = F.lit(None), [c.split()[0] for c in STEPS.split(", ")]
     order = ["conv", "turn", "role", "digest", "block"]
     letters = edits.select("conv", "first.turn", "first.role", "first.digest", "block", "edits", none.cast("string").alias("text"), F.lit(False).alias("unfinished"))
     texts = rows.select("conv", "turn", "role", "digest", F.lit(2**62).alias("block"), none.cast("string").alias("edits"), "text", "unfinished")
@@ -355,7 +355,6 @@ def _steps(rows: DataFrame, edits: DataFrame) -> DataFrame:
                 letters = waiting.popleft()
                 inserted(out, letters[:-1])
                 edit, extra = letters[-1], UNFINISHED if unfinished else 0
-                turn = None if turn is None else int(turn)
                 if edit == "D":
                     out.append((conv, step, edit, None, None, turn, DELETE))
                 elif edit == "K":
@@ -365,20 +364,16 @@ def _steps(rows: DataFrame, edits: DataFrame) -> DataFrame:
                     state = DUE[state]
                     out.append((conv, step, edit, ROLES[state - 1], text, turn, CHANGE + extra))
                 step += 1
-            yield _frame(out)
+            yield pd.DataFrame(out, columns=names)
         out = []
         inserted(out, "".join(waiting))
-        yield _frame(out)
-
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["conv", "step", "edit", "role", "text", "turn", "cost"])
-        return made.astype({"turn": "Int64"})
+        yield pd.DataFrame(out, columns=names)
 
     together = letters.unionByName(texts).select(*order, "edits", "text", "unfinished")
     sorted_rows = together.repartition("conv").sortWithinPartitions(*order)
-    # As text, so that pandas keeps a null from making the turns doubles.
+    # Turns as text: beside a null, pandas would make doubles of them.
     plain = sorted_rows.select("conv", F.col("turn").cast("string"), "role", "edits", "text", "unfinished")
-    return plain.mapInPandas(walk, STEPS)
+    return plain.mapInPandas(walk, STEPS).withColumn("turn", F.col("turn").cast("long"))
 
 
 def repaired(rows: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:

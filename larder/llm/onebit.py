@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.blocks import EXACT, PACKED, as_long, blocks_of, first, inner, integer_vectors, lists_of, met, packed, sizes, unpacked
+from larder.llm.blocks import EXACT, LONG, PACKED, blocks_of, first, inner, integer_vectors, lists_of, met, packed, sizes, unpacked
 from larder.session import stored
 
 EVERY = 100
@@ -111,7 +111,8 @@ class CodeIndex:
             if not np.isfinite((q**2).sum()):
                 nothing = np.full(len(self.ids), np.nan)
                 return nothing, nothing
-            return self.intervals(q)
+            low, high = self.intervals(q)
+            return np.clip(low, -LONG, LONG), np.clip(high, -LONG, LONG)
 
     def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return inner(q[None, :], self.x[rows])[0]
@@ -128,7 +129,7 @@ class CodeIndex:
             rows = rows[~(high < max(sure, float(reached)))]
         scores = self.scores(q, rows)
         top = first(scores, self.ids[rows], k)
-        return self.ids[rows[top]], as_long(scores[top])
+        return self.ids[rows[top]], scores[top]
 
     def negatives(self, q: np.ndarray, label: int, wanted: list[int], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each positive score wanted, the ``k`` best rows of another label at 80 to 100 % of it."""
@@ -140,13 +141,13 @@ class CodeIndex:
         outside = (high < 0.8 * min(able) * (1 - SLACK)) | (low > max(able) * (1 + SLACK))
         rows = np.flatnonzero(~outside & (self.labels != label))
         scores = self.scores(q, rows)
-        if len(scores) and max(map(abs, (int(scores.max()), int(scores.min()), *able))) >= EXACT:
-            scores = scores.astype(object)
+        large = len(scores) and max(map(abs, (int(scores.max()), int(scores.min()), *able))) >= EXACT
+        wide = scores.astype(object) if large else scores
         out = []
         for p in wanted:
-            fit = np.flatnonzero((4 * p <= 5 * scores) & (scores <= p)) if p >= 0 else np.zeros(0, dtype=np.int64)
+            fit = np.flatnonzero((4 * p <= 5 * wide) & (wide <= p)) if p >= 0 else np.zeros(0, dtype=np.int64)
             top = fit[first(scores[fit], self.ids[rows[fit]], k)]
-            out.append((self.ids[rows[top]], as_long(scores[top])))
+            out.append((self.ids[rows[top]], scores[top]))
         return out
 
 
