@@ -13,6 +13,7 @@ from larder.streaming.jobs import (
     stream_upsert,
     stream_validated_append,
 )
+from larder.streaming.keyed import stream_dispatch_keyed
 
 __all__ = [
     "COMPLETION",
@@ -23,6 +24,7 @@ __all__ = [
     "current_totals",
     "stock_now",
     "stream_dispatch",
+    "stream_dispatch_keyed",
     "stream_order_totals",
     "stream_stock_ledger",
     "stream_upsert",

@@ -19,6 +19,10 @@ DISPATCH, COMPLETION, STATE = "dispatch", "completion", "state"
 PASSAGE = "passage"
 
 _OUT = "seq bigint, kind string, Delivery_ID bigint, Rider_ID bigint, part bigint, reason string, ends bigint"
+#: What is walked: rows with the part of the rider's events, and whether that part's passages are asked for.
+EVENTS = pa.schema(
+    [("seq", pa.int64()), ("kind", pa.string()), ("Delivery_ID", pa.int64()), ("Rider_ID", pa.int64()), ("part", pa.int64()), ("several", pa.bool_())]
+)
 _TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 _PART = ["Rider_ID", "part"]
 #: Rows that are decided at once; a part is never cut.
@@ -38,14 +42,14 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = pc.and_(*[pc.equal(table[c], table[c][-1]) for c in _PART])
         cut = pc.index(same, True).as_py()
         if cut:
-            yield _decided(table.slice(0, cut))
+            yield decided_rows(table.slice(0, cut))
             held = table.slice(cut).to_batches()
         limit = max(SLAB, 2 * (table.num_rows - cut))
     if held:
-        yield _decided(pa.Table.from_batches(held))
+        yield decided_rows(pa.Table.from_batches(held))
 
 
-def _decided(table: pa.Table) -> pa.RecordBatch:
+def decided_rows(table: pa.Table) -> pa.RecordBatch:
     """Dispatches with their reason, the delivery open after each part, and passages of the parts that ask for them.
 
     A dispatch that is accepted leads to the first dispatch after its

@@ -634,3 +634,5 @@ ORACLES: dict[str, str] = {
     ),
     "stream_upsert": sql("SELECT * FROM recipes_after"),
 }
+# The same decisions, from keyed state.
+ORACLES["stream_dispatch_keyed"] = ORACLES["stream_dispatch"]

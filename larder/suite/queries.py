@@ -677,10 +677,9 @@ def stream_order_totals(t: Bound) -> DataFrame:
     return streaming.current_totals(totals, opening)
 
 
-@registered
-def stream_dispatch(t: Bound) -> DataFrame:
+def board_events(t: Bound) -> DataFrame:
     kind = F.col("event_type")
-    board = (
+    return (
         t.stream("events", "event_id")
         .where(kind.isin("view", "click"))
         .select(
@@ -690,9 +689,20 @@ def stream_dispatch(t: Bound) -> DataFrame:
             F.col("user_id").alias("Rider_ID"),
         )
     )
+
+
+@registered
+def stream_dispatch(t: Bound) -> DataFrame:
     decisions = log(t, "decisions", streaming.DECISION)
     riders = log(t, "riders", streaming.RIDER_STATE)
-    streaming.stream_dispatch(board, decisions, riders, checkpoint(t)).awaitTermination()
+    streaming.stream_dispatch(board_events(t), decisions, riders, checkpoint(t)).awaitTermination()
+    return decisions.read().drop("batch")
+
+
+@registered
+def stream_dispatch_keyed(t: Bound) -> DataFrame:
+    decisions = log(t, "decisions", streaming.DECISION)
+    streaming.stream_dispatch_keyed(board_events(t), decisions, checkpoint(t)).awaitTermination()
     return decisions.read().drop("batch")
 
 

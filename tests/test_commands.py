@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder import operators as op
+from larder.operators import turns
 from larder.operators.commands import apply_equipment_status, receive_into_stock
 
 
@@ -276,3 +277,31 @@ def test_equipment(spark):
     kit = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "Equipment_ID long, Status string")
     after = apply_equipment_status(verdict, kit)
     assert sorted(tuple(r) for r in after.collect()) == [(1, "Not Working"), (2, "b"), (3, None)]
+
+
+def bid_chain(spark, n):
+    """Each bid waits for the one before it, in turn for its rider and its key."""
+    commands = [(k, (k + 1) // 2 + 1, 1, k // 2 + 1) for k in range(n)]
+    cmds = spark.createDataFrame(commands, "seq long, Delivery_ID long, Order_ID long, Rider_ID long")
+    return commands, cmds.withColumn("AddressID", F.lit(1))
+
+
+def test_a_chain_of_bids_is_contracted(spark, monkeypatch):
+    names, real = [], turns.stored
+    monkeypatch.setattr(turns, "stored", lambda df, name: names.append(name) or real(df, name))
+    deliveries = spark.createDataFrame([], "Delivery_ID long, Rider_ID long, Delivery_Status int")
+    commands, cmds = bid_chain(spark, 64)
+    verdict = op.assign_delivery(cmds, deliveries, ids(spark, "Order_ID", [1]), ids(spark, "Rider_ID", range(99)))
+    assert reasons(verdict) == one_by_one(commands, set(), set(), {1}, set(range(99)))
+    assert names.count("links") <= 8
+
+
+def test_bids_that_nobody_contests_are_not_stored(spark, monkeypatch):
+    held, real = [], turns.stored
+    monkeypatch.setattr(turns, "stored", lambda df, name: held.append(real(df, name)) or held[-1])
+    deliveries = spark.createDataFrame([], "Delivery_ID long, Rider_ID long, Delivery_Status int")
+    commands = [(k, k, 1, k % 30) for k in range(60)]
+    cmds = spark.createDataFrame(commands, "seq long, Delivery_ID long, Order_ID long, Rider_ID long").withColumn("AddressID", F.lit(1))
+    verdict = op.assign_delivery(cmds, deliveries, ids(spark, "Order_ID", [1]), ids(spark, "Rider_ID", range(99)))
+    assert reasons(verdict) == one_by_one(commands, set(), set(), {1}, set(range(99)))
+    assert [df.count() for df in held] == [0]

@@ -340,3 +340,91 @@ def test_the_suite_streams_in_order_and_in_several_batches(spark, tmp_path):
     assert len(seen) >= 4
     assert [n for part in seen for n in part] == sorted(r.event_id for r in t.source("events").select("event_id").collect())
 
+
+
+def random_events(seed, n=900):
+    rng = random.Random(seed)
+    big = 2**60
+    return [
+        (k, rng.choice(["dispatch", "completion"]), rng.choice([None] + [big + d for d in range(5)] * 4), rng.choice([None, 1, 1, 2, 3, 4]))
+        for k in range(n)
+    ]
+
+
+EVENT = "seq long, kind string, Delivery_ID long, Rider_ID long"
+
+
+def test_keyed_dispatch_goes_on_after_a_stop_and_a_replay(spark, files, log, tmp_path):
+    """Three runs from one checkpoint, the last batch of the first done twice, are one run."""
+    events = random_events(4)
+    parts = [events[:100], events[100:160], events[160:500], events[500:]]
+    decisions, check = log("decisions", streaming.DECISION), tmp_path / "check"
+
+    def run(parts):
+        streaming.stream_dispatch_keyed(files("events", parts, EVENT), decisions, str(check)).awaitTermination()
+        return {r.seq: r.reason for r in decisions.read().collect()}
+
+    assert run(parts[:2]) == walk(events[:160])
+    # The commit of the last batch is lost, as after a failure in it.
+    last = max(int(p.name) for p in (check / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (check / "commits" / name).unlink(missing_ok=True)
+    assert run([]) == walk(events[:160])
+    assert run(parts[2:]) == walk(events)
+    assert len(batches(decisions)) >= 4
+
+
+def test_keyed_dispatch_reads_the_state_of_its_riders_only(spark, files, log, tmp_path):
+    many = [(n, "dispatch", n, n) for n in range(500)]
+    decisions = log("decisions", streaming.DECISION)
+    stream = files("events", [many, [(501, "dispatch", 9, 7), (502, "completion", 7, 7)], [(503, "dispatch", 8, 7)]], EVENT)
+    query = streaming.stream_dispatch_keyed(stream, decisions, str(tmp_path / "check"))
+    query.awaitTermination()
+    assert {r.seq: r.reason for r in decisions.read().where("seq > 500").collect()} == {501: "rider busy", 503: None}
+    state = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert state[0].numRowsUpdated == 500
+    assert max(s.numRowsUpdated + s.numRowsRemoved for s in state[1:]) <= 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "unset") == "unset"
+
+
+def chained(n, per):
+    """One rider whose every accepted delivery is completed in a later stretch, so that each part's end depends on its start."""
+    out = []
+    for k in range(0, n, per):
+        out.append((k, "completion", k // per - 1, 1))
+        out += [(k + i, "dispatch", k // per, 1) for i in range(1, per)]
+    return out
+
+
+def test_parts_that_depend_on_each_other_are_composed(spark, many_parts, monkeypatch):
+    """Every part opens a delivery that the next completes; and a swap of two deliveries, where no part's end is known from free."""
+    swaps = [(0, "dispatch", 0, 1)]
+    for k in range(1, 1500):
+        swaps += [(10 * k, "completion", (k - 1) % 2, 1), (10 * k + 1, "dispatch", k % 2, 1), (10 * k + 2, "completion", k % 2 + 5, 1)]
+    for events in (chained(4000, 100), chained(4000, 330), swaps):
+        walks, steps = [], []
+        monkeypatch.setattr(dispatch, "_walked", lambda df, real=dispatch.__dict__["_walked"], walks=walks: walks.append(1) or real(df))
+        real = dispatch.stored
+        monkeypatch.setattr(dispatch, "stored", lambda df, name, steps=steps: steps.append(name) or real(df, name))
+        rows = spark.createDataFrame(events, EVENT)
+        decided = decide(rows.repartition(4)).collect()
+        monkeypatch.undo()
+        assert len({r.part for r in decided if r.Rider_ID == 1}) > 5
+        assert {r.seq: r.reason for r in decided if r.kind == "dispatch"} == walk(events)
+        assert len(walks) <= 2 and steps.count("way") <= 5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slabs_of_whole_parts(monkeypatch, seed):
+    """The walk over Arrow batches decides slab by slab as event by event."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(dispatch, "SLAB", [1, 7, 50, 10**6][seed])
+    events = [e for e in random_events(seed, 400) if e[3] is not None]
+    rows = sorted((rider, seq, kind, delivery) for seq, kind, delivery, rider in events)
+    table = pa.Table.from_pylist(
+        [{"seq": s, "kind": k, "Delivery_ID": d, "Rider_ID": r, "part": 0, "several": False} for r, s, k, d in rows], schema=dispatch.EVENTS
+    )
+    out = [r for b in dispatch._walk(iter(table.to_batches(max_chunksize=13))) for r in b.to_pylist()]
+    assert {r["seq"]: r["reason"] for r in out if r["kind"] == "dispatch"} == walk(events)
+    assert len([r for r in out if r["kind"] == "state"]) == 4
