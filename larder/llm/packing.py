@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ END = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The added token of byte_bpe_50k.json; the ranks don't hold it.
 SPECIAL = {"<|endoftext|>": 50256}
+#: Runs of white space, as the pattern understands it, that are encoded by themselves.
+BLANKS = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 RANGES = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,7 +37,23 @@ def encoder(path: str | None = None):
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    return partial(own.encode, allowed_special="all")
+    return partial(encoded, own)
+
+
+def encoded(own, text: str) -> list[int]:
+    """Ids of a text; long runs of blanks, in which the pattern's search would need too much stack, are cut out.
+
+    The pattern takes a run as one piece, but for its last blank if anything
+    other than the marker follows: that belongs to what comes next.
+    """
+    ids: list[int] = []
+    at = 0
+    for run in BLANKS.finditer(text):
+        start, end = run.span()
+        ids += own.encode(text[at:start], allowed_special="all")
+        at = end if end == len(text) or text.startswith(tuple(SPECIAL), end) else end - 1
+        ids += own._encode_single_piece(text[start:at])
+    return ids + own.encode(text[at:], allowed_special="all")
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, order: str | None = None) -> DataFrame:

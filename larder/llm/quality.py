@@ -19,6 +19,8 @@ SIGNS = 8
 #: Graded documents that the model is fitted on, at most.
 SAMPLE = 6000
 STEPS = 300
+#: Texts whose vectors are held at once when scoring.
+SLICE = 256
 PENALTY = 2e-4
 #: A document is selected if its grade is this or higher ...
 LEAST_GRADE = 1
@@ -119,14 +121,16 @@ def sampled(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> DataFra
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows["doc_id"], "grade": rows["grade"], "x": [features(t).tobytes() for t in rows["text"]]})
 
-    # The sample is bounded, so it may be broadcast; repeated rows are used as often.
-    of = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    # The sample is bounded, so it may be broadcast.  Of rows with one id the text of least checksum is learnt from.
+    text = text_or_empty()
+    of = docs.select("doc_id", text.alias("text"), F.crc32(text.cast("binary")).alias("crc")).join(F.broadcast(chosen), "doc_id")
+    of = of.groupBy("doc_id").agg(F.min_by(F.struct("grade", "text"), F.struct("crc", "text")).alias("row")).select("doc_id", "row.*")
     return of.mapInPandas(vectors, "doc_id long, grade int, x binary")
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink:
     """The model of a bounded sample of graded documents; repeated documents are taken once."""
-    rows = sampled(docs, graded(labels), sample).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = sampled(docs, graded(labels), sample).orderBy("doc_id").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, BUCKETS)
     return fit(x, rows["grade"].to_numpy(dtype=np.int64), 3)
 
@@ -134,8 +138,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulat
 def _tails(model: CumulativeLink):
     @F.pandas_udf("struct<p_good: double, p_clean: double>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        x = np.array([features(t) for t in texts], dtype=np.float32).reshape(-1, BUCKETS)
-        return pd.DataFrame(model.tails(x), columns=["p_good", "p_clean"])
+        out = [np.zeros((0, 2))]
+        # Vectors of a few texts at a time: a worker is used again and keeps what it once needed.
+        for i in range(0, len(texts), SLICE):
+            out.append(model.tails(np.array([features(t) for t in texts[i : i + SLICE]], dtype=np.float32)))
+        return pd.DataFrame(np.concatenate(out), columns=["p_good", "p_clean"])
 
     return of(text_or_empty())
 

@@ -25,17 +25,18 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 @dataclass(frozen=True)
 class Rule:
-    """``least``: code points that ``group`` must have; shorter matches are dropped."""
+    """``least``: code points that ``group`` must have; shorter matches are dropped.  ``span``: the group that is the secret."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     flags: int = re.ASCII
+    span: int = 0
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         found = re.finditer(self.pattern, text, self.flags)
-        return [m.span() for m in found if m.end(self.group) - m.start(self.group) >= self.least]
+        return [m.span(self.span) for m in found if m.end(self.group) - m.start(self.group) >= self.least]
 
 
 ANY_CASE = re.ASCII | re.IGNORECASE
@@ -49,7 +50,8 @@ MORE = [
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
+    # Tried once for each run of such characters, from its first eyJ, or a run of many would take quadratic time.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*)", span=1),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
 ]
 
