@@ -20,9 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 0.8 or more of their five-word shingles.
 
-    Candidates come from fingerprints of two-word shingles within 8 of 64
-    bits: fingerprints of five words would need a radius of 13, where
-    unrelated texts meet.
+    Candidates come from fingerprints that differ in few bits and from equal
+    minima of the shingles' hashes; each link is counted exactly.
     """
     return deduplicated(docs)
 
