@@ -18,6 +18,7 @@ from larder.operators.feasibility import check_feasibility, feasibility_verdict
 from larder.operators.integrity import audit_keys, fk_violations, pk_violations, type_violations
 from larder.operators.keyed import (
     append_keyed,
+    append_to_key_table,
     assign_ids,
     missing_keys,
     next_id,
@@ -39,6 +40,7 @@ __all__ = [
     "add_order_line",
     "add_recipe_ingredient",
     "append_keyed",
+    "append_to_key_table",
     "apply_batch_receipts",
     "apply_movements",
     "apply_order_lines",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.session import stored
 from larder.sources.catalog import TABLES
 
 
@@ -80,21 +81,61 @@ def audit_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _as_key(column: str, held: T.DataType, key: T.DataType) -> Column:
+    """A reference as text that equals its parent's key as text if the two are equal."""
+    whole = isinstance(held, T.IntegralType) and isinstance(key, T.IntegralType)
+    if held == key or whole:
+        return F.col(column).cast("string")
+    if isinstance(held, T.NumericType) and isinstance(key, T.NumericType):
+        return F.col(column).cast("decimal(38,10)").cast("string")
+    return F.col(column).cast("string")
+
+
 def audit_references(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Dangling references of all given tables: table, column, row key and value, as text."""
+    """Dangling references of all given tables: table, column, row key and value, as text.
+
+    One pass: each table is read once, and a row gives its own key and its
+    references, as (parent, value).  All that is needed is stored, narrow as
+    it is.  Keys and references of one value meet in one hash aggregation,
+    which combines before the shuffle; what is referred to and no key leads
+    back to the rows.
+    """
+    referred = {parent for name in tables for parent in TABLES[name].refs.values() if parent in tables}
+    types = {name: {f.name: f.dataType for f in df.schema} for name, df in tables.items()}
     parts = []
     for name, df in tables.items():
-        spec = TABLES[name]
-        for fk, parent in spec.refs.items():
-            if parent not in tables:
-                continue
-            broken = fk_violations(df, fk, tables[parent], TABLES[parent].key)
-            parts.append(
-                broken.select(
-                    F.lit(name).alias("table"),
-                    F.lit(fk).alias("column"),
-                    F.col(spec.key).cast("string").alias("key"),
-                    F.col(fk).cast("string").alias("value"),
-                )
+        spec, entries = TABLES[name], []
+
+        def entry(parent: str, value: Column, column: str | None, shown: Column, key: str = spec.key) -> Column:
+            return F.struct(
+                F.lit(parent).alias("parent"),
+                value.alias("match"),
+                F.lit(column).cast("string").alias("column"),
+                F.col(key).cast("string").alias("key"),
+                shown.cast("string").alias("value"),
             )
-    return reduce(DataFrame.unionByName, parts)
+
+        # A key is written once for each form that references to it take.
+        forms = {}
+        for child in tables:
+            for fk, parent in TABLES[child].refs.items():
+                if parent == name:
+                    own = types[name][spec.key]
+                    forms[str(_as_key(spec.key, own, types[child][fk]))] = _as_key(spec.key, own, types[child][fk])
+        if name in referred:
+            entries += [entry(name, form, None, F.lit(None)) for form in forms.values()]
+        for fk, parent in spec.refs.items():
+            if parent in tables:
+                known = types[parent][TABLES[parent].key]
+                entries.append(entry(parent, _as_key(fk, types[name][fk], known), fk, F.col(fk)))
+        if entries:
+            parts.append(df.select(F.lit(name).alias("table"), F.inline(F.array(*entries))).where(F.col("match").isNotNull()))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "table string, column string, key string, value string")
+    facts = stored(reduce(DataFrame.unionByName, parts), "references")
+    values = facts.groupBy("parent", "match").agg(F.bool_or(F.col("column").isNull()).alias("known"))
+    dangling = values.where("NOT known").select(F.struct("parent", "match").alias("_at"))
+    # Joined so that a parent that a third of the rows refer to is split.
+    at = F.struct("parent", "match").eqNullSafe(F.col("_at"))
+    return facts.where(F.col("column").isNotNull()).join(dangling, at, "left_semi").select("table", "column", "key", "value")

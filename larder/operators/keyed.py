@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.verdict import MISSING_KEY, REASON, Verdict, reject_taken_keys
 from larder.session import stored
+from larder.sources.keytable import KeyTable
 
 # monotonically_increasing_id() keeps the partition number above this bit and
 # the row number inside the partition below it.
@@ -21,10 +22,15 @@ def append_keyed(existing: DataFrame, new: DataFrame, pk: str, seq: str = "seq")
 
 
 def last_per_key(rows: DataFrame, pk: str, seq: str) -> DataFrame:
-    """The newest row of each key, combined per partition before the shuffle."""
+    """The newest row of each key; ``seq`` is unique for a key.
+
+    The largest sequence comes from a hash aggregation, combined before the
+    shuffle.  Rows find it by joining on (key, sequence), so a key that fills
+    much of the batch never meets in one task and its rows are not sorted.
+    """
+    newest = rows.where(F.col(pk).isNotNull()).groupBy(pk).agg(F.max(seq).alias(seq))
     columns = [c for c in rows.columns if c not in (pk, seq)]
-    newest = F.max_by(F.struct(*columns), F.col(seq)).alias("_row")
-    return rows.groupBy(pk).agg(newest).select(pk, *[F.col("_row")[c].alias(c) for c in columns])
+    return rows.join(newest, [pk, seq], "left_semi").select(pk, *columns)
 
 
 def missing_keys(rows: DataFrame, pk: str) -> DataFrame:
@@ -62,6 +68,14 @@ def update_by_key(
     )
 
 
+def append_to_key_table(keys: KeyTable, new: DataFrame, seq: str = "seq") -> Verdict:
+    """`append_keyed` where the stored keys are in buckets: they are neither shuffled nor, for a small batch, all read.
+
+    ``keys.add`` takes the accepted rows once they are stored.
+    """
+    return Verdict(reject_taken_keys(new, keys.keys_for(new), keys.key, seq))
+
+
 def next_id(existing: DataFrame, column: str) -> DataFrame:
     """One row: the largest key plus one, or 1 for an empty table."""
     return existing.agg((F.coalesce(F.max(column), F.lit(0)) + 1).cast("bigint").alias("NextID"))

@@ -12,8 +12,9 @@ from larder.streaming.jobs import (
     stream_stock_ledger,
     stream_upsert,
     stream_validated_append,
+    total_sums,
 )
-from larder.streaming.keyed import stream_dispatch_keyed
+from larder.streaming.keyed import stream_dispatch_keyed, stream_validated_append_keyed
 
 __all__ = [
     "COMPLETION",
@@ -29,4 +30,6 @@ __all__ = [
     "stream_stock_ledger",
     "stream_upsert",
     "stream_validated_append",
+    "stream_validated_append_keyed",
+    "total_sums",
 ]

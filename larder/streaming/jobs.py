@@ -108,6 +108,11 @@ def order_sums(lines: DataFrame) -> DataFrame:
     return known.groupBy("Order_ID").agg(F.sum("Line_Total").alias("Total_Amount"))
 
 
+def total_sums(logged: DataFrame) -> DataFrame:
+    """What several micro-batches add to each order, as one: how a log of totals is folded."""
+    return logged.groupBy("Order_ID").agg(F.sum("Total_Amount").alias("Total_Amount"))
+
+
 def current_totals(log: BatchLog, opening: DataFrame | None = None) -> DataFrame:
     """The total of each order: all that was logged, and the lines stored before."""
     logged = log.read().select("Order_ID", "Total_Amount")

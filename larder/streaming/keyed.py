@@ -1,8 +1,8 @@
-"""Dispatching with one value of keyed state per rider."""
+"""Streams that keep one value of state per key, in RocksDB: riders' open deliveries, and keys that are taken."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from larder.operators.verdict import MISSING_KEY, judge
+from larder.operators.rules import validate_salary
+from larder.operators.verdict import DUPLICATE_KEY, MISSING_KEY, REASON, Verdict, judge
 from larder.sources.batchlog import BatchLog
 from larder.streaming.dispatch import DISPATCH, EVENTS, STATE, decided_rows
 from larder.streaming.jobs import AVAILABLE_NOW, _start
@@ -91,3 +92,71 @@ def stream_dispatch_keyed(
     unbound = judge(unbound, (F.col("Delivery_ID").isNull(), MISSING_KEY)).select("seq", "Delivery_ID", "Rider_ID", "reason")
     with rocksdb(events.sparkSession):
         return _start(ruled.unionByName(unbound), decisions.write, checkpoint, trigger)
+
+
+class TakenKey(StatefulProcessor):
+    """Whether a key is taken; the first row of a key that is not takes it."""
+
+    def __init__(self, seq: str, columns: list[str]) -> None:
+        self._seq, self._columns = seq, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._taken = handle.getValueState("taken", "taken boolean")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self._taken.update((True,))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self._taken.exists():
+            for held in rows:
+                yield held[self._columns].assign(**{REASON: DUPLICATE_KEY})
+            return
+        held = pd.concat(rows).reset_index(drop=True)
+        self._taken.update((True,))
+        first = held[self._seq].astype("int64").idxmin()
+        yield held[self._columns].assign(**{REASON: [None if i == first else DUPLICATE_KEY for i in held.index]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_validated_append_keyed(
+    rows: DataFrame,
+    stored: DataFrame,
+    accepted: BatchLog,
+    rejected: BatchLog,
+    checkpoint: str,
+    pk: str = "Employee_ID",
+    seq: str = "seq",
+    rule: Callable[[DataFrame], Verdict] = validate_salary,
+    trigger: dict = AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Split new rows into accepted and rejected; taken keys are refused, as known from keyed state.
+
+    The state is one flag per taken key: those of ``stored`` when the stream
+    first starts, and then those it accepts.  A micro-batch looks up and sets
+    the keys of its own rows, so it reads nothing of what was accepted before:
+    its cost does not grow with the stream's history.  Keys that others store
+    later are not seen; `stream_validated_append` asks for them each time.
+
+    Columns are flat.  Only rows that ``rule`` lets pass compete for a key.
+    """
+    judged = rule(rows).decided
+    judged = judge(judged, (F.col(pk).isNull(), MISSING_KEY))
+    types = {f.name: f.dataType for f in rows.schema}
+    # All as text: beside a null, pandas would make doubles of whole numbers.
+    plain = judged.where(F.col(REASON).isNull()).select(F.col(pk).cast("string").alias("_key"), *[F.col(c).cast("string").alias(c) for c in types])
+    known = stored.where(F.col(pk).isNotNull()).select(F.col(pk).cast("string").alias("_key")).distinct().groupBy("_key")
+    shape = ", ".join(f"`{c}` string" for c in [*types, REASON])
+    decided = plain.groupBy("_key").transformWithStateInPandas(TakenKey(seq, list(types)), shape, "append", "none", known)
+    decided = decided.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()], REASON)
+    refused = judged.where(F.col(REASON).isNotNull()).select(*types, REASON)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        verdict = Verdict(batch.persist())
+        accepted.write(verdict.accepted, batch_id)
+        rejected.write(verdict.rejected, batch_id)
+        batch.unpersist()
+
+    with rocksdb(rows.sparkSession):
+        return _start(decided.unionByName(refused), each, checkpoint, trigger)

@@ -634,5 +634,15 @@ ORACLES: dict[str, str] = {
     ),
     "stream_upsert": sql("SELECT * FROM recipes_after"),
 }
-# The same decisions, from keyed state.
-ORACLES["stream_dispatch_keyed"] = ORACLES["stream_dispatch"]
+# The same results in other ways: from keyed state, from buckets, from a run that is repeated.
+ORACLES |= {
+    "stream_dispatch_keyed": ORACLES["stream_dispatch"],
+    "stream_validated_append_keyed": ORACLES["stream_validated_append"],
+    "append_to_buckets": ORACLES["append_keyed"],
+    "append_twice": ORACLES["table_append"],
+    "next_id_from_footers": "SELECT CAST(coalesce(max(l_orderkey), 0) + 1 AS BIGINT) AS NextID FROM lineitem",
+    "quarantine": sql("""
+        SELECT 'kept' AS what, CAST(PO_ID AS VARCHAR) AS detail, CAST(1 AS BIGINT) AS n FROM purchase_order WHERE PO_ID % 50 <> 0
+        UNION ALL
+        SELECT 'refused', 'Total_Amount INT', count(*) FROM purchase_order WHERE PO_ID % 50 = 0"""),
+}

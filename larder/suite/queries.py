@@ -15,13 +15,12 @@ from larder import streaming
 from larder.functions import label, label_id
 from larder.operators.commands import apply_equipment_status, receive_into_stock
 from larder.operators.integrity import audit_references
-from larder.operators.ledger import MOVEMENT
+from larder.operators.keyed import last_per_key
+from larder.operators.ledger import MOVEMENT, net_movements
 from larder.plans import lookups, views
 from larder.plans.naming import query, register_views
 from larder.session import fresh_dir
-from larder.sources import BatchLog, load
-from larder.sources.catalog import TABLES
-from larder.sources.readers import append
+from larder.sources import TABLES, BatchLog, KeyTable, TieredLog, append, largest_key, load, load_quarantined, reject_counts
 from larder.suite.tables import PO_STATUS, Bound, day, money
 
 AS_OF = "1998-06-01"
@@ -151,6 +150,44 @@ def table_append(t: Bound) -> DataFrame:
     return t.spark.read.parquet(path).select("PO_ID", "SupplierID", "Total_Amount", "Status")
 
 
+@registered
+def append_twice(t: Bound) -> DataFrame:
+    """Two runs append each its half of the purchase orders; one of them is repeated."""
+    path = fresh_dir(t.spark, "append")
+    is_done = F.col("Status") == PO_STATUS["F"]
+    for run, rows in (("done", is_done), ("open", ~is_done), ("done", is_done)):
+        append(t.purchase_order.where(rows), path, batch=run)
+    return t.spark.read.parquet(path).select("PO_ID", "SupplierID", "Total_Amount", "Status")
+
+
+@registered
+def quarantine(t: Bound) -> DataFrame:
+    """The purchase orders as text in which every 50th line is broken: what is loaded, and why the rest is not."""
+    path = fresh_dir(t.spark, "text")
+    whole = t.purchase_order.withColumn("Total_Amount", F.floor("Total_Amount")).select([F.col(c).cast("string") for c in TABLES["Purchase_Order"].columns])
+    lines = whole.withColumn("Total_Amount", F.when(F.col("PO_ID") % 50 == 0, "about ten").otherwise(F.col("Total_Amount")))
+    lines.write.option("header", True).csv(path)
+    good, rejected = load_quarantined(t.spark, path, "Purchase_Order")
+    kept = good.select(F.lit("kept").alias("what"), F.col("PO_ID").cast("string").alias("detail"), F.lit(1).cast("long").alias("n"))
+    refused = reject_counts(rejected).select(F.lit("refused").alias("what"), F.concat_ws(" ", "column", "rule").alias("detail"), "n")
+    return kept.unionByName(refused)
+
+
+@registered
+def append_to_buckets(t: Bound) -> DataFrame:
+    """The keyed append, with the stored keys in buckets."""
+    new = events(t).select("seq", (F.col("user_id") * 40).alias("Order_ID"), day("ts").alias("Order_Date"))
+    delivered = t.source("orders").where(F.col("o_orderstatus") == "F")
+    keys = KeyTable(t.spark, fresh_dir(t.spark, "keys"), "Order_ID", buckets=16).add(delivered.select(F.col("o_orderkey").alias("Order_ID")))
+    return decided(op.append_to_key_table(keys, new), "Order_ID", "Order_Date")
+
+
+@registered
+def next_id_from_footers(t: Bound) -> DataFrame:
+    largest = largest_key(t.spark, f"{t.dir}/lineitem.parquet", "l_orderkey")
+    return largest.select((F.coalesce("largest", F.lit(0)) + 1).cast("bigint").alias("NextID"))
+
+
 @registered
 def named_views(t: Bound) -> DataFrame:
     names = register_views(t.spark, t, AS_OF)
@@ -650,13 +687,17 @@ def log(t: Bound, name: str, schema) -> BatchLog:
     return BatchLog(t.spark, fresh_dir(t.spark, name), schema).create()
 
 
+def tiered(t: Bound, name: str, schema, fold) -> TieredLog:
+    return TieredLog(t.spark, fresh_dir(t.spark, name), schema, fold)
+
+
 def checkpoint(t: Bound) -> str:
     return fresh_dir(t.spark, "stream")
 
 
 @registered
 def stream_stock_ledger(t: Bound) -> DataFrame:
-    moves = log(t, "stock", MOVEMENT)
+    moves = tiered(t, "stock", MOVEMENT, net_movements)
     streaming.stream_stock_ledger(
         t.batches_of(t.stream("lineitem", "l_orderkey")),
         t.order_details_of(t.stream("lineitem", "l_orderkey")),
@@ -670,7 +711,7 @@ def stream_stock_ledger(t: Bound) -> DataFrame:
 @registered
 def stream_order_totals(t: Bound) -> DataFrame:
     total = T.StructField("Total_Amount", T.DecimalType(22, 2))
-    totals = log(t, "totals", T.StructType([T.StructField("Order_ID", T.LongType()), total]))
+    totals = tiered(t, "totals", T.StructType([T.StructField("Order_ID", T.LongType()), total]), streaming.total_sums)
     # Shipped lines are stored already, the others come in.
     opening, coming = (t.order_details_of(s.where(f"l_linestatus {is_it} 'F'")) for s, is_it in ((t.source("lineitem"), "="), (t.stream("lineitem", "l_orderkey"), "<>")))
     streaming.stream_order_totals(coming, totals, checkpoint(t)).awaitTermination()
@@ -722,10 +763,24 @@ def stream_validated_append(t: Bound) -> DataFrame:
     return kept.unionByName(rejected.read()).drop("batch")
 
 
+@registered
+def stream_validated_append_keyed(t: Bound) -> DataFrame:
+    rows = t.stream("customer", "c_custkey").select(
+        F.col("c_custkey").alias("seq"),
+        pairs("c_custkey").alias("Employee_ID"),
+        money("c_acctbal").alias("Salary"),
+    )
+    refused = rows.withColumn("reason", F.lit("")).schema
+    accepted, rejected = log(t, "accepted", rows.schema), log(t, "rejected", refused)
+    streaming.stream_validated_append_keyed(rows, staff(t), accepted, rejected, checkpoint(t)).awaitTermination()
+    kept = accepted.read().withColumn("reason", F.lit(None).cast("string"))
+    return kept.unionByName(rejected.read()).drop("batch")
+
+
 @registered
 def stream_upsert(t: Bound) -> DataFrame:
     changes = recipe_changes(t, t.stream("events", "event_id"))
-    newest = log(t, "recipes", t.recipes.schema)
+    newest = tiered(t, "recipes", t.recipes.schema, lambda rows: last_per_key(rows, "RecipeID", "batch"))
     streaming.stream_upsert(changes, newest, checkpoint(t), "RecipeID").awaitTermination()
     return streaming.current_rows(t.recipes, newest, "RecipeID")
 
