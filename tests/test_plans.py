@@ -190,3 +190,46 @@ def test_nothing_is_cut_short_or_kept_locally():
 
     for module in (commands, keyed, verdict, jobs):
         assert "localCheckpoint" not in inspect.getsource(module)
+
+
+def test_references_are_checked_in_one_pass(spark, large, monkeypatch):
+    """Each table is scanned once, and one join leads from dangling values back to the rows."""
+    from larder.operators import integrity
+    from larder.suite.tables import Bound
+
+    facts, real = [], integrity.stored
+    monkeypatch.setattr(integrity, "stored", lambda df, name: facts.append(df) or real(df, name))
+    tables = Bound(spark, SMALL)
+    found = integrity.audit_references(tables)
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+    # The suite derives some tables from several files.
+    assert len(facts) == 1 and scans(facts[0]) <= sum(scans(tables[name]) for name in tables)
+    plan = plan_of(found)
+    assert plan.count("Join") == 1 and "SortAggregate" not in plan
+
+
+def test_a_reference_that_a_third_of_the_rows_have_is_split(spark, rows, keys, splitting):
+    from larder.operators.integrity import audit_references
+
+    children = rows.select(F.col("seq").alias("PO_ID"), hot().alias("SupplierID"))
+    found = audit_references({"Suppliers": renamed(keys, "SupplierID").where("SupplierID <> 7"), "Purchase_Order": children})
+    assert found.count() > ROWS / 3
+    assert "skew=true" in plan_of(found)
+
+
+def test_references_of_other_types_meet(spark):
+    from larder.operators.integrity import audit_references
+
+    parents = spark.createDataFrame([(5,), (6,)], "SupplierID int")
+    children = spark.createDataFrame([(1, "5.00"), (2, "5.50"), (3, None), (4, "7.00")], "PO_ID long, s string").select("PO_ID", F.col("s").cast("decimal(8,2)").alias("SupplierID"))
+    found = audit_references({"Suppliers": parents, "Purchase_Order": children}).collect()
+    assert {(r.key, r.value) for r in found} == {("2", "5.50"), ("4", "7.00")}
+
+
+@pytest.mark.parametrize("name", ["upsert_by_key", "update_by_key", "complete_delivery", "equipment_after_update"])
+def test_newest_rows_come_from_hash_aggregation(spark, large, name):
+    plan = plan_of(REGISTRY[name](spark, SMALL))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

@@ -428,3 +428,33 @@ def test_slabs_of_whole_parts(monkeypatch, seed):
     out = [r for b in dispatch._walk(iter(table.to_batches(max_chunksize=13))) for r in b.to_pylist()]
     assert {r["seq"]: r["reason"] for r in out if r["kind"] == "dispatch"} == walk(events)
     assert len([r for r in out if r["kind"] == "state"]) == 4
+
+
+def test_keyed_append(spark, files, log, tmp_path):
+    """Keys taken by the stored rows, earlier batches or earlier rows; state is read for a batch's own keys."""
+    shape = "seq long, Employee_ID long, Salary decimal(8,2), Hired date"
+    rng = random.Random(3)
+
+    def row(seq, key, salary="5.00"):
+        return (seq, key, None if salary is None else Decimal(salary), None)
+
+    parts = [
+        [row(n, n) for n in range(100, 400)],
+        [row(2**60 + 1, 1, "0.00"), row(2**60, 1), row(402, None), row(403, 7), row(404, 150)],
+        [row(405, 8, None), row(406, 8, "1.50"), row(407, 1), row(408, rng.randrange(100, 400))],
+    ]
+    schema = spark.createDataFrame([], shape).schema
+    accepted = log("accepted", schema)
+    rejected = log("rejected", T.StructType([*schema.fields, T.StructField("reason", T.StringType())]))
+    stored = spark.createDataFrame([(7,), (None,), (7,)], "Employee_ID int")
+    query = streaming.stream_validated_append_keyed(files("rows", parts, shape), stored, accepted, rejected, str(tmp_path / "check"))
+    query.awaitTermination()
+    assert {r.seq for r in accepted.read().collect()} == {*range(100, 400), 2**60, 405}
+    assert {r.seq: r.reason for r in rejected.read().collect()} == {
+        2**60 + 1: "salary not positive", 402: "missing key", 403: "duplicate key", 404: "duplicate key",
+        406: "duplicate key", 407: "duplicate key", 408: "duplicate key",
+    }
+    assert accepted.read().where("seq = 405").first().Salary is None
+    state = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert state[0].numRowsUpdated >= 300
+    assert max(s.numRowsUpdated for s in state[1:]) <= 2
