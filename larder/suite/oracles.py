@@ -640,6 +640,27 @@ ORACLES |= {
     "stream_validated_append_keyed": ORACLES["stream_validated_append"],
     "append_to_buckets": ORACLES["append_keyed"],
     "append_twice": ORACLES["table_append"],
+    "bulk_append_deliveries": """
+        WITH every AS (
+            SELECT event_id AS seq, event_id AS Delivery_ID, CASE WHEN event_id % 11 <> 0 THEN user_id END AS Rider_ID,
+                CASE event_id % 3 WHEN 2 THEN 'noon' ELSE '2026-04-01 10:00:00' END AS Dispatch_Time,
+                CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 END AS Delivery_Status FROM events),
+        held AS (SELECT Delivery_ID, Rider_ID, 't' AS Dispatch_Time, CASE WHEN Rider_ID % 7 = 0 THEN 0 ELSE 1 END AS Delivery_Status FROM every WHERE seq % 10 = 0),
+        busy AS (SELECT DISTINCT Rider_ID FROM held WHERE Delivery_Status = 0 AND Rider_ID IS NOT NULL),
+        fresh AS (SELECT *, seq % 20 = 0 AS taken FROM every WHERE seq % 10 <> 0 OR seq % 20 = 0),
+        opened AS (
+            SELECT Rider_ID, min(seq) AS since FROM fresh
+            WHERE Delivery_Status = 0 AND NOT taken AND Rider_ID NOT IN (SELECT Rider_ID FROM busy) GROUP BY Rider_ID)
+        SELECT *, CAST(NULL AS VARCHAR) AS reason FROM held
+        UNION ALL
+        SELECT Delivery_ID, Rider_ID, Dispatch_Time, Delivery_Status,
+            CASE WHEN Rider_ID IN (SELECT Rider_ID FROM busy) OR seq > since THEN 'rider busy' WHEN taken THEN 'duplicate key' END
+        FROM fresh LEFT JOIN opened USING (Rider_ID)""",
+    "bulk_append_plain": sql(" UNION ALL ".join(
+        f"""SELECT '{table}' AS what, CAST({key} AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS reason FROM {source}
+            UNION ALL SELECT '{table}', CAST({key} AS VARCHAR), 'duplicate key' FROM {source}
+            WHERE {f"length({key})" if table == "Product_categories" else key} % 10 = 0"""
+        for table, source, key in KEYS if table not in ("Batches", "Order_Details", "Orders", "Employees", "Deliveries"))),
     "next_id_from_footers": "SELECT CAST(coalesce(max(l_orderkey), 0) + 1 AS BIGINT) AS NextID FROM lineitem",
     "quarantine": sql("""
         SELECT 'kept' AS what, CAST(PO_ID AS VARCHAR) AS detail, CAST(1 AS BIGINT) AS n FROM purchase_order WHERE PO_ID % 50 <> 0

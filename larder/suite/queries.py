@@ -140,6 +140,46 @@ def bulk_append_rules(t: Bound) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@registered
+def bulk_append_deliveries(t: Bound) -> DataFrame:
+    """New deliveries of riders who are free, busy or not known, with keys that are stored and dispatch times that miss."""
+    every = t.source("events").select(
+        F.col("event_id").alias("seq"),
+        F.col("event_id").alias("Delivery_ID"),
+        F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("Rider_ID"),
+        F.when(F.col("event_id") % 3 == 2, "noon").when(F.col("event_id") % 3 == 1, "").alias("Dispatch_Time"),
+        F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).alias("Delivery_Status"),
+    )
+    is_stored = F.col("seq") % 10 == 0
+    stored = every.where(is_stored).select(
+        "Delivery_ID", "Rider_ID", F.lit("t").alias("Dispatch_Time"), F.when(F.col("Rider_ID") % 7 == 0, 0).otherwise(1).alias("Delivery_Status")
+    )
+    new = every.where(~is_stored | (F.col("seq") % 20 == 0))
+    after, refused = op.bulk_append({"Deliveries": stored}, {"Deliveries": new}, NOW)
+    kept = after["Deliveries"].withColumn("reason", F.lit(None).cast("string"))
+    both = kept.unionByName(refused["Deliveries"].select(kept.columns))
+    return both.select("Delivery_ID", "Rider_ID", "Dispatch_Time", "Delivery_Status", "reason")
+
+
+@registered
+def bulk_append_plain(t: Bound) -> DataFrame:
+    """The tables without rules: every other row is stored, the others and some of the stored are appended."""
+    names = [n for n in TABLES if n not in ("Batches", "Order_Details", "Orders", "Employees", "Deliveries")]
+    state, rows = {}, {}
+    for name in names:
+        key = F.col(TABLES[name].key)
+        # The categories of products have names for keys.
+        number = F.length(key) if name == "Product_categories" else key
+        state[name] = t[name].where(number % 2 == 0)
+        rows[name] = t[name].where((number % 2 != 0) | (number % 10 == 0)).withColumn("seq", key)
+    after, refused = op.bulk_append(state, rows)
+    parts = []
+    for name in names:
+        kept = after[name].withColumn("reason", F.lit(None).cast("string"))
+        parts += [p.select(F.lit(name).alias("what"), F.col(TABLES[name].key).cast("string").alias("id"), "reason") for p in (kept, refused[name])]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @registered
 def table_append(t: Bound) -> DataFrame:
     """Store the delivered purchase orders, append the others, read them back typed."""
