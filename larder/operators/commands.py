@@ -60,7 +60,7 @@ def place_purchase_order(
     status = _or_default(rows, "Status", F.lit(PO_STATUS))
     rows = rows.withColumns({"Exp_deleivey_date": due, "Status": status})
     shaped = _shaped(rows, "Purchase_Order", seq)
-    return Verdict(reject_taken_keys(shaped, purchase_orders, "PO_ID", seq))
+    return Verdict(reject_taken_keys(shaped, purchase_orders, "PO_ID", seq, dear=True))
 
 
 def receive_batch(
@@ -84,7 +84,7 @@ def receive_batch(
             "Remaining_Quantity": F.col("Quantity_Received"),
         }
     )
-    return Verdict(reject_taken_keys(_shaped(rows, "Batches", seq), batches, "BatchID", seq))
+    return Verdict(reject_taken_keys(_shaped(rows, "Batches", seq), batches, "BatchID", seq, dear=True))
 
 
 def receive_into_stock(verdict: Verdict, ingredients: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def add_recipe_ingredient(
         (~F.col("_product"), "product not found"),
         (~F.col("_ingredient"), "ingredient not found"),
     )
-    return Verdict(reject_taken_keys(_shaped(rows, "Recipes", seq), recipes, "RecipeID", seq))
+    return Verdict(reject_taken_keys(_shaped(rows, "Recipes", seq), recipes, "RecipeID", seq, dear=True))
 
 
 def place_order(
@@ -118,7 +118,7 @@ def place_order(
     rows = judge(rows, (~F.col("_customer"), "customer not found"))
     rows = rows.withColumn("Total_Amount", F.lit(0).cast("decimal(8,2)"))
     shaped = _shaped(order_final_total(rows), "Orders", seq)
-    return Verdict(reject_taken_keys(shaped, orders, "Order_ID", seq))
+    return Verdict(reject_taken_keys(shaped, orders, "Order_ID", seq, dear=True))
 
 
 def add_order_line(cmds: DataFrame, lines: DataFrame, menu: DataFrame, seq: str = "seq") -> Verdict:
@@ -128,7 +128,8 @@ def add_order_line(cmds: DataFrame, lines: DataFrame, menu: DataFrame, seq: str
     rows = attach(cmds, prices, "ProductID")
     rows = judge(rows, (F.col("_offered").isNull(), "product not on the menu"))
     rows = rows.withColumn("Line_Total", F.col("Unit_Price") * F.col("Quantity"))
-    shaped = _shaped(rows, "Order_Details", seq)
+    # Read for the ids, for the refused and with the result.
+    shaped = stored(_shaped(rows, "Order_Details", seq), "priced")
     offered = assign_ids(lines, shaped.where(F.col(REASON).isNull()), "Order_Detail_ID", [seq])
     refused = shaped.where(F.col(REASON).isNotNull())
     return Verdict(offered.unionByName(refused, allowMissingColumns=True))
@@ -163,7 +164,7 @@ def process_payment(
         (F.col("Amount_Paid") < F.col("_due"), "underpayment"),
     )
     rows = rows.withColumn("Payment_Status", F.lit(1))
-    return Verdict(reject_taken_keys(_shaped(rows, "payments", seq), payments, "Payment_ID", seq))
+    return Verdict(reject_taken_keys(_shaped(rows, "payments", seq), payments, "Payment_ID", seq, dear=True))
 
 
 def assign_delivery(

@@ -45,7 +45,7 @@ def judge(rows: DataFrame, *tests: tuple[Column, str]) -> DataFrame:
 
 
 def reject_taken_keys(
-    rows: DataFrame, existing: DataFrame | Sequence[DataFrame], pk: str, seq: str
+    rows: DataFrame, existing: DataFrame | Sequence[DataFrame], pk: str, seq: str, dear: bool = False
 ) -> DataFrame:
     """Give a reason to rows whose key is NULL, stored already or used earlier.
 
@@ -53,10 +53,21 @@ def reject_taken_keys(
     wins it; ``seq`` is unique in the batch.  The winner comes from a minimum
     per key, which combines before the shuffle, and rows find it by joining on
     (key, seq), so a key that fills much of the batch never meets in one task.
+
+    ``dear`` rows, which come out of joins, are worked out once: they are dealt
+    out by (key, seq), as the join needs them anyhow, and the minimum reads the
+    same exchange.
     """
     stored = [existing] if isinstance(existing, DataFrame) else existing
-    valid = rows.where(F.col(REASON).isNull()) if REASON in rows.columns else rows
-    winners = valid.where(F.col(pk).isNotNull()).groupBy(pk).agg(F.min(seq).alias(seq))
+    if dear:
+        rows = rows.repartition(pk, seq)
+        # True for every row, but names all columns: an exchange with fewer would be another one.
+        whole = F.xxhash64(*rows.columns).bitwiseAND(F.lit(0).cast("bigint")) == 0
+        first = F.min(F.when(F.col(REASON).isNull() & F.col(pk).isNotNull() & whole, F.col(seq)))
+        winners = rows.groupBy(pk).agg(first.alias(seq)).where(F.col(seq).isNotNull())
+    else:
+        valid = rows.where(F.col(REASON).isNull()) if REASON in rows.columns else rows
+        winners = valid.where(F.col(pk).isNotNull()).groupBy(pk).agg(F.min(seq).alias(seq))
     for keys in stored:
         winners = winners.join(keys.select(F.col(pk)), pk, "left_anti")
     winners = winners.withColumn("_wins", F.lit(True))

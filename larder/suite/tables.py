@@ -71,29 +71,44 @@ class Bound(Mapping):
     def stream(self, name: str, order: str) -> DataFrame:
         """The rows of a table as a stream of several files, one per micro-batch, in ``order``.
 
-        Files are taken by their time, so the slices are written one after the
-        other; there are more of them in a larger table.
+        There are more of them in a larger table.
         """
         return (
             self.spark.readStream.schema(self.source(name).schema)
             .option("maxFilesPerTrigger", 1)
-            .parquet(self._feed(name, order))
+            .parquet(f"{self._feed(name, order)}/slice=*")
         )
 
     def _feed(self, name: str, order: str) -> str:
+        """The table in slices of its order, a file each, written by one pass over it.
+
+        A stream takes files by their time, so the slices get times of their own.
+        """
         if name not in self._feeds:
             rows, key = self.source(name), F.col(order)
             slices = max(MICRO_BATCHES, rows.count() // SLICE_ROWS)
             shares = [i / slices for i in range(1, slices)]
             edges = rows.agg(F.percentile_approx(key, shares)).first()[0] or []
             # How many edges lie below; a missing key is in the first slice.
-            number = sum((F.coalesce((key > edge).cast("int"), F.lit(0)) for edge in edges), F.lit(0))
+            number = F.lit(0)
+            if edges:
+                number = F.coalesce(F.expr(f"aggregate(array({', '.join(map(str, edges))}), 0, (n, edge) -> n + int({order} > edge))"), F.lit(0))
             path = fresh_dir(self.spark, f"feed-{name}")
-            for i in range(len(edges) + 1):
-                rows.where(number == i).coalesce(1).write.mode("append").parquet(path)
+            dealt = rows.withColumn("slice", number).repartitionByRange(len(edges) + 1, "slice")
+            dealt.write.partitionBy("slice").parquet(path)
+            self._in_turn(path)
             self._feeds[name] = path
         return self._feeds[name]
 
+    def _in_turn(self, path: str) -> None:
+        """Give the files of each slice a time of their own, in the slices' order."""
+        made = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = made(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        slices = sorted((int(s.getPath().getName()[6:]), s.getPath()) for s in files.listStatus(made(path)) if s.getPath().getName().startswith("slice="))
+        for i, folder in slices:
+            for held in files.listStatus(folder):
+                files.setTimes(held.getPath(), 1_000_000_000_000 + 10_000 * i, -1)
+
     def size(self, name: str) -> Column:
         """The number of rows, as a scalar subquery."""
         return self.source(name).agg(F.count(F.lit(1))).scalar()

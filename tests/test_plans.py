@@ -233,3 +233,35 @@ def test_references_of_other_types_meet(spark):
 def test_newest_rows_come_from_hash_aggregation(spark, large, name):
     plan = plan_of(REGISTRY[name](spark, SMALL))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+PARENTS = {
+    "place_purchase_order": 1, "receive_batch": 2, "add_recipe_ingredient": 2, "place_order": 1, "process_payment": 1,
+}
+
+
+@pytest.mark.parametrize("name", PARENTS)
+def test_each_parent_is_joined_once(spark, rows, keys, large, name):
+    """One join for each parent, one with the stored keys and one with the winners; the rows' exchange is read twice."""
+    amounts = {c: F.lit(1) for c in ("Total_Amount", "Tax_Amount", "Discount_Amount", "Amount_Paid", "Quantity_Received", "quantity_required")}
+    days = {c: F.current_date() for c in ("Order_date", "Receive_date", "Order_Date")}
+    refs = {c: F.col("id") % 900 for c in ("SupplierID", "IngredientID", "PO_ID", "ProductID", "CustomerID", "Order_ID")}
+    cmds = rows.select("seq", *[v.alias(k) for k, v in (refs | amounts | days).items() if k not in ("Order_Date",)], F.col("id").alias("own"))
+    parents = {c: renamed(keys, c) for c in refs}
+    due = renamed(keys, "Order_ID", Final_Total=F.lit(0))
+
+    def own(key):
+        return cmds.withColumn(key, F.col("own")).drop("own"), renamed(keys, key).where(f"{key} < 5")
+
+    build = {
+        "place_purchase_order": lambda: op.place_purchase_order(*own("PO_ID"), parents["SupplierID"]),
+        "receive_batch": lambda: op.receive_batch(*own("BatchID"), parents["IngredientID"], parents["PO_ID"]),
+        "add_recipe_ingredient": lambda: op.add_recipe_ingredient(*own("RecipeID"), parents["ProductID"], parents["IngredientID"]),
+        "place_order": lambda: op.place_order(*own("Order_ID"), parents["CustomerID"]),
+        "process_payment": lambda: op.process_payment(*own("Payment_ID"), due),
+    }
+    verdict = build[name]()
+    plan = plan_of(verdict.decided)
+    executed = plan.split("ReusedExchange")
+    assert len(executed) >= 2
+    assert plan.count("SortMergeJoin") == PARENTS[name] + 2
