@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders written since the innermost `scratch` began; None outside of all.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def local_session(cpus: str = "8", app: str = "larder") -> SparkSession:
     """A single-machine session for tests and the benchmark script."""
@@ -53,5 +59,53 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     need, and Catalyst knows the size.
     """
     path = fresh_dir(df.sparkSession, name)
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is stored inside is removed at the end, but for what is handed to the function this gives.
+
+    Nothing lazy that reads a removed folder may be left by then.  What is
+    kept belongs to the scratch around this one, if there is one.
+    """
+    own: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
+
+    before = _WRITTEN.set(own)
+    try:
+        yield keep
+    finally:
+        _WRITTEN.reset(before)
+        around = _WRITTEN.get()
+        if around is not None:
+            around.extend(kept)
+        remove(spark, [path for path in own if path not in kept])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of the shared folder."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that are written inside and still there at the end, for who removes them later."""
+    own: list[str] = []
+    before = _WRITTEN.set(own)
+    try:
+        yield own
+    finally:
+        _WRITTEN.reset(before)
