@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import text_or_empty
 from larder.llm.components import components
-from larder.session import stored
+from larder.session import scratch, stored
 
 WORDS = 3
 RADIUS = 3
@@ -27,6 +27,10 @@ SIMILARITY = 0.8
 CHECK_BITS = 34
 #: Keys of a text, and smallest hashes in each: at a similarity of 0.8 two texts share none with probability 7e-10.
 BANDS, BAND_ROWS = 40, 4
+#: Of a pair's keys so many must be equal before its shingles are counted: at a similarity of 0.8 fewer are with probability 2e-6.
+SHARED_KEYS = 4
+#: Pairs that one task counts, about.
+TASK_PAIRS = 8192
 #: Pivots are compared with their key's holders while this many pairs a holder are open, at most so many times.
 OPEN_PAIRS, PIVOTS = 4, 6
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -328,7 +332,13 @@ def _near_pairs(fps, second, two, wide, nodes, radius: int, bits: int) -> list[n
 
 
 def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``links`` (u, v) whose ``texts`` (node, text) share ``similarity`` of their distinct shingles."""
+    """The ``links`` (u, v) whose ``texts`` (node, text) share ``similarity`` of their distinct shingles.
+
+    Give stored links.  A task counts the pairs of a group of u with a group
+    of v, so that a set of shingles travels to as many tasks as there are
+    groups and not to every pair; where one text is in very many pairs, a task is
+    cut by the other.
+    """
 
     @F.pandas_udf("array<long>")
     def hashed(values: pd.Series) -> pd.Series:
@@ -336,10 +346,33 @@ def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS,
 
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = stored(texts.join(ends, "node", "left_semi").select("node", hashed(text_or_empty()).alias("set")), "shingles")
-    u, v = (sets.select(F.col("node").alias(c), F.col("set").alias(f"of_{c}")) for c in "uv")
-    common = F.size(F.array_intersect("of_u", "of_v"))
-    either = F.size("of_u") + F.size("of_v") - common
-    return links.join(u, "u").join(v, "v").where(common >= similarity * either - 1e-9).select("u", "v")
+    side = max(1, math.ceil(math.sqrt(links.count() / TASK_PAIRS)))
+    grouped = links.select("u", "v", *[F.pmod(F.xxhash64(c), F.lit(side)).alias(f"of_{c}") for c in "uv"])
+    cuts = grouped.groupBy("of_u", "of_v").agg(F.ceil(F.count(F.lit(1)) / (4 * TASK_PAIRS)).alias("cuts"))
+    dealt = grouped.join(cuts, ["of_u", "of_v"]).select("u", "v", F.struct("of_u", "of_v", F.pmod(F.xxhash64("u", "v"), "cuts").alias("cut")).alias("task"))
+    needed = dealt.select(F.col("task").alias("at"), F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
+
+    def count(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(held["node"].tolist(), held["set"], strict=True))
+        good = []
+        for u, v in zip(pairs["u"].tolist(), pairs["v"].tolist(), strict=True):
+            a, b = of[u], of[v]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+                good.append(False)
+                continue
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            good.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+        return pairs.loc[good, ["u", "v"]]
+
+    return dealt.groupBy("task").cogroup(needed.groupBy("at")).applyInPandas(count, "u long, v long")
+
+
+def plausible(pairs: DataFrame, keyed: DataFrame, least: int = SHARED_KEYS) -> DataFrame:
+    """Those of ``pairs`` (u, v) that share ``least`` of their `BANDS` keys; of nodes with fewer keys all."""
+    u, v = (keyed.select(F.col("node").alias(c), F.col("keys").alias(f"of_{c}")) for c in "uv")
+    whole = (F.size("of_u") == BANDS) & (F.size("of_v") == BANDS)
+    shared = F.size(F.array_intersect("of_u", "of_v")) >= least
+    return pairs.join(u, "u").join(v, "v").where(~whole | shared).select("u", "v")
 
 
 def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -351,20 +384,23 @@ def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, simila
     near copies does not become all its pairs.  The pairs still open when they
     are few, or after the last round, are all compared.
     """
+    every, spark = keyed, links.sparkSession
     for last in [False] * PIVOTS + [True]:
-        label = components(links)
-        held = keyed.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("of"), F.explode("keys").alias("key"))
-        apart = held.groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.min("node").alias("pivot")).where("a <> b")
-        held = stored(held.join(stored(apart.select("key", "pivot"), "apart"), "key"), "open")
-        counts = held.groupBy("key", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("own"))
-        most = counts.agg(F.sum("n").alias("holders"), F.sum(F.expr("(n * n - own) / 2")).alias("pairs")).first()
-        if not most.holders:
-            return links
-        last = last or most.pairs <= OPEN_PAIRS * most.holders
-        v = held.select("key", F.col("node").alias("v"), F.col("of").alias("of_v"))
-        u = (held if last else held.where("node = pivot")).select("key", F.col("node").alias("u"), F.col("of").alias("of_u"))
-        pairs = u.join(v, "key").where("of_u <> of_v AND u < v").select("u", "v").distinct()
-        links = stored(links.union(similar_links(stored(pairs, "pairs"), texts, similarity=similarity)), "confirmed")
+        with scratch(spark) as keep:
+            label = components(links)
+            held = keyed.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("of"), F.explode("keys").alias("key"))
+            apart = held.groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.min("node").alias("pivot")).where("a <> b")
+            held = keep(stored(held.join(stored(apart.select("key", "pivot"), "apart"), "key"), "open"))
+            counts = held.groupBy("key", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("own"))
+            most = counts.agg(F.sum("n").alias("holders"), F.sum(F.expr("(n * n - own) / 2")).alias("pairs")).first()
+            if not most.holders:
+                return links
+            last = last or most.pairs <= OPEN_PAIRS * most.holders
+            v = held.select("key", F.col("node").alias("v"), F.col("of").alias("of_v"))
+            u = (held if last else held.where("node = pivot")).select("key", F.col("node").alias("u"), F.col("of").alias("of_u"))
+            pairs = stored(u.join(v, "key").where("of_u <> of_v AND u < v").select("u", "v").distinct(), "pairs")
+            pairs = stored(plausible(pairs, every), "plausible")
+            links = keep(stored(links.union(similar_links(pairs, texts, similarity=similarity)), "confirmed"))
         if last:
             return links
         keyed = held.where("node <> pivot").select("node", F.array("key").alias("keys"))
@@ -397,19 +433,22 @@ def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: f
 
     # The columns travel as one, so that none can clash with those added here.
     row = F.monotonically_increasing_id().alias("row")
-    marked = stored(docs.select(F.struct("*").alias("doc"), marks(text_or_empty()).alias("mark"), row), "fingerprinted")
-    first = F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))).alias("first")
-    same = [F.col(f"mark.{c}").alias(c) for c in ("fp", "high", "low", "set_high", "set_low")]
-    nodes = stored(marked.groupBy(*same).agg(first).select("*", F.col("first.row").alias("node")), "nodes")
-    links = stored(candidate_links(nodes.select("node", "fp", "high", "low"), radius), "candidates")
-    texts = marked.select(F.col("row").alias("node"), F.col("doc.text").alias("text"))
-    links = stored(similar_links(links, texts, similarity=similarity), "confirmed")
-    bands = marked.select(F.col("row").alias("node"), F.col("mark.bands").alias("keys"))
-    keyed = bands.join(nodes.select("node"), "node", "left_semi")
-    kept = (
-        nodes.join(components(completed_links(links, keyed, texts, similarity)), "node", "left")
-        .groupBy(F.coalesce("component", "node"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias("row"))
-    )
+    with scratch(docs.sparkSession) as keep:
+        marked = keep(stored(docs.select(F.struct("*").alias("doc"), marks(text_or_empty()).alias("mark"), row), "fingerprinted"))
+        first = F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))).alias("first")
+        same = [F.col(f"mark.{c}").alias(c) for c in ("fp", "high", "low", "set_high", "set_low")]
+        nodes = stored(marked.groupBy(*same).agg(first).select("*", F.col("first.row").alias("node")), "nodes")
+        texts = marked.select(F.col("row").alias("node"), F.col("doc.text").alias("text"))
+        with scratch(docs.sparkSession) as hold:
+            links = stored(candidate_links(nodes.select("node", "fp", "high", "low"), radius), "candidates")
+            links = hold(stored(similar_links(links, texts, similarity=similarity), "confirmed"))
+        bands = marked.select(F.col("row").alias("node"), F.col("mark.bands").alias("keys"))
+        keyed = stored(bands.join(nodes.select("node"), "node", "left_semi"), "keys")
+        kept = (
+            nodes.join(components(completed_links(links, keyed, texts, similarity)), "node", "left")
+            .groupBy(F.coalesce("component", "node"))
+            .agg(F.min("first").alias("first"))
+            .select(F.col("first.row").alias("row"))
+        )
+        kept = keep(stored(kept, "kept"))
     return marked.join(kept, "row", "left_semi").select("doc.*")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import crc_of_id, text_or_empty
+from larder.session import stored
 
 #: Labelled documents that are learnt from, at most: toxic ones, others.
 SAMPLE = (2000, 4000)
@@ -102,8 +103,11 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE
     known = learnable(labels).withColumn("h", F.xxhash64("doc_id"))
     first = [known.where(of).orderBy("h", "doc_id").limit(n) for of, n in (("toxic = 1", sample[0]), ("toxic <> 1", sample[1]))]
     chosen = first[0].union(first[1]).select("doc_id", "toxic", F.pmod(F.shiftright("h", 32), F.lit(2)).cast("int").alias("half"))
-    # The sample is bounded, so it may be broadcast.
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # The sample is bounded, so it may be broadcast.  Of rows with one id the text of least checksum is learnt from.
+    text = text_or_empty()
+    of = docs.select("doc_id", text.alias("text"), F.crc32(text.cast("binary")).alias("crc")).join(F.broadcast(chosen), "doc_id")
+    one = of.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic", "half"), F.struct("crc", "text")).alias("row"))
+    return one.select("doc_id", "row.*")
 
 
 def beginnings(words: set[bytes]) -> set[str]:
@@ -183,7 +187,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE
     what was trained on toxic terms, the ordinary one as much other ordinary
     text.  So windows that neither knows better compress alike.
     """
-    rows = sampled(docs, labels, sample)
+    rows = stored(sampled(docs, labels, sample), "sample")
     first = rows.where("half = 0")
     terms = toxic_terms(first)
     toxic, ordinary = training_text(first, terms)
