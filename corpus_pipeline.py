@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm.mixing import ordered
@@ -9,14 +13,34 @@ from larder.llm.packing import packed
 from larder.llm.quality import selected
 from larder.llm.secrets import redacted
 from larder.llm.simhash import deduplicated
-from larder.session import fresh_dir
+from larder.session import fresh_dir, noted, remove
+
+#: What the last stage of a thread's run stored on its way; the stage's result has been written when the next begins.
+_LEFT: dict[tuple[int, str, str], list[str]] = {}
+
+
+def _stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes what the stage before it stored."""
+
+    @wraps(build)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = threading.get_ident(), spark.sparkContext.applicationId, sf_dir
+        remove(spark, _LEFT.pop(key, []))
+        with noted() as written:
+            result = build(spark, docs, sf_dir)
+        _LEFT[key] = written
+        return result
+
+    return run
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents whose expected grade is too low."""
     return selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 0.8 or more of their five-word shingles.
 
@@ -26,16 +50,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicated(docs)
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask the secrets in the texts."""
     return redacted(docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the documents in the order in which sources meet their target weights, kept as mix_order."""
     return ordered(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut into tokens and pack into sequences, numbered in the order of the mixture."""
     return packed(docs, order="mix_order")
