@@ -495,3 +495,42 @@ def test_a_rare_toxic_vocabulary_is_learnt(spark):
     out = toxicity.toxicity_scores(table, table.select("doc_id", "toxic")).where("held_out").join(table.select("doc_id", "toxic", "rare"), "doc_id").toPandas()
     assert out.rare.sum() > 3 and out[out.rare].predicted.mean() > 0.9
     assert out[out.toxic == 1].predicted.mean() > 0.9 and out[out.toxic == 0].predicted.mean() < 0.05
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    """An id that very many rows share is one document, whichever order the rows come in."""
+    docs = spark.createDataFrame([(i, f"plain words number {i} are here") for i in range(60)] + [(61, f"copy {n}") for n in range(10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(62)], "doc_id long, quality int, toxic int")
+    first, again = ([tuple(r) for r in toxicity.sampled(d, labels).orderBy("doc_id").collect()] for d in (docs, docs.repartition(13)))
+    assert first == again and len({r[0] for r in first}) == len(first) <= 62
+
+
+def test_pairs_are_counted_by_groups(spark, monkeypatch):
+    """Also where tasks are small and one text is in most pairs."""
+    from larder.llm import simhash
+
+    monkeypatch.setattr(simhash, "TASK_PAIRS", 8)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = {0: " ".join(words)}
+    for n in range(1, 40):
+        own = list(words)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        texts[n] = " ".join(own[: rng.choice([60, 60, 55, 40])])
+    pairs = [(0, n) for n in range(1, 40)] + [(u, v) for u in range(1, 40) for v in range(u + 1, 40) if rng.random() < 0.2]
+    sets = {n: set(simhash.shingles(t, 5)) for n, t in texts.items()}
+    want = {(u, v) for u, v in pairs if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]) - 1e-9}
+    links = spark.createDataFrame(pairs, "u long, v long")
+    rows = spark.createDataFrame(list(texts.items()), "node long, text string")
+    assert {(r.u, r.v) for r in simhash.similar_links(links, rows).collect()} == want
+    assert 0 < len(want) < len(pairs)
+
+
+def test_pairs_with_few_equal_keys_are_left_out(spark):
+    from larder.llm import simhash
+
+    keys = {0: range(40), 1: [*range(4), *range(100, 136)], 2: [*range(3), *range(200, 237)], 3: [0]}
+    keyed = spark.createDataFrame([(n, list(k)) for n, k in keys.items()], "node long, keys array<long>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "u long, v long")
+    assert sorted(r.v for r in simhash.plausible(pairs, keyed).collect()) == [1, 3]
