@@ -27,7 +27,7 @@ SIMILARITY = 0.8
 CHECK_BITS = 34
 #: Keys of a text, and smallest hashes in each: at a similarity of 0.8 two texts share none with probability 7e-10.
 BANDS, BAND_ROWS = 40, 4
-#: Of a pair's keys so many must be equal before its shingles are counted: at a similarity of 0.8 fewer are with probability 2e-6.
+#: Of a pair's keys so many must be equal before its shingles are counted: at a similarity of 0.8 fewer are with probability 2.6e-6.
 SHARED_KEYS = 4
 #: Pairs that one task counts, about.
 TASK_PAIRS = 8192
