@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import text_or_empty
 from larder.llm.components import components
-from larder.session import scratch, stored
+from larder.session import batches, scratch, stored
 
 WORDS = 3
 RADIUS = 3
@@ -29,8 +29,12 @@ CHECK_BITS = 34
 BANDS, BAND_ROWS = 40, 4
 #: Of a pair's keys so many must be equal before its shingles are counted: at a similarity of 0.8 fewer are with probability 2.6e-6.
 SHARED_KEYS = 4
-#: Pairs that one task counts, about.
-TASK_PAIRS = 8192
+#: Pairs that one task counts, about, and hashes of either side that it holds.
+TASK_PAIRS, TASK_HASHES = 8192, 1 << 21
+#: Bits of the parities of a set of hashes.
+PARITY_BITS = 2048
+#: Texts that a Python worker is given at once.
+BATCH = 1000
 #: Pivots are compared with their key's holders while this many pairs a holder are open, at most so many times.
 OPEN_PAIRS, PIVOTS = 4, 6
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -98,6 +102,16 @@ def band_keys(distinct: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)]
 
 
+def parities(distinct: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, as numbers of 64: whether an odd number of the hashes falls on each.
+
+    Hashes that two sets share cancel out, so the bits in which their parities
+    differ are at most the hashes that one of them has and the other has not.
+    """
+    odd = np.bincount((distinct % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; a null text counts as empty."""
 
@@ -337,7 +351,8 @@ def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS,
     Give stored links.  A task counts the pairs of a group of u with a group
     of v, so that a set of shingles travels to as many tasks as there are
     groups and not to every pair; where one text is in very many pairs, a task is
-    cut by the other.
+    cut by the other.  The longer the texts, the more groups, so that what a
+    task holds does not grow with them.
     """
 
     @F.pandas_udf("array<long>")
@@ -346,7 +361,8 @@ def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS,
 
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = stored(texts.join(ends, "node", "left_semi").select("node", hashed(text_or_empty()).alias("set")), "shingles")
-    side = max(1, math.ceil(math.sqrt(links.count() / TASK_PAIRS)))
+    hashes = sets.agg(F.sum(F.size("set"))).first()[0] or 0
+    side = max(1, math.ceil(math.sqrt(links.count() / TASK_PAIRS)), math.ceil(hashes / TASK_HASHES))
     grouped = links.select("u", "v", *[F.pmod(F.xxhash64(c), F.lit(side)).alias(f"of_{c}") for c in "uv"])
     cuts = grouped.groupBy("of_u", "of_v").agg(F.ceil(F.count(F.lit(1)) / (4 * TASK_PAIRS)).alias("cuts"))
     dealt = grouped.join(cuts, ["of_u", "of_v"]).select("u", "v", F.struct("of_u", "of_v", F.pmod(F.xxhash64("u", "v"), "cuts").alias("cut")).alias("task"))
@@ -375,14 +391,34 @@ def plausible(pairs: DataFrame, keyed: DataFrame, least: int = SHARED_KEYS) -> D
     return pairs.join(u, "u").join(v, "v").where(~whole | shared).select("u", "v")
 
 
-def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def possible(similarity: float = SIMILARITY) -> F.Column:
+    """Whether sets of ``n_u`` and ``n_v`` hashes with parities ``odd_u`` and ``odd_v`` can have that similarity; never false if they have.
+
+    It bounds the hashes that only one set has, and the bits in which the
+    parities differ and the difference of the counts are no more than those.
+    """
+    most = (F.col("n_u") + F.col("n_v")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    bits = F.aggregate(F.zip_with("odd_u", "odd_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    return F.when(F.abs(F.col("n_u") - F.col("n_v")) <= most, bits <= most).otherwise(False)
+
+
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (u, v) that `possible` does not rule out by the ``sketches`` (node, n, odd)."""
+    u, v = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "uv")
+    return pairs.join(u, "u").join(v, "v").where(possible(similarity)).select("u", "v")
+
+
+def completed_links(
+    links: DataFrame, keyed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, sketches: DataFrame | None = None
+) -> DataFrame:
     """``links`` (u, v) and more, so that all similar texts that share a key of ``keyed`` (node, keys) are connected.
 
-    Only what already is one component goes without a count.  In each round a
-    key's smallest node is compared with all holders in other components and
-    then leaves the key, as nothing about it is open any more; so a group of
-    near copies does not become all its pairs.  The pairs still open when they
-    are few, or after the last round, are all compared.
+    Only what already is one component goes without a count, and pairs that
+    the ``sketches`` (node, n, odd) rule out, if given; those are no rows of
+    any join.  The pairs still open are all compared when they are few.  Else,
+    for some rounds, a key's smallest node is compared with all holders in
+    other components and then leaves the key, as nothing about it is open any
+    more; so a group of near copies does not become all its pairs.
     """
     every, spark = keyed, links.sparkSession
     for last in [False] * PIVOTS + [True]:
@@ -390,15 +426,22 @@ def completed_links(links: DataFrame, keyed: DataFrame, texts: DataFrame, simila
             label = components(links)
             held = keyed.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("of"), F.explode("keys").alias("key"))
             apart = held.groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.min("node").alias("pivot")).where("a <> b")
-            held = keep(stored(held.join(stored(apart.select("key", "pivot"), "apart"), "key"), "open"))
-            counts = held.groupBy("key", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("own"))
-            most = counts.agg(F.sum("n").alias("holders"), F.sum(F.expr("(n * n - own) / 2")).alias("pairs")).first()
-            if not most.holders:
+            held = held.join(stored(apart.select("key", "pivot"), "apart"), "key")
+            if sketches is not None:
+                held = held.join(sketches, "node")
+            held = keep(stored(held, "open"))
+            holders = held.count()
+            if not holders:
                 return links
-            last = last or most.pairs <= OPEN_PAIRS * most.holders
-            v = held.select("key", F.col("node").alias("v"), F.col("of").alias("of_v"))
-            u = (held if last else held.where("node = pivot")).select("key", F.col("node").alias("u"), F.col("of").alias("of_u"))
-            pairs = stored(u.join(v, "key").where("of_u <> of_v AND u < v").select("u", "v").distinct(), "pairs")
+            own = [c for c in ("node", "of", "n", "odd") if c in held.columns]
+            u, v = (held.select("key", "pivot", *[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in own]) for s in "uv")
+            rest = F.expr("of_u <> of_v AND u < v")
+            if sketches is not None:
+                rest = F.when(rest, possible(similarity)).otherwise(False)
+            apart_pairs = u.join(v.drop("pivot"), "key").where(rest)
+            last = last or apart_pairs.count() <= OPEN_PAIRS * holders
+            pairs = apart_pairs if last else u.where("u = pivot").join(v.drop("pivot"), "key").where(rest)
+            pairs = stored(pairs.select("u", "v").distinct(), "pairs")
             pairs = stored(plausible(pairs, every), "plausible")
             links = keep(stored(links.union(similar_links(pairs, texts, similarity=similarity)), "confirmed"))
         if last:
@@ -414,38 +457,43 @@ def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: f
     bits, or share one of their `band_keys`; a candidate is a link if the
     distinct five-word shingles of both texts really have a similarity of
     ``similarity`` or more.  The fingerprints find most links at little cost;
-    what they miss, or what was left out of their forest, the keys find.  Without a count,
+    what they miss, or what was left out of their forest, the keys find.  Pairs
+    that the counts and parities of their shingles rule out need no count.  Without a count,
     only texts with the same set of five-word shingles are copies.  Null text is empty text; texts without words are copies of each
     other.  Rows are told apart by a number given when they are first stored,
     so that repeated rows are reduced to one as well.  A group without any
     doc_id keeps one row.  An empty table stays empty.
     """
 
-    @F.pandas_udf("struct<fp: long, high: long, low: long, set_high: long, set_low: long, bands: array<long>>")
+    @F.pandas_udf("struct<fp: long, high: long, low: long, set_high: long, set_low: long, n: long, bands: array<long>, odd: array<long>>")
     def marks(values: pd.Series) -> pd.DataFrame:
-        found = []
+        sums, bands, odd = [], [], []
         for text in values:
             hashed = wide_hashes(text)
             distinct = np.unique(hashed[:, 0])
-            found.append((fingerprint(text, words), *majority(hashed).tolist(), *set_hash(distinct), *band_keys(distinct)))
-        found = np.array(found, dtype=np.uint64).reshape(-1, 5 + BANDS).view(np.int64)
-        return pd.DataFrame(found[:, :5], columns=["fp", "high", "low", "set_high", "set_low"]).assign(bands=list(found[:, 5:]))
+            sums.append((fingerprint(text, words), *majority(hashed).tolist(), *set_hash(distinct), len(distinct)))
+            bands.append(np.array(band_keys(distinct), dtype=np.uint64).view(np.int64))
+            odd.append(parities(distinct))
+        sums = np.array(sums, dtype=np.uint64).reshape(-1, 6).view(np.int64)
+        return pd.DataFrame(sums, columns=["fp", "high", "low", "set_high", "set_low", "n"]).assign(bands=bands, odd=odd)
 
     # The columns travel as one, so that none can clash with those added here.
     row = F.monotonically_increasing_id().alias("row")
-    with scratch(docs.sparkSession) as keep:
+    with scratch(docs.sparkSession) as keep, batches(docs.sparkSession, BATCH):
         marked = keep(stored(docs.select(F.struct("*").alias("doc"), marks(text_or_empty()).alias("mark"), row), "fingerprinted"))
         first = F.min(F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))).alias("first")
         same = [F.col(f"mark.{c}").alias(c) for c in ("fp", "high", "low", "set_high", "set_low")]
         nodes = stored(marked.groupBy(*same).agg(first).select("*", F.col("first.row").alias("node")), "nodes")
         texts = marked.select(F.col("row").alias("node"), F.col("doc.text").alias("text"))
+        sketches = marked.select(F.col("row").alias("node"), F.col("mark.n").alias("n"), F.col("mark.odd").alias("odd"))
         with scratch(docs.sparkSession) as hold:
-            links = stored(candidate_links(nodes.select("node", "fp", "high", "low"), radius), "candidates")
+            links = candidate_links(nodes.select("node", "fp", "high", "low"), radius)
+            links = stored(possible_pairs(stored(links, "candidates"), sketches, similarity), "possible")
             links = hold(stored(similar_links(links, texts, similarity=similarity), "confirmed"))
         bands = marked.select(F.col("row").alias("node"), F.col("mark.bands").alias("keys"))
         keyed = stored(bands.join(nodes.select("node"), "node", "left_semi"), "keys")
         kept = (
-            nodes.join(components(completed_links(links, keyed, texts, similarity)), "node", "left")
+            nodes.join(components(completed_links(links, keyed, texts, similarity, sketches)), "node", "left")
             .groupBy(F.coalesce("component", "node"))
             .agg(F.min("first").alias("first"))
             .select(F.col("first.row").alias("row"))

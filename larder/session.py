@@ -109,3 +109,16 @@ def noted() -> Iterator[list[str]]:
         yield own
     finally:
         _WRITTEN.reset(before)
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at once in what is written inside, fewer if the session says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -534,3 +534,57 @@ def test_pairs_with_few_equal_keys_are_left_out(spark):
     keyed = spark.createDataFrame([(n, list(k)) for n, k in keys.items()], "node long, keys array<long>")
     pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "u long, v long")
     assert sorted(r.v for r in simhash.plausible(pairs, keyed).collect()) == [1, 3]
+
+
+def test_unlike_texts_that_share_a_passage_are_not_counted(spark, monkeypatch):
+    """A group of similarity 0.6 costs no pairs, and the near copies in it are found."""
+    from larder.llm import simhash
+
+    rng, counted, whole = random.Random(14), [], simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda links, *a, **k: counted.append(links.count()) or whole(links, *a, **k))
+    passage = unlike(rng, 300)
+    texts = [passage + unlike(rng, 100) for _ in range(40)]
+    texts += [[*t[:-4], "other"] for t in texts[:5]]
+    kept = deduplicated(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+    assert sum(counted) <= 10
+
+
+@pytest.mark.parametrize("size", [1, 9, 400, 9000])
+def test_pairs_that_may_be_similar_are_never_ruled_out(spark, size):
+    """Down to exactly 0.8, also where the sets are larger than their parities."""
+    from larder.llm import simhash
+
+    rng, pairs, sketches = np.random.default_rng(size), [], []
+    for i in range(40):
+        own = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+        a, b = own[:size], own[int(size * rng.uniform(0, 0.4)) :][: int(size * rng.uniform(0.7, 1.3)) + 1]
+        pairs.append((2 * i, 2 * i + 1, len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))))
+        sketches += [(2 * i + k, len(s), simhash.parities(s).tolist()) for k, s in enumerate((a, b))]
+    base = rng.integers(0, 1 << 63, 10 * size, dtype=np.uint64)
+    pairs.append((80, 81, True))
+    sketches += [(80, 9 * size, simhash.parities(base[: 9 * size]).tolist()), (81, 9 * size, simhash.parities(base[size:]).tolist())]
+    links = spark.createDataFrame([(u, v) for u, v, _ in pairs], "u long, v long")
+    left = {r.u for r in simhash.possible_pairs(links, spark.createDataFrame(sketches, "node long, n long, odd array<long>")).collect()}
+    assert left >= {u for u, _, alike in pairs if alike}
+    assert size != 400 or len(left) < 41
+
+
+def test_tasks_hold_few_hashes_of_long_texts(spark, monkeypatch):
+    """Few pairs of long texts are dealt to many tasks too, with the same links."""
+    from larder.llm import simhash
+
+    rng = random.Random(15)
+    texts = {n: " ".join(unlike(rng, 200)) for n in range(8)}
+    texts |= {n + 8: t + " more" for n, t in list(texts.items())}
+    links = spark.createDataFrame([(n, m) for n in range(8) for m in (n + 8, (n + 1) % 8)], "u long, v long")
+    rows = spark.createDataFrame(list(texts.items()), "node long, text string")
+    monkeypatch.setattr(simhash, "TASK_HASHES", 500)
+    assert sorted(tuple(r) for r in simhash.similar_links(links, rows).collect()) == [(n, n + 8) for n in range(8)]
+
+
+def test_near_dedup_gives_the_session_its_batches_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    deduplicated(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
+    assert spark.conf.get(name) == before
