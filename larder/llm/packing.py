@@ -162,7 +162,12 @@ def _fill(out: Plan, gaps: dict[int, list[Bins]], held: Bins, s: int, n: int) ->
 
 
 def _order_range(cut: DataFrame):
-    """A column function from ``_order`` to one of RANGES ranges that hold about as many pieces each."""
+    """A column function from ``_order`` to one of RANGES ranges that hold about as many pieces each.
+
+    The column can't be null, and Catalyst is told so: else a join by it adds
+    a filter that evaluates it once more, with twice the Python workers, which
+    then stay and grow in whatever runs next.
+    """
     shares = [i / RANGES for i in range(1, RANGES)]
     held = cut.agg(F.percentile_approx("_order", shares, 10 * RANGES)).first()[0]
     edges = np.array(held or [], dtype=np.int64)
@@ -171,7 +176,7 @@ def _order_range(cut: DataFrame):
     def of(order: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, order.to_numpy()).astype(np.int64))
 
-    return of
+    return lambda order: F.coalesce(of(order), F.lit(0))
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, order: str | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from larder.llm.common import text_or_empty
 
 #: Texts of one index segment; a longer text makes a segment of its own.
 SEGMENT_CHARS = 4_000_000
+#: Bytes of a segment whose trigrams are numbers at once.
+STRETCH = 1 << 18
 #: A string set of a regex part is given up beyond this size.
 MOST_STRINGS = 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -144,19 +146,23 @@ class Segment:
     def __init__(self, texts: list[str], wanted: Iterable[bytes]) -> None:
         raw = [t.encode().translate(LOWER) for t in texts]
         ends = np.cumsum([len(r) for r in raw])
-        codes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint32)
+        whole = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        del raw
         self.size = len(texts)
         self.postings: dict[bytes, np.ndarray] = dict.fromkeys(wanted, np.array([], dtype=np.int64))
-        if len(codes) < 3:
+        if len(whole) < 3:
             return
-        codes = (codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:]
         known = {t: int.from_bytes(t, "big") for t in self.postings}
         table = np.zeros(1 << 24, dtype=bool)
         table[list(known.values())] = True
-        at = np.flatnonzero(table[codes])
-        text = np.searchsorted(ends, at, side="right")
-        inside = at + 2 < ends[text]
-        pairs = np.unique((codes[at[inside]].astype(np.int64) << 32) | text[inside])
+        pairs = np.array([], dtype=np.int64)
+        for start in range(0, len(whole) - 2, STRETCH):
+            codes = whole[start : start + STRETCH + 2].astype(np.uint32)
+            codes = (codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:]
+            at = np.flatnonzero(table[codes])
+            text = np.searchsorted(ends, at + start, side="right")
+            inside = at + start + 2 < ends[text]
+            pairs = np.union1d(pairs, (codes[at[inside]].astype(np.int64) << 32) | text[inside])
         for trigram, code in known.items():
             a, b = np.searchsorted(pairs, [code << 32, (code + 1) << 32])
             self.postings[trigram] = pairs[a:b] & 0xFFFFFFFF

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing, quality, toxicity
+from larder.llm import mixing, packing, quality, secrets, toxicity
 from larder.llm.common import ranked
 from larder.llm.components import components
 from larder.llm.covertree import embedding_groups
@@ -25,6 +26,7 @@ from larder.llm.licenses import license_scan
 from larder.llm.secrets import BASE, MORE, Segment, secret_scan, trigram_query
 from larder.llm.sharding import interleaved_shards
 from larder.llm.simhash import candidate_links, completed_links, deduplicated, fingerprint, fingerprint_links, simhash_groups, wide_fingerprint
+from larder.session import stored
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -85,6 +87,24 @@ def test_trigram_queries_never_miss():
     assert trigram_query("abcd?[xy]") == [frozenset({frozenset({b"abc", b"bcd", b"cdx"})} | {frozenset({b"abc", b"bcx"})} | {frozenset({b"abc", b"bcd", b"cdy"})} | {frozenset({b"abc", b"bcy"})})]
 
 
+def test_trigrams_on_the_edge_of_a_stretch(monkeypatch):
+    texts = ["", "ab", "x token=abcdef", "to", "ken", "tok" * 5, "é password: 123456"]
+    wanted = {b"tok", b"oke", b"ken", b"wor", b"\xa9 p"}
+    holds = {w: [i for i, t in enumerate(texts) if w in t.encode()] for w in wanted}
+    for stretch in (1, 2, 3, 7, 1 << 18):
+        monkeypatch.setattr(secrets, "STRETCH", stretch)
+        assert {w: p.tolist() for w, p in Segment(texts, wanted).postings.items()} == holds
+
+
+def test_a_segment_takes_little_more_than_its_texts():
+    texts = ["nothing to hide, " * 500_000]
+    tracemalloc.start()
+    Segment(texts, {b"tok"})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * len(texts[0]) + (1 << 24)
+
+
 def test_quality_holds_out(spark):
     docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
     held = F.col("doc_id") % 5 == 0
@@ -399,6 +419,20 @@ def test_packing_follows_the_mixture(spark, docs):
     assert runs[0] != runs[1]
 
 
+def test_no_task_of_packing_has_two_python_workers(spark, docs, monkeypatch):
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(packing, "stored", seen)
+    out = packing.packed(docs.withColumn("mix_order", F.monotonically_increasing_id()), order="mix_order")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    tasks = [t for plan in plans for t in re.split(r"Exchange |FileScan ", plan)]
+    assert max(len(re.findall(r"ArrowEvalPython|MapInPandas", t)) for t in tasks) == 1
+
+
 def test_the_pipeline_has_the_mixture(spark, monkeypatch):
     import corpus_pipeline
 
