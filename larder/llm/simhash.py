@@ -33,6 +33,8 @@ SHARED_KEYS = 4
 TASK_PAIRS, TASK_HASHES = 8192, 1 << 21
 #: Bits of the parities of a set of hashes.
 PARITY_BITS = 2048
+#: Bits that tell which rows may have been dropped; 2 MB, for any number of rows.
+DROPPED_BITS = 1 << 24
 #: Texts that a Python worker is given at once.
 BATCH = 1000
 #: Pivots are compared with their key's holders while this many pairs a holder are open, at most so many times.
@@ -450,6 +452,38 @@ def completed_links(
     return links
 
 
+def dropped_bits(rows: DataFrame, kept: DataFrame, bits: int = DROPPED_BITS) -> DataFrame:
+    """(bucket, bits): a bitmap of ``bits`` bits in which the hash of each row of ``rows`` (row) is set that is not in ``kept`` (row)."""
+    place = _place(bits)
+    return (
+        rows.join(kept, "row", "left_anti")
+        .groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    )
+
+
+def _place(bits: int) -> F.Column:
+    return F.pmod(F.xxhash64("row"), F.lit(bits)) + 1
+
+
+def without_dropped(rows: DataFrame, kept: DataFrame, held: DataFrame, bits: int = DROPPED_BITS) -> DataFrame:
+    """The ``rows`` (row and others) that are in ``kept`` (row); ``held`` is their `dropped_bits`.
+
+    A row whose bit is not set was not dropped, and stays where it is.  Only
+    the others, few but for what was dropped, are dealt out and joined, so
+    that most texts are never shuffled.  The bitmap's size is bounded, so it
+    may be broadcast.
+    """
+    place = _place(bits)
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(held), "bucket", "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.when(F.col("bits").isNotNull(), F.getbit(byte, (at % 8).cast("int")) == 1).otherwise(False)
+    own = marked.select(*rows.columns, is_set.alias("in_doubt"))
+    sure, rest = own.where("NOT in_doubt"), own.where("in_doubt")
+    return sure.select(*rows.columns).union(rest.select(*rows.columns).join(kept, "row", "left_semi").select(*rows.columns))
+
+
 def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs``, one row of each group of near copies: that of the smallest doc_id.
 
@@ -499,4 +533,5 @@ def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: f
             .select(F.col("first.row").alias("row"))
         )
         kept = keep(stored(kept, "kept"))
-    return marked.join(kept, "row", "left_semi").select("doc.*")
+        held = keep(stored(dropped_bits(marked.select("row"), kept), "dropped"))
+    return without_dropped(marked.select("row", "doc"), kept, held).select("doc.*")

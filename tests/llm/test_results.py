@@ -25,7 +25,7 @@ from larder.llm.licenses import BASE as PHRASES
 from larder.llm.licenses import license_scan
 from larder.llm.secrets import BASE, MORE, Segment, secret_scan, trigram_query
 from larder.llm.sharding import interleaved_shards
-from larder.llm.simhash import candidate_links, completed_links, deduplicated, fingerprint, fingerprint_links, simhash_groups, wide_fingerprint
+from larder.llm.simhash import candidate_links, completed_links, deduplicated, dropped_bits, fingerprint, fingerprint_links, simhash_groups, wide_fingerprint, without_dropped
 from larder.session import stored
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -617,6 +617,24 @@ def test_tasks_hold_few_hashes_of_long_texts(spark, monkeypatch):
     assert sorted(tuple(r) for r in simhash.similar_links(links, rows).collect()) == [(n, n + 8) for n in range(8)]
 
 
+@pytest.mark.parametrize("bits", [1, 7, 40_000, 1 << 24])
+def test_dropped_rows_go_whatever_else_has_their_bit(spark, bits):
+    rows = spark.range(3000).select((F.col("id") * 8_589_934_592 + F.col("id") % 7).alias("row"), F.col("id").cast("string").alias("doc"))
+    for least in (0, 1, 900, 3000):
+        kept = rows.where(F.pmod(F.xxhash64("doc"), F.lit(3000)) >= least).select("row")
+        out = without_dropped(rows, kept, dropped_bits(rows.select("row"), kept, bits), bits)
+        assert sorted(r.row for r in out.collect()) == sorted(r.row for r in kept.collect())
+        assert out.columns == rows.columns
+
+
+def test_texts_that_stay_are_not_shuffled(docs, conf):
+    conf(autoBroadcastJoinThreshold="-1")
+    plan = deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [p for p in plan.split("Exchange hashpartitioning")[1:] if "doc#" in p]
+    assert len(shuffled) == 1 and "BroadcastHashJoin [bucket#" in shuffled[0]
+    assert sum("Filter NOT" in line and "bits#" in line for line in plan.splitlines()) == 1
+
+
 def test_near_dedup_gives_the_session_its_batches_back(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
