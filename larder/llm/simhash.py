@@ -35,6 +35,8 @@ TASK_PAIRS, TASK_HASHES = 8192, 1 << 21
 PARITY_BITS = 2048
 #: Bits that tell which rows may have been dropped; 2 MB, for any number of rows.
 DROPPED_BITS = 1 << 24
+#: Pairs that a task searching candidates holds before it reduces them to their forest.
+HELD_PAIRS = 1 << 18
 #: Texts that a Python worker is given at once.
 BATCH = 1000
 #: Pivots are compared with their key's holders while this many pairs a holder are open, at most so many times.
@@ -320,31 +322,42 @@ def _candidate_searcher(radius: int, bits: int):
         fps = rows["fp"].to_numpy().view(np.uint64).tolist()
         wide = rows[["high", "low"]].to_numpy().view(np.uint64)
         nodes = rows["node"].to_numpy()
-        pairs = [np.empty((0, 3), dtype=np.int64)]
+        pairs, size = [np.empty((0, 3), dtype=np.int64)], 0
         for here, second, two in meetings:
-            pairs += _near_pairs(fps[here], second, two, wide[here], nodes[here], radius, bits)
-        pairs = np.concatenate(pairs)
-        order = np.argsort(pairs[:, 0], kind="stable")
-        found = Joined()
-        return _links_frame([(u, v) for _, u, v in pairs[order].tolist() if found.union(u, v)], np.int64)
+            for near in _near_pairs(fps[here], second, two, wide[here], nodes[here], radius, bits):
+                pairs.append(near)
+                size += len(near)
+                if size >= HELD_PAIRS:
+                    pairs, size = [_forest(pairs)], 0
+        return _links_frame(_forest(pairs)[:, 1:], np.int64)
 
     return search
 
 
-def _near_pairs(fps, second, two, wide, nodes, radius: int, bits: int) -> list[np.ndarray]:
+def _forest(pairs: list[np.ndarray]) -> np.ndarray:
+    """A shortest spanning forest of (differing bits, node, node), shortest first; of equals the earlier ones.
+
+    With later pairs behind it, it gives the same forest as all pairs would.
+    """
+    pairs = np.concatenate(pairs)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    found = Joined()
+    return pairs[[found.union(u, v) for u, v in zip(pairs[:, 1].tolist(), pairs[:, 2].tolist(), strict=True)]] if len(pairs) else pairs
+
+
+def _near_pairs(fps, second, two, wide, nodes, radius: int, bits: int) -> Iterator[np.ndarray]:
     """(differing bits, node, node) for what lies within ``radius`` and ``bits``, by one tree of the first part."""
-    tree, held, pairs = BKTree(), {}, []
+    tree, held = BKTree(), {}
     for at, fp in enumerate(fps):
         if not two or second[at]:
             near = np.array([k for other in tree.near(fp, radius) for k in held[other]], dtype=np.int64)
             if len(near):
                 steps = np.bitwise_count(wide[near] ^ wide[at]).sum(axis=1, dtype=np.int64)
                 near, steps = near[steps <= bits], steps[steps <= bits]
-                pairs.append(np.stack([steps, nodes[near], np.full(len(near), nodes[at])], axis=1))
+                yield np.stack([steps, nodes[near], np.full(len(near), nodes[at])], axis=1)
         if not two or not second[at]:
             tree.add(fp)
             held.setdefault(fp, []).append(at)
-    return pairs
 
 
 def similar_links(links: DataFrame, texts: DataFrame, words: int = CHECK_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -10,13 +10,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing, quality, secrets, toxicity
+from larder.llm import mixing, packing, quality, secrets, simhash, toxicity
 from larder.llm.common import ranked
 from larder.llm.components import components
 from larder.llm.covertree import embedding_groups
@@ -635,6 +636,28 @@ def test_texts_that_stay_are_not_shuffled(docs, conf):
     assert sum("Filter NOT" in line and "bits#" in line for line in plan.splitlines()) == 1
 
 
+def test_a_task_holds_few_of_the_pairs_of_a_large_group(monkeypatch):
+    random_bits = np.random.default_rng(1)
+    n = 2000
+    ends = random_bits.integers(0, 1 << 16, (2, n), dtype=np.int64)
+    low = np.array([sum(1 << b for b in random_bits.integers(0, 40, 4).tolist()) for _ in range(n)], dtype=np.int64)
+    rows = pd.DataFrame({"choice": 0, "bits": 0, "i": 0, "j": 0, "part": 0, "node": range(n), "fp": 1 << random_bits.integers(0, 60, n), "high": ends[0] & 0xFF, "low": low})
+    search = simhash._candidate_searcher(8, 20)
+    results = []
+    for held in (1 << 40, 50_000, 100):
+        monkeypatch.setattr(simhash, "HELD_PAIRS", held)
+        results.append(search(rows[:400] if held == 100 else rows).to_numpy().tolist())
+    monkeypatch.setattr(simhash, "HELD_PAIRS", 1 << 40)
+    assert results[0] == results[1] and len(results[0]) > n / 2
+    assert results[2] == search(rows[:400]).to_numpy().tolist()
+    monkeypatch.undo()
+    tracemalloc.start()
+    search(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000
+
+
 def test_near_dedup_gives_the_session_its_batches_back(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
