@@ -39,6 +39,8 @@ DROPPED_BITS = 1 << 24
 HELD_PAIRS = 1 << 18
 #: Texts that a Python worker is given at once.
 BATCH = 1000
+#: Ids that may be broadcast; they take 90 bytes each in the driver's memory, and 4 in the file that Catalyst goes by.
+BROADCAST_ROWS = 1 << 20
 #: Pivots are compared with their key's holders while this many pairs a holder are open, at most so many times.
 OPEN_PAIRS, PIVOTS = 4, 6
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -224,17 +226,23 @@ def fingerprint_links(values: DataFrame, radius: int = RADIUS, shard: int = SHAR
 
 
 def _dealt(values: DataFrame, radius: int, shard: int) -> DataFrame:
-    """The rows of ``values`` in each task that they are searched in."""
+    """The rows of ``values`` in each task that they are searched in.
+
+    Only the keys that are split are counted into a table, one row at most for
+    each ``shard`` rows and choice of bits, so the rows meet it where they are;
+    rows whose key no other has are alone in their task's meeting.
+    """
     own = values.columns
     n = values.count()
     blocks, taken = key_blocks(n, radius)
-    keyed = values.select(*own, F.explode(keys_of(F.col("fp"), blocks, taken)).alias("key")).select(*own, "key.*")
-    held = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / shard).cast("int")
+    keyed = values.where("fp IS NOT NULL").select(*own, F.explode(keys_of(F.col("fp"), blocks, taken)).alias("key")).select(*own, "key.*")
+    # Stored, or Catalyst would take the keys of all rows for as few as the rows and send them to the driver.
+    large = stored(keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard), "large")
+    parts = F.coalesce(F.ceil(F.col("n") / shard).cast("int"), F.lit(1))
     part = F.pmod(F.xxhash64(*own), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = (
-        keyed.join(held, ["choice", "bits"])
+        keyed.join(large, ["choice", "bits"], "left")
         .select("choice", "bits", *own, parts.alias("parts"))
         .select("*", part.alias("part"))
         .select("*", other.alias("other"))
@@ -465,6 +473,11 @@ def completed_links(
     return links
 
 
+def by_rows(ids: DataFrame, rows: int | None = None) -> DataFrame:
+    """Stored ``ids`` to join with, merged instead of broadcast where they are more than ``rows``."""
+    return ids.hint("merge") if ids.count() > (BROADCAST_ROWS if rows is None else rows) else ids
+
+
 def dropped_bits(rows: DataFrame, kept: DataFrame, bits: int = DROPPED_BITS) -> DataFrame:
     """(bucket, bits): a bitmap of ``bits`` bits in which the hash of each row of ``rows`` (row) is set that is not in ``kept`` (row)."""
     place = _place(bits)
@@ -545,6 +558,6 @@ def deduplicated(docs: DataFrame, words: int = 2, radius: int = 8, similarity: f
             .agg(F.min("first").alias("first"))
             .select(F.col("first.row").alias("row"))
         )
-        kept = keep(stored(kept, "kept"))
+        kept = by_rows(keep(stored(kept, "kept")))
         held = keep(stored(dropped_bits(marked.select("row"), kept), "dropped"))
     return without_dropped(marked.select("row", "doc"), kept, held).select("doc.*")

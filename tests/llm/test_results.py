@@ -663,3 +663,19 @@ def test_near_dedup_gives_the_session_its_batches_back(spark):
     before = spark.conf.get(name)
     deduplicated(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
     assert spark.conf.get(name) == before
+
+
+def test_the_keys_of_all_rows_are_not_broadcast(spark):
+    """They look as few as the rows; with 165 of each they did not fit the driver."""
+    values = spark.range(20_000).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"))
+    plan = simhash._dealt(values, 8, 4096)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan
+    assert not any("explode" in sent for sent in plan.split("BroadcastExchange")[1:])
+
+
+def test_many_ids_are_not_broadcast(spark):
+    ids = spark.range(100)
+    for most, join in ((100, "BroadcastHashJoin"), (99, "SortMergeJoin")):
+        joined = spark.range(1000).join(simhash.by_rows(ids, most), "id", "left_semi")
+        assert join in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 100
