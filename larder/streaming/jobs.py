@@ -61,7 +61,7 @@ def stream_stock_ledger(
     )
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        # The one pass over the micro-batch; what is kept is one row per id.
+        # The one pass over the micro-batch; what is kept is one row per id, in no more partitions than run at once.
         sums = (
             rows.where(F.col("id").isNotNull())
             .groupBy("kind", "id")
@@ -69,6 +69,7 @@ def stream_stock_ledger(
                 F.sum("quantity").alias("total"),
                 F.bool_or(F.col("quantity").isNull()).alias("unknown"),
             )
+            .coalesce(rows.sparkSession.sparkContext.defaultParallelism)
             .persist()
         )
         received = sums.where(F.col("kind") == "in").select(
@@ -79,7 +80,9 @@ def stream_stock_ledger(
             F.col("total").alias("sold"),
             F.col("unknown").alias("sold_unknown"),
         )
-        used = usage_movements(recipes_now(), sold)
+        # Of the recipes, only what the micro-batch sold is put together.
+        recipes = recipes_now().join(sold.select("ProductID"), "ProductID", "left_semi")
+        used = usage_movements(recipes, sold)
         log.write(received.unionByName(used), batch_id)
         sums.unpersist()
 

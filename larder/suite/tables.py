@@ -42,6 +42,18 @@ def text(column: str) -> Column:
     return F.date_format(column, STAMP_FORMAT)
 
 
+def slice_of(order: Column, edges: list) -> Column:
+    """How many of the ascending ``edges`` lie below, by halves; a missing key is in the first slice."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(order > F.lit(edges[middle]), among(middle + 1, high)).otherwise(among(low, middle))
+
+    return among(0, len(edges))
+
+
 class Bound(Mapping):
     """The tables at ``sf_dir`` under their declared names."""
 
@@ -76,7 +88,7 @@ class Bound(Mapping):
         return (
             self.spark.readStream.schema(self.source(name).schema)
             .option("maxFilesPerTrigger", 1)
-            .parquet(f"{self._feed(name, order)}/slice=*")
+            .parquet(self._feed(name, order))
         )
 
     def _feed(self, name: str, order: str) -> str:
@@ -85,29 +97,23 @@ class Bound(Mapping):
         A stream takes files by their time, so the slices get times of their own.
         """
         if name not in self._feeds:
-            rows, key = self.source(name), F.col(order)
+            rows = self.source(name)
             slices = max(MICRO_BATCHES, rows.count() // SLICE_ROWS)
             shares = [i / slices for i in range(1, slices)]
-            edges = rows.agg(F.percentile_approx(key, shares)).first()[0] or []
-            # How many edges lie below; a missing key is in the first slice.
-            number = F.lit(0)
-            if edges:
-                number = F.coalesce(F.expr(f"aggregate(array({', '.join(map(str, edges))}), 0, (n, edge) -> n + int({order} > edge))"), F.lit(0))
+            edges = rows.agg(F.percentile_approx(F.col(order), shares)).first()[0] or []
             path = fresh_dir(self.spark, f"feed-{name}")
-            dealt = rows.withColumn("slice", number).repartitionByRange(len(edges) + 1, "slice")
-            dealt.write.partitionBy("slice").parquet(path)
+            rows.repartitionById(len(edges) + 1, slice_of(F.col(order), edges)).write.parquet(path)
             self._in_turn(path)
             self._feeds[name] = path
         return self._feeds[name]
 
     def _in_turn(self, path: str) -> None:
-        """Give the files of each slice a time of their own, in the slices' order."""
+        """Give the files a time of their own, in the slices' order; a file's number is that of its slice."""
         made = self.spark._jvm.org.apache.hadoop.fs.Path
         files = made(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        slices = sorted((int(s.getPath().getName()[6:]), s.getPath()) for s in files.listStatus(made(path)) if s.getPath().getName().startswith("slice="))
-        for i, folder in slices:
-            for held in files.listStatus(folder):
-                files.setTimes(held.getPath(), 1_000_000_000_000 + 10_000 * i, -1)
+        held = [s.getPath() for s in files.listStatus(made(path)) if s.getPath().getName().startswith("part-")]
+        for i, file in enumerate(sorted(held, key=lambda f: (int(f.getName().split("-")[1]), f.getName()))):
+            files.setTimes(file, 1_000_000_000_000 + 10_000 * i, -1)
 
     def size(self, name: str) -> Column:
         """The number of rows, as a scalar subquery."""

@@ -15,7 +15,8 @@ from larder.operators.ledger import MOVEMENT, net_movements
 from larder.sources import BatchLog
 from larder.streaming import dispatch, jobs
 from larder.streaming.dispatch import decide, open_deliveries
-from larder.suite.tables import Bound
+from larder.suite import tables
+from larder.suite.tables import Bound, slice_of
 
 STOCK = "IngredientID long, Current_stock decimal(20,2)"
 RECIPE = "RecipeID long, ProductID long, IngredientID long, quantity_required decimal(8,2)"
@@ -96,6 +97,28 @@ def test_ledger_uses_the_recipe_of_the_moment(spark, files, log, tmp_path):
     assert streaming.stock_now(stock, moves).first().Current_stock == 100 - 1 - 2 - 3
 
 
+def test_a_micro_batch_puts_together_only_the_recipes_it_sold(spark, files, log, tmp_path, monkeypatch, conf):
+    """And its sums have no more partitions than run at once, however many a shuffle has."""
+    conf(shuffle__partitions="64")
+    used, parts = [], []
+
+    def noted(recipes, sold, real=jobs.usage_movements):
+        used.append(sorted(r.RecipeID for r in recipes.collect()))
+        parts.append(sold.rdd.getNumPartitions())
+        return real(recipes, sold)
+
+    monkeypatch.setattr(jobs, "usage_movements", noted)
+    recipes = spark.createDataFrame([(n, n // 2, n % 3, Decimal(1)) for n in range(100)] + [(100, None, 1, Decimal(1))], RECIPE)
+    receipts = files("receipts", [[(1, 1)]], "IngredientID long, Quantity_Received int")
+    lines = files("lines", [[(1, 7, 1, Decimal(1)), (1, None, 1, Decimal(1))], [(2, 9, 2, Decimal(1)), (2, 500, 2, Decimal(1))]], LINES)
+    moves = log("moves", MOVEMENT)
+    streaming.stream_stock_ledger(receipts, lines, lambda: recipes, moves, str(tmp_path / "check")).awaitTermination()
+    assert used == [[14, 15], [18, 19]]
+    assert max(parts) <= spark.sparkContext.defaultParallelism
+    stock = spark.createDataFrame([(n, Decimal(100)) for n in range(3)], STOCK)
+    assert {r.IngredientID: r.Current_stock for r in streaming.stock_now(stock, moves).collect()} == {0: 97, 1: 99, 2: 99}
+
+
 def test_order_totals(spark, files, log, tmp_path):
     rng = random.Random(6)
     rows = [(rng.randrange(9), 1, 1, Decimal(rng.randrange(100))) for _ in range(60)]
@@ -342,6 +365,33 @@ def test_the_suite_streams_in_order_and_in_several_batches(spark, tmp_path):
 
 
 
+@pytest.mark.parametrize("edges", [[], [5], [2, 2, 3, 7, 7, 7, 9], list(range(0, 400, 3))])
+def test_slices_lie_between_their_edges(spark, edges):
+    rows = spark.createDataFrame([(None,), *((n,) for n in range(-1, 12))], "n long")
+    got = {r.n: r.at for r in rows.select("n", slice_of(F.col("n"), edges).alias("at")).collect()}
+    assert got == {n: 0 if n is None else sum(e < n for e in edges) for n in [None, *range(-1, 12)]}
+
+
+def test_a_feed_evaluates_its_rows_once(spark, monkeypatch):
+    """However many slices it has; and each is a file, in their order."""
+    monkeypatch.setattr(tables, "SLICE_ROWS", 50)
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(value):
+        met.add(1)
+        return value
+
+    t = Bound(spark, "/root/testdata/sf0.001")
+    rows = t.source("events").select("event_id", counted("user_id").alias("user_id"))
+    monkeypatch.setattr(t, "source", lambda name: rows)
+    path = t._feed("events", "event_id")
+    assert met.value == rows.count() == 1000
+    held = spark.read.parquet(path).select("event_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
+    files = held.groupBy("file", "at").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).orderBy("at").collect()
+    assert len(files) == 20 and all(a.high < b.low for a, b in zip(files, files[1:]))
+
+
 def random_events(seed, n=900):
     rng = random.Random(seed)
     big = 2**60
