@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,38 +21,49 @@ from larder.streaming.dispatch import DISPATCH, EVENTS, STATE, decided_rows
 from larder.streaming.jobs import AVAILABLE_NOW, _start
 
 _DECISION = "seq bigint, Delivery_ID bigint, Rider_ID bigint, reason string"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that riders are dealt out to by hash; a stream's state belongs to them, so they stay the same while its checkpoint lives.
+GROUPS = 1024
+
+
 class RiderState(StatefulProcessor):
-    """The open delivery of a rider; no value if there is none."""
+    """The open delivery of each rider of a group; no value if there is none."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", "Delivery_ID bigint")
+        self._open = handle.getMapState("open", "Rider_ID bigint", "Delivery_ID bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        """Decide a rider's events of a micro-batch, in order of sequence, from the delivery that is open."""
-        before = self._open.get()[0] if self._open.exists() else None
-        opening = {"seq": None, "kind": STATE, "Delivery_ID": before, "Rider_ID": key[0], "part": 0, "several": False}
-        # Numbers come as text: a missing one would make pandas round the others.
-        events = pd.concat(rows).astype({"seq": "int64"}).sort_values("seq")
+        """Decide the events of a group's riders in a micro-batch at once, each rider's in order of sequence, from the delivery that is open."""
+        events = pd.concat(rows)
+        rider, seq = events["Rider_ID"].to_numpy(dtype="int64"), events["seq"].astype("int64").to_numpy()
+        riders = np.unique(rider)
+        found = [self._open.getValue((r,)) for r in riders.tolist()]
+        before = [None if held is None else held[0] for held in found]
+        n, m = len(riders), len(events)
+        delivery = pa.array(events["Delivery_ID"].to_numpy(dtype="int64"), pa.int64(), mask=~events["known"].to_numpy(dtype=bool))
         held = pa.table(
             {
-                "seq": pa.array(events["seq"], pa.int64()),
-                "kind": pa.array(events["kind"], pa.string()),
-                "Delivery_ID": pa.array([None if d is None else int(d) for d in events["Delivery_ID"]], pa.int64()),
-                "Rider_ID": pa.array([key[0]] * len(events), pa.int64()),
-                "part": pa.array([0] * len(events), pa.int64()),
-                "several": pa.array([False] * len(events), pa.bool_()),
+                "seq": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(seq)]),
+                "kind": pa.concat_arrays([pa.array([STATE] * n, pa.string()), pa.array(events["kind"], pa.string())]),
+                "Delivery_ID": pa.concat_arrays([pa.array(before, pa.int64()), delivery]),
+                "Rider_ID": pa.array(np.concatenate([riders, rider])),
+                "part": pa.array(np.zeros(n + m, dtype=np.int64)),
+                "several": pa.array(np.zeros(n + m, dtype=bool)),
             },
             schema=EVENTS,
         )
-        decided = decided_rows(pa.concat_tables([pa.Table.from_pylist([opening], schema=EVENTS), held]))
-        after = decided.filter(pc.equal(decided["kind"], STATE))["Delivery_ID"][0].as_py()
-        if after is None:
-            self._open.clear()
-        elif after != before:
-            self._open.update((after,))
+        # What is open comes before the rider's events.
+        order = np.lexsort((np.concatenate([np.zeros(n, dtype=np.int64), seq]), np.arange(n + m) >= n, np.concatenate([riders, rider])))
+        decided = decided_rows(held.take(pa.array(order)))
+        after = decided.filter(pc.equal(decided["kind"], STATE))["Delivery_ID"].to_pylist()
+        for r, b, a in zip(riders.tolist(), before, after, strict=True):
+            if a is None and b is not None:
+                self._open.removeKey((r,))
+            elif a != b:
+                self._open.updateValue((r,), (a,))
         ruled = decided.filter(pc.equal(decided["kind"], DISPATCH))
         yield ruled.select(["seq", "Delivery_ID", "Rider_ID", "reason"]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
@@ -61,14 +73,22 @@ class RiderState(StatefulProcessor):
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries that are started inside keep their state in RocksDB; a running query keeps the settings it started with."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, _ROCKSDB)
+    """Queries that are started inside keep their state in RocksDB; a running query keeps the settings it started with.
+
+    The state has no more partitions than run at once when the checkpoint is
+    made: for each of them a micro-batch starts a worker and commits a store,
+    however few rows it has.
+    """
+    partitions = "spark.sql.shuffle.partitions"
+    fewer = min(int(spark.conf.get(partitions)), spark.sparkContext.defaultParallelism)
+    before = {name: spark.conf.get(name, None) for name in (_PROVIDER, partitions)}
     try:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+        spark.conf.set(partitions, fewer)
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def stream_dispatch_keyed(
@@ -82,12 +102,21 @@ def stream_dispatch_keyed(
     it costs the same however many riders there are.  A replayed micro-batch
     starts from the state before it and overwrites what it logged.
 
-    A rider's events of one micro-batch meet in one task.  Where one rider may
+    Riders are dealt out to `GROUPS` groups, and the events of a group in one
+    micro-batch meet in one task and are decided at once.  Where one rider may
     hold a large part of them, `stream_dispatch` cuts them into parts.
     """
     known = events.where(F.col("Rider_ID").isNotNull())
-    plain = known.select("Rider_ID", F.col("seq").cast("string"), "kind", F.col("Delivery_ID").cast("string"))
-    ruled = plain.groupBy("Rider_ID").transformWithStateInPandas(RiderState(), _DECISION, "append", "none")
+    # Beside a null, pandas would make doubles of whole numbers.
+    plain = known.select(
+        F.pmod(F.xxhash64(F.col("Rider_ID").cast("bigint")), F.lit(GROUPS)).alias("riders"),
+        F.col("Rider_ID").cast("bigint"),
+        F.col("seq").cast("bigint"),
+        "kind",
+        F.coalesce(F.col("Delivery_ID").cast("bigint"), F.lit(0)).alias("Delivery_ID"),
+        F.col("Delivery_ID").isNotNull().alias("known"),
+    )
+    ruled = plain.groupBy("riders").transformWithStateInPandas(RiderState(), _DECISION, "append", "none")
     unbound = events.where(F.col("Rider_ID").isNull() & (F.col("kind") == DISPATCH))
     unbound = judge(unbound, (F.col("Delivery_ID").isNull(), MISSING_KEY)).select("seq", "Delivery_ID", "Rider_ID", "reason")
     with rocksdb(events.sparkSession):

@@ -437,6 +437,53 @@ def test_keyed_dispatch_reads_the_state_of_its_riders_only(spark, files, log, tm
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "unset") == "unset"
 
 
+def test_keyed_state_has_few_partitions(spark, files, log, tmp_path, conf):
+    """Each costs a worker and a commit for every micro-batch."""
+    conf(shuffle__partitions="64")
+    decisions = log("decisions", streaming.DECISION)
+    events = [(1, "dispatch", 2**60, 2**59), (2, "dispatch", 5, 2**59), (3, "dispatch", None, 2**59), (4, "dispatch", 5, None)]
+    query = streaming.stream_dispatch_keyed(files("events", [events], EVENT), decisions, str(tmp_path / "check"))
+    query.awaitTermination()
+    assert {tuple(r)[:4] for r in decisions.read().collect()} == {
+        (1, 2**60, 2**59, None), (2, 5, 2**59, "rider busy"), (3, None, 2**59, "missing key"), (4, 5, None, None)
+    }
+    state = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert max(s.numShufflePartitions for s in state) <= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_group_of_riders_is_decided_at_once(monkeypatch, seed):
+    """As event by event, from what earlier micro-batches left open; only that is in the state."""
+    import pandas as pd
+
+    from larder.streaming import keyed
+
+    class Held(dict):
+        getValue, removeKey = dict.get, dict.__delitem__
+
+        def updateValue(self, key, value):
+            assert self.get(key) != value
+            self[key] = value
+
+    calls, real = [], keyed.decided_rows
+    monkeypatch.setattr(keyed, "decided_rows", lambda table: calls.append(1) or real(table))
+    group = keyed.RiderState()
+    group._open = Held()
+    events = [e for e in random_events(seed) if e[3] is not None]
+    got = {}
+    for at in range(0, len(events), 150):
+        part = events[at : at + 150]
+        random.Random(seed).shuffle(part)
+        rows = pd.DataFrame(
+            [{"riders": 3, "Rider_ID": r, "seq": s, "kind": k, "Delivery_ID": d or 0, "known": d is not None} for s, k, d, r in part]
+        )
+        for out in group.handleInputRows((3,), iter([rows.iloc[:60], rows.iloc[60:]]), None):
+            got |= {int(r.seq): None if pd.isna(r.reason) else r.reason for r in out.itertuples()}
+    assert got == walk(events)
+    assert len(calls) == -(-len(events) // 150)
+
+
 def chained(n, per):
     """One rider whose every accepted delivery is completed in a later stretch, so that each part's end depends on its start."""
     out = []
