@@ -16,6 +16,7 @@ from larder.sources import BatchLog
 from larder.streaming import dispatch, jobs
 from larder.streaming.dispatch import decide, open_deliveries
 from larder.suite import tables
+from larder.suite.queries import REGISTRY
 from larder.suite.tables import Bound, slice_of
 
 STOCK = "IngredientID long, Current_stock decimal(20,2)"
@@ -119,6 +120,18 @@ def test_a_micro_batch_puts_together_only_the_recipes_it_sold(spark, files, log,
     assert {r.IngredientID: r.Current_stock for r in streaming.stock_now(stock, moves).collect()} == {0: 97, 1: 99, 2: 99}
 
 
+def test_fractions_of_many_slices(spark, monkeypatch):
+    """A fractional stock from a feed of 12 slices, a file each, is that of the whole tables."""
+    monkeypatch.setattr(tables, "SLICE_ROWS", 500)
+    t = Bound(spark, "/root/testdata/sf0.001")
+    path = t._feed("lineitem", "l_orderkey")
+    assert len(spark.read.parquet(path).inputFiles()) == 12
+    assert spark.read.parquet(path).exceptAll(t.source("lineitem")).isEmpty()
+    got = REGISTRY["stream_fractional_stock"](spark, t.dir).collect()
+    want = REGISTRY["fractional_stock_after"](spark, t.dir).select("IngredientID", "Current_stock").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_order_totals(spark, files, log, tmp_path):
     rng = random.Random(6)
     rows = [(rng.randrange(9), 1, 1, Decimal(rng.randrange(100))) for _ in range(60)]
