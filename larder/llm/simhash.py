@@ -461,9 +461,13 @@ def completed_links(
             rest = F.expr("of_u <> of_v AND u < v")
             if sketches is not None:
                 rest = F.when(rest, possible(similarity)).otherwise(False)
-            apart_pairs = u.join(v.drop("pivot"), "key").where(rest)
+            v = v.drop("pivot")
+            if holders > BROADCAST_ROWS // 8:
+                # Parities that are the same for all keys of a node take 600 bytes a row in memory and few in the file that Catalyst goes by.
+                v = v.hint("merge")
+            apart_pairs = u.join(v, "key").where(rest)
             last = last or apart_pairs.count() <= OPEN_PAIRS * holders
-            pairs = apart_pairs if last else u.where("u = pivot").join(v.drop("pivot"), "key").where(rest)
+            pairs = apart_pairs if last else u.where("u = pivot").join(v, "key").where(rest)
             pairs = stored(pairs.select("u", "v").distinct(), "pairs")
             pairs = stored(plausible(pairs, every), "plausible")
             links = keep(stored(links.union(similar_links(pairs, texts, similarity=similarity)), "confirmed"))

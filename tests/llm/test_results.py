@@ -679,3 +679,28 @@ def test_many_ids_are_not_broadcast(spark):
         joined = spark.range(1000).join(simhash.by_rows(ids, most), "id", "left_semi")
         assert join in joined._jdf.queryExecution().executedPlan().toString()
         assert joined.count() == 100
+
+
+def test_many_holders_of_keys_are_merged(spark, monkeypatch):
+    """And connected as they are when they are few."""
+    words = [f"w{n}" for n in range(60)]
+    texts = spark.createDataFrame([(n, " ".join([*words, *(f"x{n}" for _ in range(n % 2))])) for n in range(4)], "node long, text string")
+    keyed = spark.createDataFrame([(n, [7, n]) for n in range(4)], "node long, keys array<long>")
+    none = spark.createDataFrame([], "u long, v long")
+    found, plans = [], []
+    monkeypatch.setattr(simhash, "plausible", lambda pairs, every: pairs)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        real = simhash.stored
+
+        def noted(df, name, real=real):
+            if name == "pairs":
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df, name)
+
+        monkeypatch.setattr(simhash, "stored", noted)
+        label = {r.node: r.component for r in components(simhash.completed_links(none, keyed, texts)).collect()}
+        monkeypatch.setattr(simhash, "stored", real)
+        found.append(label)
+    assert found == [{n: 0 for n in range(4)}] * 2
+    assert "BroadcastHashJoin" in plans[0] and not any("BroadcastHashJoin" in p for p in plans[1:])
